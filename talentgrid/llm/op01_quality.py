@@ -172,7 +172,7 @@ def oracle() -> str:
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (
   SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM t),
 win AS (
   SELECT doc_id, ord, array_to_string(ws[ord:ord + 7], ' ') AS g
@@ -187,8 +187,8 @@ m AS (
          len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
          coalesce(cov.n, 0) AS n_repeat_words,
          length(regexp_replace(text, '[^!]', '', 'g')) AS bangs,
-         len(list_filter(ws, x -> x IN ({stop}))) AS stops,
-         len(list_filter(range(2, len(ws) + 1), i -> ws[i] = ws[i - 1])) AS stutter,
+         len(list_filter(ws, lambda x: x IN ({stop}))) AS stops,
+         len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS stutter,
          length(regexp_replace(text, '\P{{Lu}}', '', 'g')) AS upper
   FROM w LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
