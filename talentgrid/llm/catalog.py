@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op01_quality
+from . import op01_quality, op06_decontaminate
 
 QUERIES = {
     "op1_quality_rules": op01_quality.op1_quality_rules,
+    "op6_decontaminate": op06_decontaminate.op6_decontaminate,
 }
 
 
@@ -16,4 +17,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, where SQL can express the operator."""
-    return {"op1_quality_rules": op01_quality.oracle()}
+    return {
+        "op1_quality_rules": op01_quality.oracle(),
+        "op6_decontaminate": op06_decontaminate.oracle(),
+    }
