@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op01_quality, op06_decontaminate
+from . import op01_quality, op05_simhash, op06_decontaminate
 
 QUERIES = {
     "op1_quality_rules": op01_quality.op1_quality_rules,
+    "op5_simhash_dedup": op05_simhash.op5_simhash_dedup,
     "op6_decontaminate": op06_decontaminate.op6_decontaminate,
 }
 
@@ -19,5 +20,6 @@ def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, where SQL can express the operator."""
     return {
         "op1_quality_rules": op01_quality.oracle(),
-        "op6_decontaminate": op06_decontaminate.oracle(),
+        "op5_simhash_dedup": op05_simhash.op5_simhash_dedup,
+    "op6_decontaminate": op06_decontaminate.oracle(),
     }
