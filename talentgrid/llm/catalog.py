@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from . import op01_quality, op05_simhash, op06_decontaminate
+from . import op01_quality, op02_substring, op05_simhash, op06_decontaminate
 
 QUERIES = {
     "op1_quality_rules": op01_quality.op1_quality_rules,
+    "op2_substring_dedup": op02_substring.op2_substring_dedup,
     "op5_simhash_dedup": op05_simhash.op5_simhash_dedup,
     "op6_decontaminate": op06_decontaminate.op6_decontaminate,
 }
 
+ORACLES = {
+    "op1_quality_rules": op01_quality.oracle,
+    "op2_substring_dedup": op02_substring.oracle,
+    "op6_decontaminate": op06_decontaminate.oracle,
+}
+
 
 def queries() -> dict:
     """Name to callable, each over its whole intended table."""
@@ -18,8 +25,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, where SQL can express the operator."""
-    return {
-        "op1_quality_rules": op01_quality.oracle(),
-        "op5_simhash_dedup": op05_simhash.op5_simhash_dedup,
-    "op6_decontaminate": op06_decontaminate.oracle(),
-    }
+    return {k: f() for k, f in ORACLES.items()}

@@ -10,6 +10,10 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting that removes shuffle files when a SQL execution ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One whole parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,10 +40,16 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    A lost executor then costs a re-read, not a recomputation.
+    A lost executor then costs a re-read, not a recomputation.  Shuffle files of the write
+    are dropped at its end: nothing reads them again.
     """
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -120,3 +120,26 @@ def windows_inside(first: np.ndarray, n: int) -> np.ndarray:
     sizes = np.diff(first)
     last = np.repeat(first[1:], sizes)
     return (np.arange(count) + n <= last)[: count - n + 1] & ok[: count - n + 1]
+
+
+def hash_ranges(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the word ranges from index a up to b."""
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _power(_W, len(h)), out=total[1:])
+    return mix((total[b] - total[a]) * _power(_INV[int(_W)], len(h) + 1)[a] + (b - a).astype(np.uint64) * _B)
+
+
+def join_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """One string per text: its kept words joined by one space."""
+    kept = np.flatnonzero(keep)
+    size = ends[kept] - starts[kept] + 1  # each with the space after it
+    count = np.concatenate(([0], np.cumsum(keep)))[first]
+    last = count[1:][np.diff(count) > 0] - 1  # the last kept word of each text has no space after it
+    size[last] -= 1
+    to = np.concatenate(([0], np.cumsum(size)))
+    src = np.repeat(starts[kept] - to[:-1], size) + np.arange(to[-1])
+    out = np.concatenate((raw, [np.uint8(0x20)]))[src]
+    space = np.ones(len(kept), bool)
+    space[last] = False
+    out[to[1:][space] - 1] = 0x20
+    return pa.LargeStringArray.from_buffers(len(first) - 1, pa.py_buffer(to[count].astype(np.int64).tobytes()), pa.py_buffer(out.astype(np.uint8).tobytes())).cast(pa.string())
