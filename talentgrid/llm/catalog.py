@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import op01_quality, op02_substring, op05_simhash, op06_decontaminate
+from . import op01_quality, op02_substring, op04_packing, op05_simhash, op06_decontaminate, op08_tokenfile
 
 QUERIES = {
     "op1_quality_rules": op01_quality.op1_quality_rules,
     "op2_substring_dedup": op02_substring.op2_substring_dedup,
+    "op4_best_fit_packing": op04_packing.op4_best_fit_packing,
     "op5_simhash_dedup": op05_simhash.op5_simhash_dedup,
     "op6_decontaminate": op06_decontaminate.op6_decontaminate,
+    "op8_token_files": op08_tokenfile.op8_token_files,
 }
 
 ORACLES = {

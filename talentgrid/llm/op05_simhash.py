@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", sh
     spark = docs.sparkSession
     own = written(spark, fingerprints(docs, doc, text, shingle), "fingerprints")
     classes = written(spark, own.groupBy("fp").agg(F.min(doc).alias("low")), "classes")
-    links = components(near_links(classes.select("fp"), radius))
+    links = components(written(spark, near_links(classes.select("fp"), radius), "links"))
     grouped = classes.join(links.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = grouped.groupBy("root").agg(F.min("low").alias("component"))
     labels = grouped.join(lowest, "root").select("fp", "component")
