@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import op01_quality, op02_substring, op04_packing, op05_simhash, op06_decontaminate, op08_tokenfile
+from . import (
+    op01_quality,
+    op02_substring,
+    op04_packing,
+    op05_simhash,
+    op06_decontaminate,
+    op07_chat,
+    op08_tokenfile,
+    op10_sharding,
+)
 
 QUERIES = {
     "op1_quality_rules": op01_quality.op1_quality_rules,
@@ -10,13 +19,16 @@ QUERIES = {
     "op4_best_fit_packing": op04_packing.op4_best_fit_packing,
     "op5_simhash_dedup": op05_simhash.op5_simhash_dedup,
     "op6_decontaminate": op06_decontaminate.op6_decontaminate,
+    "op7_chat_format": op07_chat.op7_chat_format,
     "op8_token_files": op08_tokenfile.op8_token_files,
+    "op10_sharding": op10_sharding.op10_sharding,
 }
 
 ORACLES = {
     "op1_quality_rules": op01_quality.oracle,
     "op2_substring_dedup": op02_substring.oracle,
     "op6_decontaminate": op06_decontaminate.oracle,
+    "op7_chat_format": op07_chat.oracle,
 }
 
 
