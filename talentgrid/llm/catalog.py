@@ -5,22 +5,26 @@ from __future__ import annotations
 from . import (
     op01_quality,
     op02_substring,
+    op03_toxicity,
     op04_packing,
     op05_simhash,
     op06_decontaminate,
     op07_chat,
     op08_tokenfile,
+    op09_html,
     op10_sharding,
 )
 
 QUERIES = {
     "op1_quality_rules": op01_quality.op1_quality_rules,
     "op2_substring_dedup": op02_substring.op2_substring_dedup,
+    "op3_toxicity": op03_toxicity.op3_toxicity,
     "op4_best_fit_packing": op04_packing.op4_best_fit_packing,
     "op5_simhash_dedup": op05_simhash.op5_simhash_dedup,
     "op6_decontaminate": op06_decontaminate.op6_decontaminate,
     "op7_chat_format": op07_chat.op7_chat_format,
     "op8_token_files": op08_tokenfile.op8_token_files,
+    "op9_html_extract": op09_html.op9_html_extract,
     "op10_sharding": op10_sharding.op10_sharding,
 }
 
