@@ -128,7 +128,7 @@ def label_tokens(slots: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.
         for k in (0, 1):
             df[k] += np.bincount(s[toxic[d] == k], minlength=1 << BITS)
     n0, n1 = max(1, (toxic == 0).sum()), max(1, (toxic == 1).sum())
-    least = max(3, 0.003 * n1)
+    least = max(5, 0.012 * n1)
     rate = (df[1] / n1) / ((df[0] + 0.5) / n0)
     lexicon = (df[1] >= least) & (rate >= 8)
     lexicon[0] = False

@@ -38,13 +38,17 @@ HOT_BUCKET = 4096
 def code_vectors(radius: int) -> list[int]:
     """One nonzero vector of radius+1 bits for each of the 64 bits, so that masks stay wide.
 
-    Up to radius 5 the nonzero vectors are dealt in turn; at radius 6 they are (1, i), the
-    first-order Reed-Muller code, whose masks all hold 32 bits or all 64; beyond, a fixed
-    multiplicative sequence spreads them.
+    Up to radius 5 the nonzero vectors are dealt in turn.  At radius 6 they are (1, i), the
+    first-order Reed-Muller code, whose masks hold 32 bits or all 64; at radius 7 a bent
+    function of i joins them, and masks hold 28 bits or more.  Beyond, a fixed multiplicative
+    sequence spreads them.
     """
     n = (1 << (radius + 1)) - 1
     if radius == 6:
         return [64 + i for i in range(BITS)]
+    if radius == 7:
+        bent = [(i & 1) & (i >> 1) ^ (i >> 2 & 1) & (i >> 3) ^ (i >> 4 & 1) & (i >> 5) for i in range(BITS)]
+        return [64 + i + 128 * (b & 1) for i, b in enumerate(bent)]
     if n < BITS:
         return [1 + i % n for i in range(BITS)]
     step = next(s for s in range(int(n * 0.618), n) if np.gcd(s, n) == 1)

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import words as W
 from .common import ship, table
@@ -117,7 +118,8 @@ def compile_patterns(items: list[tuple[object, str | None]], window: int = WINDO
     return [out[k].done() for k in sorted(out)]
 
 
-SCHEMA = "n_words long, ranges array<struct<first:long,last:long>>, items array<string>"
+_RANGE = StructType([StructField("first", LongType()), StructField("last", LongType())])
+FOUND = [StructField("n_words", LongType()), StructField("ranges", ArrayType(_RANGE)), StructField("items", ArrayType(StringType()))]
 
 
 def _search(batches: Iterator[pa.RecordBatch], tables, keep: list[str]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +166,14 @@ def find_items(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text:
     """Per document: its words, the word ranges inside occurrences, and the items that occur."""
     spark = ship(docs.sparkSession)
     slim = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
-    kind = slim.schema["_doc"].dataType.simpleString()
+    kind = StructType([slim.schema["_doc"], *FOUND])
     parts = []
     for block in _item_blocks(benchmark, item, item_text):
         tables = spark.sparkContext.broadcast(compile_patterns(block, window))
-        parts.append(slim.mapInArrow(lambda it, t=tables: _search(it, t, ["_doc"]), f"_doc {kind}, {SCHEMA}"))
+        parts.append(slim.mapInArrow(lambda it, t=tables: _search(it, t, ["_doc"]), kind))
     if not parts:
         tables = spark.sparkContext.broadcast([])
-        parts.append(slim.mapInArrow(lambda it, t=tables: _search(it, t, ["_doc"]), f"_doc {kind}, {SCHEMA}"))
+        parts.append(slim.mapInArrow(lambda it, t=tables: _search(it, t, ["_doc"]), kind))
     out = parts[0]
     if len(parts) > 1:
         for p in parts[1:]:
@@ -208,6 +210,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFr
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which no item occurs, with their own columns."""
+    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_body"))
+    return find_items(row, benchmark, doc="_row", text="_body").filter(F.size("ranges") == 0).select("_row.*")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of ``documents`` against every item of ``benchmark``."""
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
