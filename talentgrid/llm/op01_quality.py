@@ -159,6 +159,17 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
     ).drop("_v_failed", "_v_passed", "_q_n_words", "_q_word_chars", "_q_n_symbols", "_q_n_lines", "_q_dup_lines", "_q_repeat_words", "_q_n_bangs", "_q_n_stop", "_q_n_stutter", "_q_n_upper")
 
 
+def keep_passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that every rule keeps, with their own columns.
+
+    The verdict passes through a generator before the filter: a filter on it directly would be
+    pushed below the projections, and every count would be evaluated again for each of its
+    uses there.
+    """
+    out = quality(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_body")), rules, "_body")
+    return out.select("_row", F.explode(F.array("kept")).alias("_kept")).filter("_kept").select("_row.*")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``documents`` table with its quality counts and verdict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
