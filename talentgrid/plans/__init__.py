@@ -1 +1 @@
-"""Package."""
+"""Registered queries, each with DuckDB SQL where SQL can express it."""

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import text_queries
+
+MODULES = (text_queries,)
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship query."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    return queries()["norm_key_documents"](spark, sf_dir)
 
 
 def queries() -> dict:
     """Name to callable taking (spark, sf_dir)."""
-    return {}
+    return {k: f for m in MODULES for k, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {}
+    return {k: s for m in MODULES for k, (_, s) in m.QUERIES.items() if s}
