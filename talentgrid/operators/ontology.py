@@ -20,7 +20,7 @@ def implied_with_hops(held: DataFrame, edges: DataFrame, max_hops: int = MAX_HOP
     seen = front.withColumn("hop", F.lit(0))
     for hop in range(1, max_hops + 1):
         step = front.join(edges, F.col("at") == F.col("src")).select("profile_id", "via", F.col("dst").alias("at")).distinct()
-        front = step.join(seen, ["profile_id", "via", "at"], "left_anti")
+        front = step.join(seen, ["profile_id", "via", "at"], "left_anti").persist()
         seen = seen.unionByName(front.withColumn("hop", F.lit(hop)))
     new = seen.filter("hop > 0").select("profile_id", F.col("at").alias("skill"), "hop", "via")
     new = new.join(held.select("profile_id", "skill"), ["profile_id", "skill"], "left_anti")

@@ -2,7 +2,8 @@
 
 Roles are suppliers; a role's skills are the names of the parts it ships, weighted by
 quantity; profiles are nations with the parts their customers order; the skill ontology is
-arithmetic on the ranks of skill names.  ``SQL`` holds the same tables as named queries.
+arithmetic on the ranks of skill names.  The small derived tables are kept (memory, then disk)
+because each query reads them several times; equal plans share what is kept.  ``SQL`` holds the same tables as named queries.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def role_skills(spark: SparkSession, d: str) -> DataFrame:
     g = by_part.join(p, by_part.l_partkey == p.p_partkey).groupBy("l_suppkey", "p_name").agg(F.sum("q").alias("q"), F.min("p_type").alias("domain"))
     w = Window.partitionBy("l_suppkey")
     ranked = g.withColumn("ord", F.row_number().over(w.orderBy(F.desc("q"), "p_name"))).filter(F.col("ord") <= TOP_SKILLS)
-    return ranked.select(F.col("l_suppkey").alias("role_id"), F.col("p_name").alias("skill"), "domain", (F.col("q") / F.max("q").over(w)).alias("weight"), "ord")
+    return ranked.select(F.col("l_suppkey").alias("role_id"), F.col("p_name").alias("skill"), "domain", (F.col("q") / F.max("q").over(w)).alias("weight"), "ord").persist()
 
 
 def profile_skills(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +43,7 @@ def profile_skills(spark: SparkSession, d: str) -> DataFrame:
     g = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey).groupBy("c_nationkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
     g = g.join(p, g.l_partkey == p.p_partkey).groupBy("c_nationkey", "p_name").agg(F.sum("q").alias("q"))
     w = Window.partitionBy("c_nationkey").orderBy(F.desc("q"), "p_name")
-    return g.withColumn("ord", F.row_number().over(w)).filter("ord <= 10").select(F.col("c_nationkey").alias("profile_id"), F.col("p_name").alias("skill"), "ord")
+    return g.withColumn("ord", F.row_number().over(w)).filter("ord <= 10").select(F.col("c_nationkey").alias("profile_id"), F.col("p_name").alias("skill"), "ord").persist()
 
 
 def explicit_skills(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +66,7 @@ def skill_edges(spark: SparkSession, d: str) -> DataFrame:
     n = skill_nodes(spark, d)
     size = n.count()
     pairs = n.select(F.col("skill").alias("src"), F.explode(F.array((F.col("node") * 2 + 1) % size, (F.col("node") * 3 + 2) % size)).alias("node"))
-    return pairs.join(n, "node").select("src", F.col("skill").alias("dst")).filter("src <> dst").distinct()
+    return pairs.join(n, "node").select("src", F.col("skill").alias("dst")).filter("src <> dst").distinct().persist()
 
 
 SQL = {
