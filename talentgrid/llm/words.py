@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once inside a task; a longer single text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _W = np.uint64(0xC2B2AE3D27D4EB4F)

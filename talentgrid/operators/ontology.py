@@ -10,21 +10,27 @@ from ..functions.scoring import hop_confidence
 MAX_HOPS = 3
 
 
+def hop_distances(edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+    """(src, dst, hop): the least number of edges from src to dst, up to ``max_hops``; src itself left out."""
+    step = edges.select("src", "dst").distinct()
+    every = step.withColumn("hop", F.lit(1))
+    reach = step
+    for hop in range(2, max_hops + 1):
+        reach = reach.alias("a").join(step.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst").distinct()
+        every = every.unionByName(reach.withColumn("hop", F.lit(hop)))
+    return every.filter("src <> dst").groupBy("src", "dst").agg(F.min("hop").alias("hop"))
+
+
 def implied_with_hops(held: DataFrame, edges: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """(profile_id, skill, hop, via, confidence) of skills implied within ``max_hops``.
 
-    Held skills are left out; the least hop wins, then the smallest start.  Each hop keeps one
-    row per (profile, start, skill), so cycles end and paths are never enumerated.
+    Held skills are left out; the least hop wins, then the smallest start.  Distances are made
+    once over the vocabulary and joined to profiles, so the walk does not grow with profiles.
     """
-    front = held.select("profile_id", F.col("skill").alias("via"), F.col("skill").alias("at"))
-    seen = front.withColumn("hop", F.lit(0))
-    for hop in range(1, max_hops + 1):
-        step = front.join(edges, F.col("at") == F.col("src")).select("profile_id", "via", F.col("dst").alias("at")).distinct()
-        front = step.join(seen, ["profile_id", "via", "at"], "left_anti").persist()
-        seen = seen.unionByName(front.withColumn("hop", F.lit(hop)))
-    new = seen.filter("hop > 0").select("profile_id", F.col("at").alias("skill"), "hop", "via")
-    new = new.join(held.select("profile_id", "skill"), ["profile_id", "skill"], "left_anti")
-    best = new.groupBy("profile_id", "skill").agg(F.min(F.struct("hop", "via")).alias("b"))
+    far = hop_distances(edges, max_hops)
+    own = held.select("profile_id", F.col("skill").alias("via"))
+    new = own.join(far, F.col("via") == F.col("src")).groupBy("profile_id", F.col("dst").alias("skill")).agg(F.min(F.struct("hop", "via")).alias("b"))
+    best = new.join(held.select("profile_id", "skill"), ["profile_id", "skill"], "left_anti")
     return best.select("profile_id", "skill", "b.hop", "b.via", hop_confidence(F.col("b.hop")).alias("confidence"))
 
 
@@ -55,11 +61,6 @@ def _cut(spark, df: DataFrame) -> DataFrame:
     return df.cache()
 
 
-def components_sample(edges: DataFrame) -> DataFrame:
-    """Out-degree of every source."""
-    return edges.groupBy("src").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("dsts"))
-
-
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """First row of each key group in the given order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
