@@ -56,14 +56,15 @@ SELECT role_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN
 
 
 def lag_delta(spark: SparkSession, d: str) -> DataFrame:
-    """Daily means of each event type, with the change from the day before."""
-    x = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
-    return M.lag_delta(x, "event_type", "day", "mean").select("event_type", F.col("day").cast("string").alias("day"), F.round("mean", 4).alias("mean"), "n", F.round("delta", 4).alias("delta"))
+    """Daily means of each event type, with the change from the day before; sums are exact, so no order of rows shows."""
+    total = F.sum(F.col("value").cast("decimal(18,6)")).cast("double")
+    x = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg((total / F.count("value")).alias("mean"), F.count("*").alias("n"))
+    return M.lag_delta(x, "event_type", "day", "mean").select("event_type", F.col("day").cast("string").alias("day"), "mean", "n", "delta")
 
 
 LAG_DELTA = """
-WITH x AS (SELECT event_type, ts::DATE AS day, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY 1, 2)
-SELECT event_type, day::VARCHAR AS day, round(mean, 4) AS mean, n, round(mean - lag(mean) OVER (PARTITION BY event_type ORDER BY day), 4) AS delta FROM x"""
+WITH x AS (SELECT event_type, ts::DATE AS day, sum(value::DECIMAL(18,6))::DOUBLE / count(value) AS mean, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT event_type, day::VARCHAR AS day, mean, n, mean - lag(mean) OVER (PARTITION BY event_type ORDER BY day) AS delta FROM x"""
 
 
 def macro_means(spark: SparkSession, d: str) -> DataFrame:
