@@ -258,3 +258,13 @@ def test_html_host_boilerplate(spark):
     rows = [(i, f"http://h.x/{i}", frame.format(i=i)) for i in range(8)]
     got = {r["page_id"]: r["text"] for r in op09_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Story {i}: item{i} went to place{i} on day{i} with friend{i} and dog{i}" for i in range(8)}
+
+
+def test_html_closing_line_in_articles_and_copied_articles(spark):
+    closing = "This story was first printed by the daily paper of our town"
+    copied = "A long passage that several pages of this host quote from one another word for word"
+    body = "<body><article><p>Story {i} is about item{i} and place{i} and day{i}</p>{c}<p>" + closing + "</p></article></body>"
+    rows = [(i or None, f"http://h.x/{i}", body.format(i=i, c=f"<p>{copied}</p>" if i < 5 else "")) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in op09_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = {i or None: f"Story {i} is about item{i} and place{i} and day{i}" for i in range(12)}
+    assert got == {k: t + f"\n{copied}" if (k or 0) < 5 else t for k, t in own.items()}
