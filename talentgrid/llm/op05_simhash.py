@@ -65,14 +65,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _fingerprints(raw: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
-    """Fingerprints of the texts of one chunk."""
+def shingle_hashes(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle of the texts of one chunk, in order, and their number in each text."""
     low = W.LOWER[raw]
     starts, ends, first = W.spans(low, off, W.NON_SPACE)
-    n_docs = len(off) - 1
-    out = np.zeros(n_docs, np.uint64)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(off) - 1, np.int64)
     keep = W.NON_SPACE[low]  # words and one separator after each
     sep = ends[ends < len(low)]
     sep = sep[~keep[sep]]
@@ -88,6 +86,15 @@ def _fingerprints(raw: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
     at = np.repeat(first[:-1] - base, per) + np.arange(per.sum())
     last = at + np.repeat(np.minimum(sizes, k), per) - 1
     h = np.fromiter((xxh64_intdigest(flat[a:b], SEED) for a, b in zip(s[at].tolist(), e[last].tolist(), strict=True)), np.uint64, len(at))
+    return h, per
+
+
+def _fingerprints(raw: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
+    """Fingerprints of the texts of one chunk."""
+    h, per = shingle_hashes(raw, off, k)
+    out = np.zeros(len(per), np.uint64)
+    if not len(h):
+        return out
     full = np.flatnonzero(per)
     ones = np.empty((len(full), BITS), np.int64)
     bytes_ = h.view(np.uint8).reshape(-1, 8)
