@@ -12,11 +12,12 @@ page ``LEAST_PAGES`` pages make a substring boilerplate.  Articles are copied an
 the pages of a host too, so inside an article the substring must be on nearly all of the host's
 pages (``HOST_SHARE``, and ``HOST_PAGES`` at least), as a fixed closing line is.
 
-A host's pages are dealt into chunks of bounded text and rows by a hash, so a host of any size
-is never one task; boilerplate of a host is on most of its pages and so in each chunk.
+A host's distinct page contents are dealt into chunks of bounded text and rows by a hash, so a
+host of any size is never one task.  Each chunk's array counts the pages of its substrings; the
+counts are summed over the host before a block is judged, so chunks do not change results.
+Pages with the same blocks count once and get the same text.
 
-Defined results: null or empty html gives an empty text; a page cut off in a tag ends there;
-equal rows get equal results; extra columns are ignored; an empty table gives an empty result.
+Defined results: null or empty html gives an empty text; a page cut off in a tag ends there; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import words as W
 from .common import ship, table, written
 
 #: Tokens that a repeated substring must have, and pages it must be on.
@@ -38,9 +40,9 @@ LEAST_TOKENS = 8
 LEAST_PAGES = 3
 #: Share of a block's tokens under repeated substrings from which it is boilerplate.
 COVERED = 0.8
-#: Share and number of a chunk's pages that a substring inside an article must be on.
+#: Share and number of a host's distinct pages that a substring inside an article must be on.
 HOST_SHARE, HOST_PAGES = 0.8, 10
-#: Characters of markup, and pages, in one chunk of a host.
+#: Characters of kept text, and pages, in one chunk of a host.
 CHUNK_CHARS, CHUNK_PAGES = 1_000_000, 400
 
 #: Element kinds of HTML.
@@ -149,44 +151,63 @@ def suffix_ranks(tokens: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def repeated_cover(pages: list[list[str]], need: list[int], least: int = LEAST_TOKENS) -> list[np.ndarray]:
-    """Share of each block's tokens under substrings of ``least`` tokens that are on as many distinct pages as ``need`` asks of the block's page."""
-    words: list[str] = []
-    blocks, owners, lengths = [], [], []  # one entry per block and page end
-    flat = 0
-    for p, own in enumerate(pages):
-        for b in own:
-            w = b.split()
-            words += w
-            words.append("\n")  # a block's end is a token, so short blocks count with their neighbours
-            blocks.append(flat)
+class Stream:
+    """The token stream of some pages, cut where a substring may not go on."""
+
+    def __init__(self, pages: list[list[str]], least: int = LEAST_TOKENS):
+        words: list[str] = []
+        blocks, owners, lengths = [], [], []  # one entry per block and page end
+        flat = 0
+        for p, own in enumerate(pages):
+            for b in own:
+                w = b.split()
+                words += w
+                words.append("\n")  # a block's end is a token, so short blocks count with their neighbours
+                blocks.append(flat)
+                owners.append(p)
+                lengths.append(len(w) + 1)
+                flat += 1
+            words.append("\n\n")  # no substring goes over a page's end
+            blocks.append(-1)
             owners.append(p)
-            lengths.append(len(w) + 1)
-            flat += 1
-        words.append(f"\n{p}")  # no substring goes over a page's end
-        blocks.append(-1)
-        owners.append(p)
-        lengths.append(1)
-    tokens = pd.factorize(np.array(words, object))[0].astype(np.int64)
-    page, block = np.repeat(owners, lengths), np.repeat(blocks, lengths)
-    n = len(tokens)
-    cover = np.zeros(n + 1, np.int64)
-    if n >= least:
-        rank = suffix_ranks(tokens, least)
-        order = np.lexsort((page, rank))  # the suffix array, cut at the least length
-        r, p = rank[order], page[order]
-        new = np.concatenate(([True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])))
-        group = np.concatenate(([0], np.cumsum(r[1:] != r[:-1])))
-        distinct = np.bincount(group, new)
-        hit = order[distinct[group] >= np.asarray(need)[p]]
-        hit = hit[hit + least <= n]
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + least, -1)
-    on = np.cumsum(cover[:-1]) > 0
-    real = block >= 0
-    total = np.bincount(block[real], minlength=flat)
-    share = np.bincount(block[real], on[real].astype(float), minlength=flat) / np.maximum(total, 1)
-    return np.split(share, np.cumsum([len(own) for own in pages])[:-1])
+            lengths.append(1)
+        self.pages, self.flat, self.least = pages, flat, least
+        self.tokens, self.values = pd.factorize(np.array(words, object))
+        self.tokens = self.tokens.astype(np.int64)
+        self.page, self.block = np.repeat(owners, lengths), np.repeat(blocks, lengths)
+        ends = np.concatenate(([0], np.cumsum(self.block < 0)))
+        n = max(0, len(words) - least + 1)
+        self.inside = ends[least : least + n] == ends[:n]  # whether the substring that starts here is in one page
+
+    def keys(self) -> np.ndarray:
+        """A hash of the substring at each place, the same in every chunk."""
+        each = pd.util.hash_array(np.asarray(self.values, object), categorize=False)
+        return W.hash_windows(each[self.tokens], self.least).view(np.int64)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Key and number of distinct pages of each substring, from the suffix array cut at the least length."""
+        if not self.inside.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rank = suffix_ranks(self.tokens, self.least)
+        order = np.lexsort((self.page, rank))
+        order = order[order < len(self.inside)]
+        order = order[self.inside[order]]
+        r, p = rank[order], self.page[order]
+        start = np.concatenate(([True], r[1:] != r[:-1]))
+        new = start | np.concatenate(([True], p[1:] != p[:-1]))
+        return self.keys()[order[start]], np.bincount(np.cumsum(start) - 1, new).astype(np.int64)
+
+    def cover(self, hit: np.ndarray) -> list[np.ndarray]:
+        """Share of each block's tokens under the substrings that start where ``hit`` says."""
+        at = np.flatnonzero(hit & self.inside)
+        edge = np.zeros(len(self.tokens) + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + self.least, -1)
+        on = np.cumsum(edge[:-1]) > 0
+        real = self.block >= 0
+        total = np.bincount(self.block[real], minlength=self.flat)
+        share = np.bincount(self.block[real], on[real].astype(float), minlength=self.flat) / np.maximum(total, 1)
+        return np.split(share, np.cumsum([len(own) for own in self.pages])[:-1])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,17 +217,36 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks, sure = blocks_of(h.as_py() or "")
             texts.append(blocks)
             marked.append(sure)
-        kept = [b.column(c) for c in ("_page", "_url", "_host", "_chunk")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(marked, pa.bool_()), pa.array(texts, pa.list_(pa.string()))], names=["_page", "_url", "_host", "_chunk", "_marked", "_blocks"])
+        kept = [b.column(c) for c in ("_page", "_url", "_host")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(marked, pa.bool_()), pa.array(texts, pa.list_(pa.string()))], names=["_page", "_url", "_host", "_marked", "_blocks"])
+
+
+def _count(rows: pd.DataFrame) -> pd.DataFrame:
+    """The substrings of one chunk and the number of its pages that hold each."""
+    key, n = Stream([list(own) for own in rows["_blocks"]]).counts()
+    return pd.DataFrame({"_host": rows["_host"].iloc[0], "_chunk": rows["_chunk"].iloc[0], "_sub": key, "_n": n})
 
 
-def _decide(rows: pd.DataFrame) -> pd.DataFrame:
-    """The text of each page of one chunk."""
-    pages = [list(own) for own in rows["_blocks"]]
-    whole = max(HOST_PAGES, int(np.ceil(HOST_SHARE * len(rows))))
-    shares = repeated_cover(pages, [whole if marked else LEAST_PAGES for marked in rows["_marked"]])
-    text = ["\n".join(b for b, s in zip(own, share, strict=True) if s < COVERED) for own, share in zip(pages, shares, strict=True)]
-    return pd.DataFrame({"_page": rows["_page"], "_url": rows["_url"], "_text": text})
+def _decide(rows: pd.DataFrame, repeated: pd.DataFrame) -> pd.DataFrame:
+    """The text of each page of one chunk, as a marked and as an open page; ``repeated`` has the host's counts."""
+    if not len(rows):
+        return pd.DataFrame({"_host": [], "_key": [], "_marked": [], "_text": []})
+    stream = Stream([list(own) for own in rows["_blocks"]])
+    repeated = repeated.sort_values("_sub")
+    sub, n = repeated["_sub"].to_numpy(np.int64), repeated["_n"].to_numpy(np.int64)
+    keys = stream.keys()
+    count = np.zeros(len(keys), np.int64)
+    if len(sub):
+        place = np.minimum(np.searchsorted(sub, keys), len(sub) - 1)
+        count = np.where(sub[place] == keys, n[place], 0)
+    whole = max(HOST_PAGES, int(np.ceil(HOST_SHARE * rows["_pages"].iloc[0])))
+    out = []
+    for marked, need in ((True, whole), (False, LEAST_PAGES)):
+        shares = stream.cover(count >= need)
+        text = ["\n".join(b for b, s in zip(own, share, strict=True) if s < COVERED) for own, share in zip(stream.pages, shares, strict=True)]
+        part = pd.DataFrame({"_host": rows["_host"], "_key": rows["_key"], "_marked": marked, "_text": text})
+        out.append(part[rows["_any_marked" if marked else "_any_open"].to_numpy(bool)])
+    return pd.concat(out)
 
 
 def extract(pages: DataFrame, page: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
@@ -215,14 +255,19 @@ def extract(pages: DataFrame, page: str = "page_id", url: str = "url", markup: s
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     # ids travel as text: pandas would turn a long with nulls into a double
     own = pages.select(F.col(page).cast("string").alias("_page"), F.col(url).cast("string").alias("_url"), host.alias("_host"), F.col(markup).alias("_html"))
-    chunks = F.greatest(F.ceil(F.sum(F.length("_html")) / CHUNK_CHARS), F.ceil(F.count("*") / CHUNK_PAGES))
-    large = own.groupBy("_host").agg(chunks.alias("_chunks")).filter("_chunks > 1")
-    large = written(spark, large, "large-hosts")  # its size on disk tells Spark whether to broadcast it
-    chunk = F.pmod(F.xxhash64("_page", "_url"), F.coalesce("_chunks", F.lit(1)))
-    dealt = own.join(large, "_host", "left").select("_page", "_url", "_host", chunk.alias("_chunk"), "_html")
-    kind = "_page string, _url string"
-    parsed = dealt.mapInArrow(_parse, f"{kind}, _host string, _chunk long, _marked boolean, _blocks array<string>")
-    out = parsed.groupBy("_host", "_chunk").applyInPandas(_decide, f"{kind}, _text string")
+    parsed = own.mapInArrow(_parse, "_page string, _url string, _host string, _marked boolean, _blocks array<string>")
+    parsed = written(spark, parsed.withColumn("_key", F.xxhash64("_blocks")), "parsed-pages")
+    contents = parsed.groupBy("_host", "_key").agg(F.first("_blocks").alias("_blocks"), F.bool_or("_marked").alias("_any_marked"), F.bool_or(~F.col("_marked")).alias("_any_open"))
+    contents = written(spark, contents, "contents")
+    size = F.aggregate("_blocks", F.lit(0).cast("long"), lambda n, b: n + F.length(b))
+    chunks = F.greatest(F.ceil(F.sum(size) / CHUNK_CHARS), F.ceil(F.count("*") / CHUNK_PAGES), F.lit(1))
+    hosts = written(spark, contents.groupBy("_host").agg(chunks.alias("_chunks"), F.count("*").alias("_pages")), "hosts")  # its size on disk tells Spark whether to broadcast it
+    dealt = contents.join(hosts, "_host").withColumn("_chunk", F.pmod("_key", "_chunks")).drop("_chunks")
+    counts = dealt.select("_host", "_chunk", "_blocks").groupBy("_host", "_chunk").applyInPandas(_count, "_host string, _chunk long, _sub long, _n long")
+    summed = counts.groupBy("_host", "_sub").agg(F.sum("_n").alias("_n"), F.collect_list("_chunk").alias("_chunk")).filter(F.col("_n") >= LEAST_PAGES)
+    repeated = written(spark, summed.withColumn("_chunk", F.explode("_chunk")), "repeated")
+    texts = dealt.groupBy("_host", "_chunk").cogroup(repeated.groupBy("_host", "_chunk")).applyInPandas(_decide, "_host string, _key long, _marked boolean, _text string")
+    out = parsed.drop("_blocks").join(written(spark, texts, "texts"), ["_host", "_key", "_marked"])
     return out.select(F.col("_page").cast(pages.schema[page].dataType).alias(page), F.col("_url").cast(pages.schema[url].dataType).alias(url), F.col("_text").alias("text"))
 
 
