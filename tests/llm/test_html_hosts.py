@@ -1,5 +1,7 @@
 """Host-wide boilerplate counts and copied pages of op9."""
 
+import pytest
+
 from talentgrid.llm import op09_html
 
 
@@ -12,6 +14,13 @@ def story(i):
     return f"Story {i}: item{i} went to place{i} on day{i} with friend{i} and dog{i}"
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("n", [3, 20])
+def test_equal_pages_keep_their_text(spark, tag, n):
+    rows = [(i, f"http://h.x/{i}", f"<body><{tag}><p>{story(0)}</p></{tag}></body>") for i in range(n)]
+    assert texts(spark, rows) == {i: story(0) for i in range(n)}
+
+
 def test_chunks_do_not_change_results(spark, monkeypatch):
     side, closing = "See what our readers liked most in the past week", "This story was first printed by the daily paper of our town"
     rows = []
