@@ -7,17 +7,19 @@ themselves, compared word for word before an occurrence counts.
 
 Documents are scanned in one pass without a shuffle.  The tables are broadcast; one block of
 benchmark items holds at most ``BLOCK_BYTES`` of text, and a larger benchmark is handled in
-several blocks whose findings are merged per document.
+several blocks whose findings are merged per row, under a key written once to the shared folder.
 
 Defined results: a null text or item has no words and no occurrences; repeated item texts
 count as separate items; an empty benchmark leaves every document clean; an empty document
-table gives an empty result.  With several blocks, rows that share a doc_id are merged.
+table gives an empty result; repeated rows and rows with a repeated or null doc_id each keep
+their own findings, whatever the number of blocks.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from . import words as W
-from .common import ship, table
+from .common import ship, table, written
 
 WINDOW = 10
 #: Most benchmark text in one broadcast block.
@@ -166,19 +168,21 @@ def find_items(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text:
     """Per document: its words, the word ranges inside occurrences, and the items that occur."""
     spark = ship(docs.sparkSession)
     slim = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
-    kind = StructType([slim.schema["_doc"], *FOUND])
-    parts = []
-    for block in _item_blocks(benchmark, item, item_text):
+    blocks = _item_blocks(benchmark, item, item_text)
+    first, second = next(blocks, []), next(blocks, None)
+
+    def search(rows: DataFrame, key: str, block: list[tuple[object, str | None]]) -> DataFrame:
         tables = spark.sparkContext.broadcast(compile_patterns(block, window))
-        parts.append(slim.mapInArrow(lambda it, t=tables: _search(it, t, ["_doc"]), kind))
-    if not parts:
-        tables = spark.sparkContext.broadcast([])
-        parts.append(slim.mapInArrow(lambda it, t=tables: _search(it, t, ["_doc"]), kind))
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        out = out.groupBy("_doc").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        return rows.mapInArrow(lambda it: _search(it, tables, [key]), StructType([rows.schema[key], *FOUND]))
+
+    if second is None:
+        return search(slim, "_doc", first).withColumnRenamed("_doc", doc)
+    slim = written(spark, slim.withColumn("_row", F.monotonically_increasing_id()), "numbered-documents")
+    out = search(slim, "_row", first)
+    for block in chain([second], blocks):
+        out = out.unionByName(search(slim, "_row", block))
+    out = out.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    out = slim.select("_row", "_doc").join(out, "_row").drop("_row")
     return out.withColumnRenamed("_doc", doc)
 
 
