@@ -26,8 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import words as W
 from .common import ship, table, written
-from .encode import encoder
+from .encode import CHUNK_BYTES, encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -193,25 +194,25 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, spaced)
-        end = np.array([end_id], enc.kind).tobytes()
         uid = TaskContext.get().partitionId() << 40
-        for b in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.frombuffer(enc.encode(text.as_py() or "") + end, enc.kind).astype("<u4")
-                first = (len(ids) - 1) % capacity + 1
-                cuts = [0, *range(first, len(ids) + 1, capacity)]
-                for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    raw = ids[s:e].tobytes()
-                    out.append((uid, doc_id, k, s, e - s, zlib.crc32(raw), *([raw] if with_ids else [])))
-                    uid += 1
-            if out:
-                c = list(zip(*out, strict=True))
-                cols = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), *(pa.array(x, pa.int64()) for x in c[3:6])]
-                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(c[6], pa.binary())] if with_ids else [])], names=["_uid", "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+        for part, raw, off in W.chunks(batches, "text", CHUNK_BYTES):
+            ids, bound = enc.encode(raw, off, end_id)
+            ids = ids.astype("<u4")
+            size = np.diff(bound)
+            count = (size - 1) // capacity + 1
+            owner = np.repeat(np.arange(len(size)), count)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            first = (size - 1) % capacity + 1
+            start = np.where(piece > 0, first[owner] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first[owner])
+            view, at = memoryview(ids.tobytes()), 4 * (bound[owner] + start)
+            raws = [view[a:b] for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            cols = [pa.array(uid + np.arange(len(owner))), part.column(0).take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(map(zlib.crc32, raws), pa.int64())]
+            uid += len(owner)
+            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(map(bytes, raws), pa.binary())] if with_ids else [])], names=["_uid", "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
     kind = "_uid long, doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kind)
 
 
 def pack(own: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:

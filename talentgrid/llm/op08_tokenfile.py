@@ -28,8 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import words as W
 from .common import scratch_path, ship, table
-from .encode import encoder
+from .encode import CHUNK_BYTES, encoder
 
 SEQUENCE = 1024
 BATCH_ROWS = 256
@@ -118,19 +119,19 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, spaced)
-        end = np.array([end_id], enc.kind).tobytes()
         fs, folder = pafs.FileSystem.from_uri(path)
         task = TaskContext.get()
         name = f"{folder}/shard-{task.partitionId():06d}"
         temp = f"{name}.{task.taskAttemptId()}"
         writer, low = None, None
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        for part, raw, off in W.chunks(batches, "text", CHUNK_BYTES):
+            ids, bound = enc.encode(raw, off, end_id)
+            for i, doc_id in enumerate(part.column(0).to_pylist()):
                 if writer is None:
                     outs = [fs.open_output_stream(temp + x) for x in (".arrows", ".docs")]
                     writer = ShardWriter(*outs, enc.kind, length, {"end_id": str(end_id)})
                     low = doc_id
-                writer.add(doc_id, enc.encode(text.as_py() or "") + end)
+                writer.add(doc_id, ids[bound[i] : bound[i + 1]].tobytes())
         if writer is not None:
             writer.close()
             for o in outs:

@@ -62,15 +62,15 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches of about CHUNK_BYTES of text, each with its bytes and offsets."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches of about ``size`` bytes of text, each with its bytes and offsets."""
     for batch in batches:
         if not batch.num_rows:
             continue
         raw, off = buffer_of(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < batch.num_rows:
-            end = int(np.searchsorted(off, off[at] + CHUNK_BYTES, "right")) - 1
+            end = int(np.searchsorted(off, off[at] + size, "right")) - 1
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at), raw[off[at] : off[end]], off[at : end + 1] - off[at]
             at = end
