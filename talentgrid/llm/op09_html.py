@@ -2,22 +2,26 @@
 
 One pass reads each page into blocks, in page order, and marks a block as *main* (inside an
 article or main element and outside menus, headers, footers, side bars, notices, adverts,
-forms, scripts, styles and comments), *dropped* (inside one of those), or *open* (a page
-without an article or main element: the page's structure does not tell).
+forms and comments), *dropped* (inside one of those), or *rest*; scripts and styles are no blocks.
 
-Marked or open, what is not dropped is then judged per host: the token streams of the host's
+All blocks, menus and footers too, are then judged per host: the token streams of the host's
 pages are concatenated, a suffix array over them gives the long substrings that occur on
-distinct pages, blocks that those cover are boilerplate, and the unique runs stay.  For an open
-page ``LEAST_PAGES`` pages make a substring boilerplate.  Articles are copied and quoted across
-the pages of a host too, so inside an article the substring must be on nearly all of the host's
-pages (``HOST_SHARE``, and ``HOST_PAGES`` at least), as a fixed closing line is.
+distinct pages, blocks that those cover are boilerplate, and the unique runs stay.  Of these the
+page's structure breaks the rest: where a page has an article or main element its main blocks
+are kept, else its rest blocks.  For a page without such an element a substring on ``LEAST_SHARE``
+of the host's pages (``LEAST_PAGES`` at least) is boilerplate.  Articles are copied and quoted
+across the pages of a host too, so inside an article the substring must be on nearly all of the
+host's pages (``HOST_SHARE``, and ``HOST_PAGES`` at least), as a fixed closing line is.
 
 A host's distinct page contents are dealt into chunks of bounded text and rows by a hash, so a
-host of any size is never one task.  Each chunk's array counts the pages of its substrings; the
-counts are summed over the host before a block is judged, so chunks do not change results.
-Pages with the same blocks count once and get the same text.
-
-Defined results: null or empty html gives an empty text; a page cut off in a tag ends there; extra columns are ignored; an empty table gives an empty result.
+host of any size is never one task.  A substring on a share of a host's pages is on that share
+of some chunk's pages, so each chunk names only such candidates; their pages are then counted
+in every chunk and summed before a block is judged, so chunks do not change results.  Pages
+with the same blocks count once and get the same text.  Pages are read again in each of the
+three passes, since their blocks, written or shuffled twice, would take more disk than the input.
+
+Defined results: null or empty html gives an empty text; a page cut off in a tag ends there;
+repeated rows give a row each; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,19 +35,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from . import words as W
 from .common import ship, table, written
 
 #: Tokens that a repeated substring must have, and pages it must be on.
 LEAST_TOKENS = 8
-LEAST_PAGES = 3
+LEAST_PAGES, LEAST_SHARE = 3, 0.02
 #: Share of a block's tokens under repeated substrings from which it is boilerplate.
 COVERED = 0.8
 #: Share and number of a host's distinct pages that a substring inside an article must be on.
 HOST_SHARE, HOST_PAGES = 0.8, 10
-#: Characters of kept text, and pages, in one chunk of a host.
-CHUNK_CHARS, CHUNK_PAGES = 1_000_000, 400
+#: Characters of markup, and pages, in one chunk of a host.
+CHUNK_CHARS, CHUNK_PAGES = 4_000_000, 2_000
 
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +58,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 MAIN = frozenset(("article", "main"))
+CODEC = pa.Codec("zstd", 3)
 #: Words of class, id and role that mark an element as not the article.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|banner|side-?bar|cookies?|consent|notices?|newsletter|subscribe|promo\w*|popup|modal|share|sharing|social|comments?|disqus|replies|related|recommend\w*|breadcrumbs?|menu|navbar|nav|navigation|footer|masthead|toolbar|widget|pagination|login|signup|complementary|contentinfo|search)(?:$|[\s_-])",
@@ -62,10 +68,9 @@ TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|
 ATTR = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 
-def blocks_of(page: str) -> tuple[list[str], bool]:
-    """The kept blocks of a page, and whether they come from an article or main element."""
-    main: list[str] = []
-    rest: list[str] = []
+def blocks_of(page: str) -> tuple[list[tuple[str, str]], bool]:
+    """(kind, text) of the blocks of a page, and whether it has an article or main element; kinds: m(ain), r(est), d(ropped)."""
+    blocks: list[tuple[str, str]] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # element, dropped by itself, main
     dropped = inside = 0
@@ -73,10 +78,9 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
 
     def flush() -> None:
         if text:
-            if not dropped:
-                block = " ".join(html_lib.unescape("".join(text)).split())
-                if block:
-                    (main if inside else rest).append(block)
+            block = " ".join(html_lib.unescape("".join(text)).split())
+            if block:
+                blocks.append(("d" if dropped else "m" if inside else "r", block))
             text.clear()
 
     at, size = 0, len(page)
@@ -135,7 +139,7 @@ def blocks_of(page: str) -> tuple[list[str], bool]:
         dropped += off
         inside += is_main and not off
     flush()
-    return (main, True) if has_main else (rest, False)
+    return blocks, has_main
 
 
 def suffix_ranks(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -210,43 +214,84 @@ class Stream:
         return np.split(share, np.cumsum([len(own) for own in self.pages])[:-1])
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts, marked = [], []
-        for h in b.column("_html"):
-            blocks, sure = blocks_of(h.as_py() or "")
-            texts.append(blocks)
-            marked.append(sure)
-        kept = [b.column(c) for c in ("_page", "_url", "_host")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(marked, pa.bool_()), pa.array(texts, pa.list_(pa.string()))], names=["_page", "_url", "_host", "_marked", "_blocks"])
+def packed(page: str) -> bytes:
+    """Blocks of a page as compressed lines: each its kind (in capitals, if structure keeps it) and its text."""
+    blocks, marked = blocks_of(page)
+    kept = "m" if marked else "r"
+    lines = [("M" if marked else "-"), *((k.upper() if k == kept else k) + t for k, t in blocks)]
+    raw = "\n".join(lines).encode()
+    return len(raw).to_bytes(8, "little") + CODEC.compress(raw, asbytes=True)
+
 
+def unpacked(z: bytes) -> tuple[bool, list[str], list[bool]]:
+    """Whether the page is marked, its blocks, and which of them structure keeps."""
+    lines = CODEC.decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True).decode().split("\n")
+    return lines[0] == "M", [x[1:] for x in lines[1:]], [x[0] in "MR" for x in lines[1:]]
 
-def _count(rows: pd.DataFrame) -> pd.DataFrame:
-    """The substrings of one chunk and the number of its pages that hold each."""
-    key, n = Stream([list(own) for own in rows["_blocks"]]).counts()
-    return pd.DataFrame({"_host": rows["_host"].iloc[0], "_chunk": rows["_chunk"].iloc[0], "_sub": key, "_n": n})
+
+def _parse(batches: Iterator[pa.RecordBatch], once: bool) -> Iterator[pa.RecordBatch]:
+    """Packed blocks behind the other columns; ``once``: each content of a host once per batch."""
+    for b in batches:
+        seen: set[tuple] = set()
+        take, out, keys = [], [], []
+        for i, (host, h) in enumerate(zip(b.column("_host").to_pylist(), b.column("_html"), strict=True)):
+            z = packed(h.as_py() or "")
+            key = xxh64_intdigest(z) - (1 << 63)
+            if once and (host, key) in seen:
+                continue
+            seen.add((host, key))
+            take.append(i)
+            out.append(z)
+            keys.append(key)
+        at = pa.array(take, pa.int64())
+        kept = [n for n in b.schema.names if n != "_html"]
+        yield pa.RecordBatch.from_arrays([*(b.column(n).take(at) for n in kept), pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=[*kept, "_key", "_z"])
+
+
+def _contents(rows: pd.DataFrame) -> list[list[str]]:
+    """Blocks of the distinct contents of one chunk."""
+    return [unpacked(z)[1] for z in rows.drop_duplicates("_key")["_z"]]
+
+
+def _candidates(rows: pd.DataFrame) -> pd.DataFrame:
+    """Substrings that may reach the least share of their host, with their pages in this chunk; first, the number of pages."""
+    pages = _contents(rows)
+    key, n = Stream(pages).counts()
+    share = max(LEAST_SHARE, LEAST_PAGES / int(rows["_rows"].iloc[0]))
+    hit = n >= share * len(pages) * (1 - 1e-9)
+    return pd.DataFrame({"_host": rows["_host"].iloc[0], "_chunks": rows["_chunks"].iloc[0], "_all": [True] + [False] * int(hit.sum()), "_sub": np.concatenate(([0], key[hit])), "_n": np.concatenate(([len(pages)], n[hit]))})
+
+
+def _recount(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """Pages of one chunk that hold each candidate of its host."""
+    if not len(rows) or not len(asked):
+        return pd.DataFrame({"_host": [], "_sub": [], "_n": []}, dtype=object)
+    key, n = Stream(_contents(rows)).counts()
+    hit = np.isin(key, asked["_sub"].to_numpy(np.int64))
+    return pd.DataFrame({"_host": np.full(int(hit.sum()), rows["_host"].iloc[0], object), "_sub": key[hit], "_n": n[hit]})
 
 
 def _decide(rows: pd.DataFrame, repeated: pd.DataFrame) -> pd.DataFrame:
-    """The text of each page of one chunk, as a marked and as an open page; ``repeated`` has the host's counts."""
+    """The text of each page of one lane; ``repeated`` has the counts of the host's substrings and its number of pages."""
     if not len(rows):
-        return pd.DataFrame({"_host": [], "_key": [], "_marked": [], "_text": []})
-    stream = Stream([list(own) for own in rows["_blocks"]])
-    repeated = repeated.sort_values("_sub")
-    sub, n = repeated["_sub"].to_numpy(np.int64), repeated["_n"].to_numpy(np.int64)
-    keys = stream.keys()
-    count = np.zeros(len(keys), np.int64)
-    if len(sub):
+        return pd.DataFrame({"_page": [], "_url": [], "_text": []}, dtype=object)
+    by_key = rows.drop_duplicates("_key")
+    found = [unpacked(z) for z in by_key["_z"]]
+    covered = {True: None, False: None}
+    if len(repeated):
+        stream = Stream([own for _, own, _ in found])
+        repeated = repeated.sort_values("_sub")
+        sub, n = repeated["_sub"].to_numpy(np.int64), repeated["_n"].to_numpy(np.int64)
+        keys = stream.keys()
         place = np.minimum(np.searchsorted(sub, keys), len(sub) - 1)
         count = np.where(sub[place] == keys, n[place], 0)
-    whole = max(HOST_PAGES, int(np.ceil(HOST_SHARE * rows["_pages"].iloc[0])))
-    out = []
-    for marked, need in ((True, whole), (False, LEAST_PAGES)):
-        shares = stream.cover(count >= need)
-        text = ["\n".join(b for b, s in zip(own, share, strict=True) if s < COVERED) for own, share in zip(stream.pages, shares, strict=True)]
-        part = pd.DataFrame({"_host": rows["_host"], "_key": rows["_key"], "_marked": marked, "_text": text})
-        out.append(part[rows["_any_marked" if marked else "_any_open"].to_numpy(bool)])
-    return pd.concat(out)
+        whole = max(HOST_PAGES, int(np.ceil(HOST_SHARE * repeated["_pages"].iloc[0])))
+        covered = {True: stream.cover(count >= whole), False: stream.cover(count > 0)}
+    text = {}
+    for i, (key, (marked, own, kept)) in enumerate(zip(by_key["_key"], found, strict=True)):
+        share = np.zeros(len(own)) if covered[marked] is None else covered[marked][i]
+        text[key] = "\n".join(b for b, k, s in zip(own, kept, share, strict=True) if k and s < COVERED)
+    return pd.DataFrame({"_page": list(rows["_page"]), "_url": list(rows["_url"]), "_text": [text[k] for k in rows["_key"]]}, dtype=object)
 
 
 def extract(pages: DataFrame, page: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
@@ -254,20 +299,32 @@ def extract(pages: DataFrame, page: str = "page_id", url: str = "url", markup: s
     spark = ship(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     # ids travel as text: pandas would turn a long with nulls into a double
-    own = pages.select(F.col(page).cast("string").alias("_page"), F.col(url).cast("string").alias("_url"), host.alias("_host"), F.col(markup).alias("_html"))
-    parsed = own.mapInArrow(_parse, "_page string, _url string, _host string, _marked boolean, _blocks array<string>")
-    parsed = written(spark, parsed.withColumn("_key", F.xxhash64("_blocks")), "parsed-pages")
-    contents = parsed.groupBy("_host", "_key").agg(F.first("_blocks").alias("_blocks"), F.bool_or("_marked").alias("_any_marked"), F.bool_or(~F.col("_marked")).alias("_any_open"))
-    contents = written(spark, contents, "contents")
-    size = F.aggregate("_blocks", F.lit(0).cast("long"), lambda n, b: n + F.length(b))
-    chunks = F.greatest(F.ceil(F.sum(size) / CHUNK_CHARS), F.ceil(F.count("*") / CHUNK_PAGES), F.lit(1))
-    hosts = written(spark, contents.groupBy("_host").agg(chunks.alias("_chunks"), F.count("*").alias("_pages")), "hosts")  # its size on disk tells Spark whether to broadcast it
-    dealt = contents.join(hosts, "_host").withColumn("_chunk", F.pmod("_key", "_chunks")).drop("_chunks")
-    counts = dealt.select("_host", "_chunk", "_blocks").groupBy("_host", "_chunk").applyInPandas(_count, "_host string, _chunk long, _sub long, _n long")
-    summed = counts.groupBy("_host", "_sub").agg(F.sum("_n").alias("_n"), F.collect_list("_chunk").alias("_chunk")).filter(F.col("_n") >= LEAST_PAGES)
-    repeated = written(spark, summed.withColumn("_chunk", F.explode("_chunk")), "repeated")
-    texts = dealt.groupBy("_host", "_chunk").cogroup(repeated.groupBy("_host", "_chunk")).applyInPandas(_decide, "_host string, _key long, _marked boolean, _text string")
-    out = parsed.drop("_blocks").join(written(spark, texts, "texts"), ["_host", "_key", "_marked"])
+    own = pages.select(F.col(page).cast("string").alias("_page"), F.col(url).cast("string").alias("_url"), host.alias("_host"), F.col(markup).cast("string").alias("_html"))
+    size = F.coalesce(F.sum(F.length("_html")), F.lit(0))
+    chunks = F.greatest(F.ceil(size / CHUNK_CHARS), F.ceil(F.count("*") / CHUNK_PAGES), F.lit(1))
+    hosts = written(spark, own.groupBy("_host").agg(chunks.alias("_chunks"), F.count("*").alias("_rows")), "hosts")  # its size on disk tells Spark whether to broadcast it
+
+    def dealt(rows: DataFrame, once: bool) -> DataFrame:
+        """Rows with packed blocks, in chunks by content, or in lanes by row."""
+        cols = ["_host", "_chunks", "_rows", "_html"] if once else ["_host", "_page", "_url", "_lane", "_html"]
+        kind = ", ".join(f"{c} {'string' if c in ('_host', '_page', '_url') else 'long'}" for c in cols[:-1])
+        rows = rows.select(*cols).mapInArrow(lambda it: _parse(it, once), kind + ", _key long, _z binary")
+        return rows.withColumn("_chunk", F.pmod("_key", "_chunks")) if once else rows
+
+    joined = own.join(hosts, "_host")
+    named = dealt(joined, True).groupBy("_host", "_chunk").applyInPandas(_candidates, "_host string, _chunks long, _all boolean, _sub long, _n long")
+    named = written(spark, named, "candidates")
+    total = named.filter("_all").groupBy("_host").agg(F.sum("_n").alias("_pages"))
+    single = named.filter("not _all and _chunks = 1").select("_host", "_sub", "_n")
+    asked = named.filter("not _all and _chunks > 1").select("_host", "_chunks", "_sub").distinct()
+    asked = asked.select("_host", "_sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("_chunk"))
+    many = dealt(joined.filter("_chunks > 1"), True).groupBy("_host", "_chunk").cogroup(asked.groupBy("_host", "_chunk")).applyInPandas(_recount, "_host string, _sub long, _n long")
+    many = many.groupBy("_host", "_sub").agg(F.sum("_n").alias("_n"))
+    least = F.greatest(F.lit(LEAST_PAGES), F.ceil(LEAST_SHARE * F.col("_pages")))
+    repeated = written(spark, single.unionByName(many).join(total, "_host").filter(F.col("_n") >= least), "repeated")
+    lanes = repeated.join(hosts, "_host").select("_host", "_sub", "_n", "_pages", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("_lane"))
+    rows = dealt(joined.withColumn("_lane", F.pmod(F.monotonically_increasing_id(), "_chunks")), False)
+    out = rows.groupBy("_host", "_lane").cogroup(lanes.groupBy("_host", "_lane")).applyInPandas(_decide, "_page string, _url string, _text string")
     return out.select(F.col("_page").cast(pages.schema[page].dataType).alias(page), F.col("_url").cast(pages.schema[url].dataType).alias(url), F.col("_text").alias("text"))
 
 
