@@ -1,19 +1,20 @@
 """Sharding by vector bin packing.
 
-Each group of equal texts has a vector of bytes, tokens (words) and rows.  Groups are folded
-into a fixed number of cells by the hash of their text, so that a group stays in one cell and
-one shard; a group with more than ``HOT_SHARE`` of all bytes or rows, too much for an even
-split, is dealt over many cells by doc_id instead.  The cells' summed vectors, never the documents, come to the driver:
-``CELLS`` rows at most, whatever the input.  There each cell, largest first, goes to the
-shard where the dot product of its vector with the residual capacity is highest; a last pass
-moves cells between the heaviest and lightest shards.  Law: ``bytes``.
+Each group of equal texts has a vector of bytes, tokens (words) and rows.  A group with more
+than ``LARGE_SHARE`` of all bytes or rows is placed by itself; the many smaller groups are
+folded whole into a fixed number of cells by the hash of their text.  Only a group above an
+even share of a shard, which no even split could hold, is dealt in parts.  The summed vectors of
+groups and cells, never the documents, come to the driver: ``CELLS`` and ``LANES`` for each
+large group at most, whatever the input.  There each, largest first, goes to the shard where the
+dot product of its vector with the residual capacity is highest; a last pass moves some between
+the heaviest and lightest shards.  Law: ``bytes``.
 
 Slots are gapless by arithmetic: the rows of a shard's lanes before this one, plus the row's
 rank in its lane.  A lane is a cell, or one of ``LANES`` parts of a large group, so neither a
 shard nor a large group is sorted or counted in one task.
 
 Defined results: a null text has no bytes (size 1, crc 0) and groups with other null and
-empty texts; repeated rows get slots of their own; extra columns are ignored; an empty table
+empty texts; repeated rows get slots of their own, ties in any order; extra columns are ignored; an empty table
 gives an empty result.
 """
 
@@ -27,9 +28,7 @@ from .common import table, written
 
 SHARDS = 8
 CELLS = 1 << 14
-#: Groups above this share of all bytes or rows are split.
-HOT_SHARE = 1 / 16
-#: Groups above this share of all rows get lanes of their own; at most 1 / LARGE_SHARE groups.
+#: Groups above this share of all bytes or rows are placed by themselves; at most 2 / LARGE_SHARE groups.
 LARGE_SHARE = 1 / 1024
 LANES = 64
 
@@ -69,10 +68,10 @@ def place(vectors: np.ndarray, shards: int, weight: tuple[float, ...] = (4.0, 1.
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, words and the hash of the text."""
+    """doc_id, size, text_crc32, words, the hash of the text and a number of each row."""
     t = F.coalesce(F.col("text"), F.lit(""))
     words = F.size(F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), ""))
-    return docs.select("doc_id", (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), words.cast("long").alias("words"), F.xxhash64(t).alias("_h"))
+    return docs.select("doc_id", (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), words.cast("long").alias("words"), F.xxhash64(t).alias("_h"), F.monotonically_increasing_id().alias("_row"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS) -> DataFrame:
@@ -80,33 +79,31 @@ def shard(docs: DataFrame, shards: int = SHARDS, cells: int = CELLS) -> DataFram
     spark = docs.sparkSession
     rows = written(spark, measured(docs), "sizes")
     total = rows.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
-    big = rows.groupBy("_h").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
     n_rows, n_bytes = total["n"], total["b"] or 0
-    by_group = big.filter((F.col("n") > 1) & ((F.col("b") > n_bytes * HOT_SHARE) | (F.col("n") > n_rows * LARGE_SHARE)))
-    found = by_group.collect()  # at most 1 / LARGE_SHARE + 1 / HOT_SHARE rows
-    hot = [r["_h"] for r in found if r["b"] > n_bytes * HOT_SHARE or r["n"] > n_rows * HOT_SHARE]
-    large = [r["_h"] for r in found if r["n"] > n_rows * LARGE_SHARE]
-    cell = F.pmod(F.xxhash64("_h"), F.lit(cells))
-    lane = F.lit(0).cast("long")
-    if hot:
-        cell = F.when(F.col("_h").isin(hot), F.pmod(F.xxhash64("_h", "doc_id"), F.lit(cells))).otherwise(cell)
-    if large:
-        lane = F.when(F.col("_h").isin(large), F.pmod(F.xxhash64("doc_id"), F.lit(LANES)) + 1).otherwise(lane)
-    celled = rows.withColumns({"_cell": cell, "_lane": lane})
-    sums = celled.groupBy("_cell", "_lane").agg(F.sum("size"), F.sum("words"), F.count("*")).collect()  # one row per lane
+    groups = rows.groupBy("_h").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    # at most 2 / LARGE_SHARE rows
+    found = groups.filter((F.col("b") > n_bytes * LARGE_SHARE) | (F.col("n") > n_rows * LARGE_SHARE)).orderBy("_h").collect()
+    even = 1 / shards
+    large = [(r["_h"], -1 - i, LANES if r["n"] > n_rows * LARGE_SHARE else 1, r["n"] > 1 and (r["b"] > n_bytes * even or r["n"] > n_rows * even)) for i, r in enumerate(found)]
+    by_hash = F.broadcast(spark.createDataFrame(large, "_h long, _own long, _lanes int, _split boolean"))  # as many rows as found
+    lane = F.when(F.col("_lanes") > 1, F.pmod(F.xxhash64("_row"), F.col("_lanes"))).otherwise(F.lit(0)).cast("long")
+    celled = rows.join(by_hash, "_h", "left").select("doc_id", "size", "text_crc32", "words", "_row", F.coalesce("_own", F.pmod(F.xxhash64("_h"), F.lit(cells))).alias("_cell"), lane.alias("_lane"))
+    sums = celled.groupBy("_cell", "_lane").agg(F.sum("size"), F.sum("words"), F.count("*")).collect()  # one row per lane: CELLS + 2 * LANES / LARGE_SHARE at most
     sums.sort(key=lambda r: (r[0], r[1]))
-    index = {c: i for i, c in enumerate(dict.fromkeys(r[0] for r in sums))}
+    split = {own for _, own, _, s in large if s}
+    item = [(r[0], r[1] if r[0] in split else 0) for r in sums]  # what is placed as one: a group, a cell, or a part of a split group
+    index = {c: i for i, c in enumerate(dict.fromkeys(item))}
     vectors = np.zeros((len(index), 3))
-    for r in sums:
-        vectors[index[r[0]]] += [float(x) for x in r[2:]]
+    for key, r in zip(item, sums, strict=True):
+        vectors[index[key]] += [float(x) for x in r[2:]]
     to = place(vectors, shards)
     seen, plan = [0] * shards, []
-    for r in sums:
-        s = int(to[index[r[0]]])
+    for key, r in zip(item, sums, strict=True):
+        s = int(to[index[key]])
         plan.append((r[0], r[1], s, seen[s]))
         seen[s] += r[4]
     plan_df = F.broadcast(spark.createDataFrame(plan, "_cell long, _lane long, shard int, base long"))  # one row per lane
-    rank = F.row_number().over(Window.partitionBy("_cell", "_lane").orderBy("doc_id", "text_crc32", "size"))
+    rank = F.row_number().over(Window.partitionBy("_cell", "_lane").orderBy("doc_id", "_row"))
     placed = celled.join(plan_df, ["_cell", "_lane"]).withColumn("slot", (F.col("base") + rank - 1).cast("long"))
     return placed.select("doc_id", "size", "text_crc32", "shard", "slot")
 
