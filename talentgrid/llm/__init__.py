@@ -5,18 +5,6 @@ entry module; each ``opNN`` module holds one operator with its general interface
 thin query over the stated table.
 """
 
-from __future__ import annotations
+from .catalog import oracle_sql, queries
 
-
-def queries() -> dict:
-    """Every numbered query of this subpackage, plus the corpus pipeline."""
-    from . import catalog
-
-    return catalog.queries()
-
-
-def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL for the queries that SQL can express."""
-    from . import catalog
-
-    return catalog.oracle_sql()
+__all__ = ["oracle_sql", "queries"]

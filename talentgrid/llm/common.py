@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 
-__all__ = ["remove_path", "scratch_dir", "scratch_path", "ship", "table", "written"]
+__all__ = ["discard", "remove_path", "scratch_dir", "scratch_path", "ship", "table", "written"]
 
 
 #: Spark's setting that removes shuffle files when a SQL execution ends.
@@ -24,13 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, single machine) a local folder is made once
-    per session and remembered under the same setting.
+    Only where the session names none (tests, one machine) a local folder is made, once per
+    application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="talentgrid-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not hasattr(sc, "_talentgrid_scratch"):
+            sc._talentgrid_scratch = "file://" + tempfile.mkdtemp(prefix="talentgrid-")
+        found = sc._talentgrid_scratch
     return found.rstrip("/")
 
 
@@ -52,7 +56,15 @@ def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._talentgrid_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing reads any more."""
+    for df in tables:
+        remove_path(df.sparkSession, df._talentgrid_path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
