@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import ship, table, written
+from .common import discard, ship, table, written
 
 WINDOW = 35
 SEED = 8
@@ -153,6 +153,7 @@ def repeated_windows(docs: DataFrame, doc: str = "doc_id", text: str = "text", w
     again = every.groupBy("g").agg(F.count("*").alias("c"), F.min("stretch").alias("lo"), F.max("stretch").alias("hi"))
     again = written(spark, again.filter("c > 1").select("g", (F.col("lo") == F.col("hi")).alias("pure")), "seeds-repeated")
     left = written(spark, every.join(again, "g"), "stretches")
+    discard(every, again)
     whole = F.lit(1).cast("long")
     whole = (F.call_function("shiftleft", whole, F.col("n").cast("int")) - 1).alias("mask")
     sure = left.filter("pure").select("_rid", "a", whole)
@@ -165,13 +166,18 @@ def repeated_windows(docs: DataFrame, doc: str = "doc_id", text: str = "text", w
     ctx = written(spark, ctx, "contexts")
     alive = None
     for length in _lengths(window, seed):
+        before = alive
         state = ctx.withColumn("alive", whole) if alive is None else ctx.join(alive, ["_rid", "a", "g"])
         state = state.select("_rid", "a", "g", "at", "n", "alive", "ctx")
         found = state.mapInArrow(lambda it, m=length: _expand(it, m, window, seed), "_rid long, a int, g long, key long, mask long")
         twice = found.groupBy("g", "key").count().filter("count > 1").select("g", "key")
         alive = written(spark, found.join(twice, ["g", "key"]).groupBy("_rid", "a", "g").agg(F.bit_or("mask").alias("alive")), f"windows-{length}")
+        if before is not None:
+            discard(before)
     single = ctx.filter("k = 1").join(alive, ["_rid", "a", "g"]).select("_rid", "a", F.col("alive").alias("mask"))
-    return sure.unionByName(single)
+    marks = written(spark, sure.unionByName(single), "repeated-windows")
+    discard(left, kinds, ctx, alive)
+    return marks
 
 
 def _remove(batches: Iterator[pa.RecordBatch], window: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
