@@ -12,6 +12,8 @@ WEIGHTS = {
     "next_step": (0.13, 0.25, 0.28, 0.13, 0.14, 0.07),
     "aspirational": (0.10, 0.40, 0.20, 0.10, 0.15, 0.05),
 }
+#: Weights of the score that ranks, diversifies and is shown, whatever the bucket.
+FINAL_WEIGHTS = (0.20, 0.10, 0.30, 0.23, 0.10, 0.07)
 #: Shown score bands.
 BANDS = {"ready_now": (85, 98), "next_step": (70, 84), "aspirational": (50, 69)}
 #: Credits of the ways to meet a requirement.
@@ -28,10 +30,10 @@ def gated_domain(domain: Column, skill: Column) -> Column:
     return F.when(skill >= 0.35, domain).when(skill >= 0.20, F.least(domain, F.lit(0.50))).otherwise(F.least(domain, F.lit(0.25)))
 
 
-def weighted(signals: dict[str, Column], bucket: str) -> Column:
-    """Weighted sum of clamped signals, in the fixed order of signals."""
+def weighted(signals: dict[str, Column], bucket: str | None) -> Column:
+    """Weighted sum of clamped signals, in the fixed order of signals; no bucket: the final score."""
     total = F.lit(0.0)
-    for name, w in zip(SIGNALS, WEIGHTS[bucket], strict=True):
+    for name, w in zip(SIGNALS, WEIGHTS[bucket] if bucket else FINAL_WEIGHTS, strict=True):
         total = total + clamp01(signals[name]) * F.lit(w)
     return total
 
@@ -114,8 +116,35 @@ def priority_label(p: Column) -> Column:
 
 
 def effort_label(transfer: Column) -> Column:
-    return F.when(transfer >= 0.75, "quick_win").when(transfer > 0, "moderate").otherwise("significant")
-
+    return F.when(transfer >= 0.75, "quick_win").when(transfer > 0, "moderate").otherwise("substantial")
+
+
+def signal_status(transfer: Column, source: Column) -> Column:
+    return F.when(transfer <= 0, "missing").when(source == "context", "weakly_evidenced").otherwise("partial")
+
+
+#: How well a gap of each domain can be proven.
+PROOF_SIGNAL = {
+    "softskills": 0.65, "soft skills": 0.65, "security": 0.95, "networking": 0.95, "software engineering": 0.9, "cloud": 0.95, "devops": 0.95,
+    "databases": 0.9, "backend": 0.9, "frontend": 0.9, "data engineering": 0.9, "ai": 0.85,
+}
+#: Broad traits, phrases that mark one, soft domains, and marks of a concrete skill.
+GENERIC_SKILLS = ("adaptability", "analytical skills", "attention to detail", "collaboration", "communication", "critical thinking", "leadership", "problem solving", "teamwork", "time management")
+GENERIC_PHRASES = ("communication", "collaboration", "leadership", "problem solving", "teamwork")
+SOFT_DOMAINS = ("softskills", "soft skills", "interpersonal skills")
+TECHNICAL_MARKS = ("api", "aws", "azure", "ci cd", "css", "dns", "docker", "ethereum", "gcp", "git", "html", "javascript", "kubernetes", "linux", "node", "python", "react", "rest", "sql", "terraform", "typescript", "web3")
+
+
+def specificity(key: Column, domain_key: Column) -> Column:
+    """How concrete a skill (by its key) is; a technical mark counts anywhere in the key."""
+    return (
+        F.when(key.rlike("|".join(TECHNICAL_MARKS)), 0.95)
+        .when(key.isin(*GENERIC_SKILLS), 0.20)
+        .when(domain_key.isin(*SOFT_DOMAINS), 0.35)
+        .when(key.rlike("|".join(GENERIC_PHRASES)), 0.45)
+        .when(F.contains(key, F.lit(" ")), 0.85)
+        .otherwise(0.70)
+    )
 
 def salary_text(monthly: Column) -> Column:
     """Yearly thousands, or '' if unknown."""

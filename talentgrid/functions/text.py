@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 SPACES = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
+def bind(x: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is read."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def folded(x: Column) -> Column:
     """Lower case, with the one frequent letter whose full case folding differs."""
     return F.lower(F.replace(x, F.lit("ß"), F.lit("ss")))
@@ -57,10 +62,33 @@ def card_summary(x: Column, most: int = 180) -> Column:
 
 
 def ordered_distinct(values: Column, key=lambda v: F.lower(F.trim(v))) -> Column:
-    """First spelling of each key, in order; blanks dropped."""
+    """First spelling of each key, in order; blanks and nulls dropped."""
     kept = F.filter(values, lambda v: F.coalesce(F.trim(v), F.lit("")) != "")
-    keys = F.transform(kept, key)
-    return F.filter(kept, lambda v, i: F.array_position(keys, key(v)) == i + 1)
+    # each key with its first place: a value stays where it is the first of its key
+    pair = lambda k: F.filter(k["v"], lambda v, i: F.array_position(k["k"], key(v)) == i + 1)
+    return bind(F.struct(kept.alias("v"), F.transform(kept, key).alias("k")), pair)
+
+
+def clean_distinct(values: Column) -> Column:
+    """Cleaned values, the first spelling of each, in order."""
+    return ordered_distinct(F.transform(F.coalesce(values, F.array().cast("array<string>")), clean_text), folded)
+
+
+def trimmed_distinct(values: Column, most: int = 50) -> Column:
+    """Trimmed values, the first spelling of each, ``most`` at most."""
+    return F.slice(F.transform(ordered_distinct(F.coalesce(values, F.array().cast("array<string>"))), lambda v: F.trim(v)), 1, most)
+
+
+def joined_distinct(values: Column, most: int | None = None) -> Column:
+    """Clean distinct values as one text, or null."""
+    v = clean_distinct(values)
+    text = F.array_join(F.slice(v, 1, most) if most else v, ", ")
+    return F.nullif(text, F.lit(""))
+
+
+def first_text(*values: Column) -> Column:
+    """First value that is not blank, cleaned."""
+    return F.coalesce(*[clean_text(v) for v in values])
 
 
 def split_list(x: Column, pattern: str = r"[;,|\n•]+") -> Column:
@@ -115,9 +143,15 @@ LEVEL_ALIASES = (
 
 def seniority_level(title: Column) -> Column:
     """Level named in a title as a whole word, highest level first, then the other names; else null."""
-    t = F.concat(F.lit(" "), skill_key(title), F.lit(" "))
     tests = [(x, x) for x in reversed(LEVELS)] + list(LEVEL_ALIASES)
-    return F.coalesce(*[F.when(F.contains(t, F.lit(f" {word} ")), F.lit(level)) for word, level in tests])
+    return bind(F.concat(F.lit(" "), skill_key(title), F.lit(" ")), lambda t: F.coalesce(*[F.when(F.contains(t, F.lit(f" {word} ")), F.lit(level)) for word, level in tests]))
+
+
+def level_of_label(label: Column) -> Column:
+    """Level of a structured label (a level or one of its other names); else null."""
+    k = folded(F.trim(label))
+    known = F.create_map(*[F.lit(v) for x in (*((x, x) for x in LEVELS), *LEVEL_ALIASES) for v in x])
+    return known[k]
 
 
 def seniority_gap(user: Column, role: Column) -> tuple[Column, Column]:
@@ -129,45 +163,169 @@ def seniority_gap(user: Column, role: Column) -> tuple[Column, Column]:
     return label, fit
 
 
-#: Keywords of each career domain, in order of output (own selection of terms).
+#: Keywords of each career domain, in order of output.
 DOMAIN_WORDS = {
-    "backend": ("backend", "api", "server"),
-    "cloud": ("cloud", "aws", "azure"),
-    "frontend": ("frontend", "react", "web"),
-    "ai_ml": ("ai", "machine learning", "ml"),
-    "data_analytics": ("analytics", "reporting", "statistics"),
-    "qa_testing": ("qa", "testing", "test automation"),
-    "support": ("support", "help desk", "on"),
-    "project_management": ("project", "agile", "the"),
+    "architecture": ("architect", "architecture", "system design", "distributed systems"),
+    "backend": ("backend", "api", "rest", "service", "server", "microservice"),
+    "cloud": ("cloud", "aws", "azure", "gcp", "infrastructure"),
+    "frontend": ("frontend", "front end", "react", "vue", "angular", "web ui"),
+    "fullstack": ("fullstack", "full stack"),
+    "software_engineering": ("software engineering", "software engineer", "software developer", "software development", "tooling engineer", "developer tooling"),
+    "ai_ml": ("artificial intelligence", "machine learning", "deep learning", "ai", "ml"),
+    "automation_scripting": ("automation", "scripting", "process automation", "workflow"),
+    "data_engineering": ("big data", "data scale", "data engineering", "data pipeline", "etl", "spark"),
+    "data_analytics": ("analytics", "business intelligence", "dashboard", "reporting", "sql analysis"),
+    "devops": ("devops", "ci cd", "continuous integration", "jenkins", "ansible", "build automation", "release cadence", "kubernetes", "docker", "terraform", "platform engineering"),
+    "qa_testing": ("qa", "quality assurance", "testing", "test automation", "automated testing", "selenium", "junit", "quality gates"),
+    "cybersecurity": ("security", "cybersecurity", "appsec", "iam", "threat"),
+    "database": ("database", "postgres", "postgresql", "mysql", "sql", "nosql"),
+    "ux_ui": ("ux", "ui", "user experience", "user interface", "design system"),
+    "support": ("support", "customer success", "helpdesk", "service desk"),
+    "project_management": ("project management", "program management", "scrum", "agile", "stakeholder"),
 }
 
 
 def keyword_domains(text: Column, words: dict[str, tuple[str, ...]] = DOMAIN_WORDS) -> Column:
     """Domains with a keyword in the text as whole words, in the table's order."""
-    t = F.concat(F.lit(" "), skill_key(text), F.lit(" "))
-    hits = []
-    for name, keys in words.items():
-        any_ = F.lit(False)
-        for k in keys:
-            any_ = any_ | F.contains(t, F.lit(f" {k} "))
-        hits.append(F.when(any_, F.lit(name)))
-    return F.array_compact(F.array(*hits))
 
+    def named(t: Column) -> Column:
+        hits = []
+        for name, keys in words.items():
+            any_ = F.lit(False)
+            for k in keys:
+                any_ = any_ | F.contains(t, F.lit(f" {k} "))
+            hits.append(F.when(any_, F.lit(name)))
+        return F.array_compact(F.array(*hits))
+
+    return bind(F.concat(F.lit(" "), skill_key(text), F.lit(" ")), named)
+
+
+#: Words that say nothing about a domain.
+DOMAIN_STOPS = ("and", "the", "with", "for", "role", "engineer", "developer", "specialist", "analyst", "senior", "junior", "mid", "level", "builds", "building", "systems", "using")
+
+
+def domain_terms(terms: Column) -> Column:
+    """Words of more than three letters that are no stop words, and their adjacent pairs, of an array of texts."""
+
+    def one(term: Column) -> Column:
+        key = skill_key(F.replace(F.coalesce(term, F.lit("")), F.lit("_"), F.lit(" ")))
+        words = F.filter(F.split(key, " "), lambda w: (F.length(w) > 3) & ~w.isin(*DOMAIN_STOPS))
+        pairs = lambda w: F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(w, i), x))
+        return bind(words, lambda w: F.concat(w, pairs(w)))
+
+    return F.array_distinct(F.flatten(F.transform(terms, one)))
+
+
+#: Words that mark personal data in what is said about a free-text item.
+PII_TERMS = ("address", "birth", "contact", "date of birth", "email", "gender", "nationality", "phone", "website")
+
+
+def is_pii(label: Column, section: Column, reason: Column, value: Column) -> Column:
+    """A marking word in label, section or reason, or an address in the value."""
+    low = F.lower(F.concat_ws(" ", label, section, reason))
+    v = F.lower(F.coalesce(value, F.lit("")))
+    return low.rlike("|".join(PII_TERMS)) | v.rlike("https?://|@")
+
+
+#: Certifications that count as one another.
+CERTIFICATION_GROUPS = (
+    ("Google Data Analytics Certificate", "Google Data Analytics Professional Certificate"),
+    ("Oracle Certified Associate Java Programmer", "Oracle Certified Associate (OCA) - Java", "Oracle Java Programmer Certification", "OCA Java"),
+    ("CompTIA A+", "CompTIA A Plus", "CompTIA A+ Certification"),
+)
 
-#: Words that mark personal data in free-text items.
-PII_TERMS = ("address", "birth", "email", "e-mail", "linkedin", "nationality", "passport", "phone", "photo")
 
+def certification_group(name: Column, groups: tuple[tuple[str, ...], ...] = CERTIFICATION_GROUPS) -> Column:
+    """One key for all names of a group of certifications, else the own key; '' if blank."""
 
-def is_pii(label: Column, value: Column) -> Column:
-    """A marking word in the label, or an address in the value."""
-    low = F.lower(F.coalesce(label, F.lit("")))
-    hit = F.lit(False)
-    for t in PII_TERMS:
-        hit = hit | F.contains(low, F.lit(t))
-    v = F.coalesce(value, F.lit(""))
-    for t in ("http://", "https://", "@"):
-        hit = hit | F.contains(v, F.lit(t))
-    return hit
+    def grouped(key: Column) -> Column:
+        out = None
+        for n, names in enumerate(groups):
+            same = F.exists(F.array(*[certification_key(F.lit(x)) for x in names]), lambda k: k == key)
+            out = (F.when if out is None else out.when)(same, F.lit(f"group {n}"))
+        return out.otherwise(key)
+
+    return bind(certification_key(name), grouped)
+
+
+#: Degree abbreviations and what they stand for, in order.
+DEGREES = (
+    (r"\bm\s*\.?\s*sc\b", "master science"),
+    (r"\bb\s*\.?\s*sc\b", "bachelor science"),
+    (r"\bm\s*\.?\s*eng\b", "master engineering"),
+    (r"\bb\s*\.?\s*eng\b", "bachelor engineering"),
+    (r"\bm\s*\.?\s*a\b", "master arts"),
+    (r"\bb\s*\.?\s*a\b", "bachelor arts"),
+    (r"\bmsc\b", "master science"),
+    (r"\bbsc\b", "bachelor science"),
+)
+#: Words left out in the second comparison of two texts.
+LIGHT_STOPS = ("a", "an", "and", "for", "in", "of", "the", "with")
+
+
+def plain_text(x: Column) -> Column:
+    """Folded text with degrees spelled out, without punctuation; null gives ''."""
+    t = folded(F.coalesce(x, F.lit("")))
+    for pattern, words in DEGREES:
+        t = F.regexp_replace(t, pattern, words)
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?U)[^\w\s]+", " "), r"(?U)\s+", " "))
+
+
+def texts_match(a: Column, b: Column) -> Column:
+    """Whether two plain texts are equal, or one of four letters or more holds the other, with or without light words."""
+    direct = lambda x, y: (x == y) | ((F.length(x) >= 4) & (F.contains(y, x) | F.contains(x, y)))
+    light = lambda x: F.array_join(F.filter(F.split(x, " "), lambda w: (w != "") & ~w.isin(*LIGHT_STOPS)), " ")
+    return direct(a, b) | direct(light(a), light(b))
+
+
+def date_range(start: Column, end: Column) -> Column:
+    """The years of a period, then ``present`` if it goes on, each once."""
+    text = F.concat_ws(" ", F.nullif(F.trim(start), F.lit("")), F.nullif(F.trim(end), F.lit("")))
+    years = F.regexp_extract_all(text, F.lit(r"\b((?:19|20)[0-9]{2})\b"), 1)
+    now = F.when(F.lower(text).rlike(r"\b(present|current|now|ongoing)\b"), F.array(F.lit("present"))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.array_distinct(F.concat(years, now)), " ")
+
+
+def safe_name(x: Column) -> Column:
+    """A file name: runs of other than letters, digits, ``_ . -`` are one ``_``, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(x, r"[^A-Za-z0-9_.-]+", "_"), r"^_+|_+$", "")
+
+
+def json_or_text(x: Column) -> Column:
+    """The value as JSON text: as it is if it is JSON, else as a JSON string."""
+    quoted = F.regexp_extract(F.to_json(F.array(x)), r"^\[(.*)\]$", 1)
+    return F.when(F.try_parse_json(x).isNotNull(), x).otherwise(quoted)
+
+
+def shown_text(x: Column) -> Column:
+    """Trimmed text, null for placeholders: blank, ``Present`` or nothing but marks."""
+    t = F.trim(x)
+    return F.when((t != "") & (t != "Present") & t.rlike("[A-Za-z0-9]"), t)
+
+
+def shown_distinct(values: Column) -> Column:
+    """Shown texts, the first spelling of each, in order."""
+    return ordered_distinct(F.transform(F.coalesce(values, F.array().cast("array<string>")), shown_text))
+
+
+def shown_year(x: Column) -> Column:
+    """First run of four digits of a shown text, else the text."""
+    t = shown_text(x)
+    y = F.regexp_extract(t, r"([0-9]{4})", 1)
+    return F.when(y != "", y).otherwise(t)
+
+
+def milestone_kind(target: Column, certifications: Column) -> Column:
+    """Kind of a roadmap step by the words of its target."""
+    k = folded(F.coalesce(target, F.lit("")))
+    known = F.exists(certifications, lambda c: folded(c) == k)
+    has = lambda *words: k.rlike("|".join(words))
+    return F.when(known | has("certif", "exam"), "certification").when(has("portfolio", "project", "proof"), "project").when(has("role"), "role").when(has("experience", "transition"), "experience").otherwise("skill")
+
+
+def percent_text(x: Column) -> Column:
+    """One decimal and a percent sign; null is a dash."""
+    return F.when(x.isNotNull(), F.format_string("%.1f%%", x * 100)).otherwise("-")
 
 
 def year_of(x: Column) -> Column:
@@ -189,3 +347,8 @@ def duration_text(weeks: Column) -> Column:
     w = F.concat(weeks.cast("string"), F.when(weeks == 1, " week").otherwise(" weeks"))
     m = F.concat(months.cast("string"), F.when(months == 1, " month").otherwise(" months"))
     return F.when(weeks <= 4, w).otherwise(m)
+
+
+def timeline_text(x: Column, fallback: Column) -> Column:
+    """A duration in its usual form, else ``fallback``."""
+    return F.coalesce(duration_text(duration_weeks(x)), fallback)

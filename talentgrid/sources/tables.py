@@ -1,4 +1,4 @@
-"""Table sources: parquet folders, JSON and text files, and streams over them."""
+"""Table sources: parquet folders, JSON and text files."""
 
 from __future__ import annotations
 
@@ -22,8 +22,3 @@ def id_list(spark: SparkSession, path: str, name: str = "role_id") -> DataFrame:
 
     ids = spark.read.text(path).select(F.explode(F.split("value", ",")).alias("v"))
     return ids.select(F.trim("v").cast("long").alias(name)).dropna().distinct()
-
-
-def table_stream(spark: SparkSession, folder: str, schema: StructType | str, files: int = 1) -> DataFrame:
-    """A folder of parquet files as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
