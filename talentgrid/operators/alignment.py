@@ -1,18 +1,22 @@
-"""Alignment of profile skills with role requirements.
+"""Alignment of prepared skill profiles with role requirements.
 
 The theta joins (variant, shared tokens, mention in context) are made once over the distinct
-skill names, blocked by a shared token or compact key, and then joined to profiles and roles
-by equality.  Their size follows the vocabulary, not profiles times roles.
+keys, blocked by a shared token, compact key or opening letters, and then joined to profiles and
+roles by equality.  Their size follows the vocabulary, not profiles times roles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.scoring import CONTEXT, FULL, REVERSE, TOKEN, importance, severity
+from ..functions.scoring import CONTEXT, DEFAULT_WEIGHT, FULL, REVERSE, TOKEN, importance, importance_rank, severity
 from .ontology import first_by
+from .prepared import canonical
+
+#: Letters of a requirement that a term must hold before it is looked at whole.
+OPENING = 3
 
 
 def _keys(names: DataFrame, col: str) -> DataFrame:
@@ -36,65 +40,132 @@ def pair_scores(required: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def best_candidates(required: DataFrame, held: DataFrame) -> DataFrame:
-    """(profile_id, required, score, closest): a variant anywhere, else the first token match in list order."""
-    scores = pair_scores(required, held.select("skill").distinct())
-    rows = held.join(scores, held.skill == scores.candidate).select("profile_id", "required", "score", F.col("candidate").alias("closest"), "ord")
+    """(profile_id, required, score, closest): a variant anywhere, else the first token match in list order; held: profile_id, key, ord."""
+    scores = pair_scores(required, held.select("key").distinct())
+    rows = held.join(scores, held.key == scores.candidate).select("profile_id", "required", "score", F.col("candidate").alias("closest"), "ord")
     return first_by(rows, ["profile_id", "required"], [F.desc("score"), "ord"]).drop("ord")
 
 
-def context_mentions(required: DataFrame, terms: DataFrame) -> DataFrame:
-    """(profile_id, required, term): the first term that mentions the requirement as whole words or in its compact key.
+def mentions(required: DataFrame, terms: DataFrame) -> DataFrame:
+    """(required, term): pairs of distinct keys where the term's compact form holds the requirement's.
 
-    A mention has all tokens of the requirement inside the term's compact text, so it is found
-    through the first token's block of the term; arbitrary substrings go through a filter on
-    the few distinct requirements (a broadcast of bounded vocabulary).
+    Blocked by the first letters of the requirement: a term that holds it holds these.
     """
     r = required.toDF("required").withColumn("rc", T.compact_key(F.col("required"))).filter("rc <> ''")
-    t = terms.withColumn("tc", T.compact_key(F.col("term")))
-    rows = t.join(r, F.contains(F.col("tc"), F.col("rc"))).select("profile_id", "required", "term", "ord")
+    r = r.withColumn("block", F.substring("rc", 1, OPENING))
+    t = terms.toDF("term").withColumn("tc", T.compact_key(F.col("term")))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(OPENING)), lambda n: F.transform(F.sequence(F.lit(1), F.length("tc")), lambda i: F.substring(F.col("tc"), i, n))))
+    t = t.filter("tc <> ''").withColumn("block", F.explode(F.array_distinct(grams)))
+    return t.join(r, "block").filter(F.contains(F.col("tc"), F.col("rc"))).select("required", "term").distinct()
+
+
+def context_mentions(required: DataFrame, context: DataFrame) -> DataFrame:
+    """(profile_id, required, closest): the first context key that matches or mentions the requirement; context: profile_id, key, ord."""
+    keys = context.select("key").distinct()
+    hits = mentions(required, keys).withColumnRenamed("term", "candidate").unionByName(pair_scores(required, keys).select("required", "candidate")).distinct()
+    rows = context.join(hits, context.key == hits.candidate).select("profile_id", "required", F.col("candidate").alias("closest"), "ord")
     return first_by(rows, ["profile_id", "required"], ["ord"]).drop("ord")
 
 
-def reverse_prerequisites(required: DataFrame, held: DataFrame, reach: DataFrame) -> DataFrame:
-    """(profile_id, required, held_skill): smallest held skill that the requirement implies."""
-    r = required.toDF("required")
-    below = r.join(reach.filter("src <> dst"), F.col("required") == F.col("src")).select("required", F.col("dst").alias("skill"))
-    return held.join(below, "skill").groupBy("profile_id", "required").agg(F.min("skill").alias("held_skill"))
+def reverse_prerequisites(required: DataFrame, held: DataFrame, below: DataFrame) -> DataFrame:
+    """(profile_id, required, closest): smallest held key that the requirement implies; below: required, key."""
+    x = below.join(required.toDF("required"), "required", "left_semi").filter("required <> key")
+    return held.join(x, "key").groupBy("profile_id", "required").agg(F.min("key").alias("closest"))
+
 
+def prerequisites(reach: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(required, key): canonical keys of what the ontology's name of a key reaches."""
+    below = names.select(F.col("key").alias("required"), "name").join(reach, F.col("name") == F.col("src"))
+    return canonical(below.select("required", "dst"), T.skill_key(F.col("dst")), aliases).select("required", "key").distinct()
 
-def align(role_skills: DataFrame, held: DataFrame, terms: DataFrame, implied: DataFrame, reach: DataFrame) -> DataFrame:
+
+def align(required: DataFrame, prepared: DataFrame, below: DataFrame) -> DataFrame:
     """(profile_id, required, score, source, closest) for every met requirement.
 
-    An explicit match wins; otherwise the best of implied, context and reverse, in that order
-    on ties.  Requirements without any evidence have no row.
+    ``required``: distinct canonical keys; ``prepared``: the rows of ``prepare``; ``below``: the
+    rows of ``prerequisites``.  An explicit match wins; otherwise the best of implied, context
+    and reverse, in that order on ties.  Requirements without any evidence have no row.
     """
-    required = role_skills.select("skill").distinct()
+    required = required.toDF("required")
+    explicit = prepared.filter("source = 'explicit'").select("profile_id", "key", "ord")
+    context = prepared.filter("source = 'context'").select("profile_id", "key", "ord")
+    implied = prepared.filter("source = 'ontology_implied'")
+    held = prepared.filter("source <> 'context'").select("profile_id", "key")
+    tier = lambda df, score, n, source: df.select("profile_id", "required", score.cast("double").alias("score"), F.lit(n).alias("tier"), F.lit(source).alias("source"), "closest")
     parts = [
-        best_candidates(required, held).select("profile_id", "required", "score", F.lit(0).alias("tier"), F.lit("shared_alignment").alias("source"), "closest"),
-        implied.join(required, "skill", "left_semi").select("profile_id", F.col("skill").alias("required"), F.col("confidence").alias("score"), F.lit(1).alias("tier"), F.lit("ontology_implied").alias("source"), F.col("via").alias("closest")),
-        context_mentions(required, terms).select("profile_id", "required", F.lit(CONTEXT).alias("score"), F.lit(2).alias("tier"), F.lit("context").alias("source"), F.col("term").alias("closest")),
-        reverse_prerequisites(required, held, reach).select("profile_id", "required", F.lit(REVERSE).alias("score"), F.lit(3).alias("tier"), F.lit("reverse_partial").alias("source"), F.col("held_skill").alias("closest")),
+        tier(best_candidates(required, explicit), F.col("score"), 0, "explicit"),
+        tier(implied.join(required, implied.key == F.col("required")).select("profile_id", "required", "confidence", F.coalesce("via", "display").alias("closest")), F.col("confidence"), 1, "ontology_implied"),
+        tier(context_mentions(required, context), F.lit(CONTEXT), 2, "context"),
+        tier(reverse_prerequisites(required, held, below), F.lit(REVERSE), 3, "reverse_partial"),
     ]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
     explicit_first = F.when(F.col("tier") == 0, 0).otherwise(1)
-    return first_by(rows, ["profile_id", "required"], [explicit_first, F.desc("score"), "tier"]).drop("tier")
+    best = first_by(rows, ["profile_id", "required"], [explicit_first, F.desc("score"), "tier"]).drop("tier")
+    shown = prepared.select("profile_id", F.col("key").alias("closest"), F.col("display").alias("_shown"))
+    return best.join(shown, ["profile_id", "closest"], "left").withColumn("closest", F.coalesce("_shown", "closest")).drop("_shown")
+
 
+def requirements(listed: DataFrame, aliases: DataFrame, hints: DataFrame) -> DataFrame:
+    """(role_id, required, display, domain, tag, weight, ord) of listed skills (role_id, skill, domain, score, ord).
 
-def role_alignment(role_skills: DataFrame, profiles: DataFrame, aligned: DataFrame) -> DataFrame:
-    """Every (profile, role, requirement) with its score, severity and importance."""
-    grid = profiles.select("profile_id").distinct().join(role_skills)  # profiles are a stated query set
-    rows = grid.join(aligned.withColumnRenamed("required", "skill"), ["profile_id", "skill"], "left")
-    score = F.coalesce("score", F.lit(0.0))
-    return rows.withColumns({"score": score, "severity": severity(score), "importance": importance(F.col("weight"))})
+    Keys are canonical, the first of a role counts.  Where several names share a canonical key,
+    score, domain and display come from the name that is canonical itself, else from the first.
+    A role without any score weighs all alike; a skill without one in another role weighs half.
+    The domain is the tag, else the ontology's first hint (``hints``: key, hint), else the display.
+    """
+    x = canonical(listed.withColumn("own", T.skill_key(F.col("skill"))).filter("own <> ''"), F.col("own"), aliases, "required")
+    # maps by own key: the last score and domain, the first display
+    w = Window.partitionBy("role_id", "own")
+    x = x.withColumns({"score": F.max_by("score", F.when(F.col("score").isNotNull(), F.col("ord"))).over(w), "tag": F.max_by(F.trim("domain"), F.when(F.trim("domain") != "", F.col("ord"))).over(w), "shown": F.min_by(F.trim("skill"), "ord").over(w)})
+    order = F.struct(F.when(F.col("own") == F.col("required"), 0).otherwise(1).alias("o"), "ord")
+    g = x.groupBy("role_id", "required").agg(F.min("ord").alias("ord"), F.min_by("score", F.when(F.col("score").isNotNull(), order)).alias("score"), F.min_by("tag", F.when(F.col("tag").isNotNull(), order)).alias("tag"), F.min_by("shown", order).alias("display"))
+    any_ = F.max("score").over(Window.partitionBy("role_id"))
+    g = g.withColumn("weight", F.when(any_.isNull(), 1.0).otherwise(F.coalesce("score", F.lit(DEFAULT_WEIGHT))))
+    h = hints.select(F.col("key").alias("required"), "hint")
+    return g.join(h, "required", "left").select("role_id", "required", "display", F.coalesce("tag", "hint", "display").alias("domain"), F.coalesce("tag", F.lit("")).alias("tag"), "score", "weight", "ord")
+
+
+def role_alignment(needed: DataFrame, profiles: DataFrame, aligned: DataFrame) -> DataFrame:
+    """Every (profile, role, requirement) with its score, severity and importance; ``needed``: rows of ``requirements``.
+
+    Every profile is set against every role, since each pair has a result of its own.
+    """
+    listed = needed.groupBy("role_id").agg(F.collect_list(F.struct(*[c for c in needed.columns if c != "role_id"])).alias("needed"))
+    met = aligned.groupBy("profile_id").agg(F.map_from_entries(F.collect_list(F.struct("required", F.struct("score", "source", "closest")))).alias("met"))
+    people = profiles.select("profile_id").distinct().join(met, "profile_id", "left")
+    rows = people.join(listed).select("profile_id", "role_id", "met", F.explode("needed").alias("n")).select("profile_id", "role_id", "n.*", F.col("met")[F.col("n.required")].alias("m"))
+    score = F.coalesce("m.score", F.lit(0.0))
+    tier = importance(F.col("score"))
+    rows = rows.withColumns({"importance": tier, "importance_rank": importance_rank(tier)}).drop("score")
+    return rows.withColumns({"score": score, "source": F.coalesce("m.source", F.lit("")), "closest": F.col("m.closest"), "severity": severity(score)}).drop("m")
 
 
 def coverage(rows: DataFrame) -> DataFrame:
-    """Weighted skill coverage per profile and role."""
-    return rows.groupBy("profile_id", "role_id").agg((F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("coverage"), F.sum(F.when(F.col("score") >= 0.75, 1).otherwise(0)).alias("matched"), F.sum(F.when(F.col("score") == 0, 1).otherwise(0)).alias("missing"))
+    """Weighted skill coverage per profile and role; 0 where nothing weighs."""
+    total = F.sum("weight")
+    return rows.groupBy("profile_id", "role_id").agg(F.when(total > 0, F.sum(F.col("score") * F.col("weight")) / total).otherwise(0.0).alias("coverage"), F.count_if(F.col("score") >= TOKEN).alias("matched"), F.count_if(F.col("score") == 0).alias("missing"))
+
+
+def _in_order(rows_when, value: str = "display"):
+    return F.transform(F.array_sort(F.collect_list(F.when(rows_when, F.struct("ord", value)))), lambda s: s[value])
 
 
 def domain_coverage(rows: DataFrame) -> DataFrame:
-    """Mean score per profile, role and domain."""
-    return rows.groupBy("profile_id", "role_id", "domain").agg(F.round(F.avg("score"), 4).alias("coverage"), F.array_join(F.array_sort(F.collect_set("skill")), ",").alias("skills"))
+    """Mean score and skills, in order, per profile, role and domain."""
+    return rows.groupBy("profile_id", "role_id", "domain").agg(F.round(F.avg("score"), 4).alias("coverage"), F.array_join(_in_order(F.lit(True)), ",").alias("skills"), F.min("ord").alias("ord"))
+
+
+def reports(rows: DataFrame) -> DataFrame:
+    """One row per profile and role: coverage, status lists, gaps in order, and domain maps."""
+    gap = F.when(F.col("score") < FULL, F.struct("importance_rank", F.col("score").alias("transferability"), "ord", "required", "display", "closest", "severity", "importance", F.col("tag").alias("domain"), "source"))
+    per = rows.groupBy("profile_id", "role_id").agg(
+        F.when(F.sum("weight") > 0, F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).otherwise(0.0).alias("coverage"),
+        _in_order(F.col("score") >= TOKEN).alias("matched_skills"),
+        _in_order(F.col("score") == 0).alias("missing_skills"),
+        F.array_sort(F.collect_list(gap)).alias("skill_gaps"),
+    )
+    dom = domain_coverage(rows)
+    maps = dom.groupBy("profile_id", "role_id").agg(F.map_from_entries(F.collect_list(F.struct("domain", "coverage"))).alias("domain_coverage"), F.map_from_entries(F.collect_list(F.struct("domain", F.split("skills", ",")))).alias("domain_skills"))
+    return per.join(maps, ["profile_id", "role_id"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import hop_confidence
+from ..scratch import cut
 
 MAX_HOPS = 3
 
@@ -39,12 +40,12 @@ def closure(edges: DataFrame, max_rounds: int = 32) -> DataFrame:
 
     Paths double in length each round, so a graph of diameter n settles in log n rounds.
     """
-    spark = edges.sparkSession
+    edges = cut(edges.select("src", "dst").distinct(), "edges")
     nodes = edges.select("src").union(edges.select("dst")).distinct()
     reach = nodes.select("src", F.col("src").alias("dst")).unionByName(edges.select("src", "dst")).distinct()
     count = -1
     for _ in range(max_rounds):
-        reach = _cut(spark, reach)
+        reach = cut(reach, "reach")
         now = reach.count()
         if now == count:
             break
@@ -54,13 +55,6 @@ def closure(edges: DataFrame, max_rounds: int = 32) -> DataFrame:
     return reach
 
 
-def _cut(spark, df: DataFrame) -> DataFrame:
-    """Cut the lineage where a checkpoint folder is set; small test graphs go on without."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.cache()
-
-
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """First row of each key group in the given order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")

@@ -1 +1 @@
-"""Package."""
+"""Streams of documents and profiles."""
