@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_queries, match_queries, metric_queries, text_queries
+from . import catalog_queries, match_queries, metric_queries, profile_queries, text_queries
 
-MODULES = (text_queries, catalog_queries, match_queries, metric_queries)
+MODULES = (text_queries, catalog_queries, profile_queries, match_queries, metric_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship query."""
-    return queries()["round_robin"](spark, sf_dir)
+    return queries()["recommend_topk"](spark, sf_dir)
 
 
 def queries() -> dict:

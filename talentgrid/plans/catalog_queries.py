@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
+from ..operators import catalog as K
+from ..operators import prepared as P
 from ..operators import tables as M
 from ..sources import standins as X
 from ..sources.tables import table
@@ -124,20 +126,27 @@ CATALOG_COUNT = "SELECT label, count(*) AS n, max(len(embedding))::INT AS dims F
 
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The ten nearest vectors of one vector of each label (the label's first), exactly.
+    """The ten nearest vectors of every vector whose id is divisible by 50, exactly.
 
-    Queries are a handful of rows and broadcast; the scan of the vectors is not shuffled, and
-    each task keeps its best ten before the final ranking.
+    The queries come in blocks of ``QUERY_BLOCK``: each scanned row meets a block of queries at
+    once and a task keeps its best before the final ranking, so no pairs are shuffled whole.
     """
-    e = table(spark, d, "embeddings")
-    q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q")).select(F.col("label").alias("query"), "q")
-    rows = e.select("vec_id", "embedding").join(F.broadcast(q)).select("query", "vec_id", F.round(S.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    norm = F.sqrt(S.dot(F.col("embedding"), F.col("embedding")))
+    q = e.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), norm.alias("qn"))
+    blocks = q.withColumn("block", F.floor(F.col("query") / (50 * QUERY_BLOCK))).groupBy("block").agg(F.collect_list(F.struct("query", "q", "qn")).alias("qs"))
+    sims = F.transform("qs", lambda x: F.struct(x["query"].alias("query"), F.round(S.dot(F.col("embedding"), x["q"]) / (F.col("norm") * x["qn"]), 6).alias("similarity")))
+    # all rows against a stated query set, block by block
+    rows = e.withColumn("norm", norm).join(blocks).select("vec_id", F.inline(sims)).filter("similarity is not null")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "vec_id")
-    return rows.withColumn("pos", F.row_number().over(w)).filter("pos <= 10")
+    return rows.withColumn("pos", F.row_number().over(w)).filter("pos <= 10").select("query", "vec_id", "similarity", "pos")
 
 
+#: Queries that one scanned row meets at once.
+QUERY_BLOCK = 64
+
 COSINE_TOPK = """
-WITH q AS (SELECT label AS query, embedding::DOUBLE[] AS q FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
+WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
 r AS (SELECT query, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS similarity FROM embeddings, q)
 SELECT query, vec_id, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id)::INT AS pos FROM r
 QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) <= 10"""
@@ -152,6 +161,104 @@ def point_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 POINT_LOOKUP = "SELECT i.role_id, coalesce(nullif(trim(s_name), ''), CASE WHEN s_suppkey IS NOT NULL THEN 'unknown' END) AS title FROM (SELECT unnest(range(12)) * 11 AS role_id) i LEFT JOIN supplier ON s_suppkey = i.role_id"
 
+def skill_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Weight, domain and display of every listed skill; some come twice."""
+    x = X.sort_skills(spark, d)
+    again = x.filter("ord <= 2").select("role_id", (F.col("ord") + 20).alias("ord"), F.concat(F.lit(" "), F.upper("skill")).alias("skill"), F.when(F.col("ord") == 1, " ").otherwise(" Other ").alias("domain"), F.when(F.col("ord") == 1, 0.5).alias("score"))
+    return K.skill_maps(x.unionByName(again)).select("role_id", "key", "weight", "domain", "display", "ord")
+
+
+SKILL_MAPS = f"""WITH {X.SQL['role_skills']}, {X.SQL['sort_skills']}
+SELECT role_id, lower(skill) AS key, CASE WHEN ord = 1 THEN 0.5 ELSE score END::DOUBLE AS weight, CASE WHEN ord = 2 THEN 'Other' ELSE nullif(domain, '') END AS domain, skill AS display, ord::INT AS ord FROM sort_skills"""
+
+
+def required_skill_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Required skills of every role from the first source that has any, as matching and as the gap report read them."""
+    r = X.roles(spark, d).select("role_id")
+    sorted_ = X.sort_skills(spark, d).filter("role_id % 7 not in (3, 5, 6)").select("role_id", "skill", "ord")
+    listed = X.role_skills(spark, d).filter("role_id % 7 = 3").select("role_id", F.upper("skill").alias("skill"))
+    r = r.withColumn("raw_skills", F.when(F.col("role_id") % 7 == 5, "API / Pandas;go|old-ring, Rest Api").when(F.col("role_id") % 7 == 3, "never read"))
+    both = P.overlay(P.default_aliases(spark), P.clean_aliases(X.alias_rows(spark, d)))
+    a = K.required_skills(r, sorted_, listed, both).select("role_id", "source", F.array_join("skills", ",").alias("matching"))
+    b = K.required_skills(r, sorted_, listed, None).select("role_id", F.array_join("skills", ",").alias("gaps"))
+    return a.join(b, "role_id")
+
+
+REQUIRED_SKILL_CASCADE = f"""WITH {X.SQL['role_skills']}, {X.SQL['sort_skills']},
+a AS (SELECT role_id, string_agg(lower(skill), ',' ORDER BY ord) AS s FROM sort_skills GROUP BY 1), b AS (SELECT role_id, string_agg(skill, ',' ORDER BY upper(skill)) AS s FROM role_skills GROUP BY 1)
+SELECT r.role_id, CASE WHEN r.role_id % 7 = 3 AND b.s IS NOT NULL THEN 'role_skills' WHEN r.role_id % 7 = 5 THEN 'raw_skills' WHEN r.role_id % 7 = 6 OR a.s IS NULL THEN '' ELSE 'sort_skills' END AS source,
+  CASE WHEN r.role_id % 7 = 3 THEN coalesce(b.s, '') WHEN r.role_id % 7 = 5 THEN 'rest apis,python,go,new ring' WHEN r.role_id % 7 = 6 THEN '' ELSE coalesce(a.s, '') END AS matching,
+  CASE WHEN r.role_id % 7 = 3 THEN coalesce(b.s, '') WHEN r.role_id % 7 = 5 THEN 'API,Pandas,go,old-ring,Rest Api' WHEN r.role_id % 7 = 6 THEN '' ELSE coalesce(a.s, '') END AS gaps
+FROM (SELECT s_suppkey AS role_id FROM supplier) r LEFT JOIN a USING (role_id) LEFT JOIN b USING (role_id)"""
+
+
+def rank_role_skills(spark: SparkSession, d: str) -> DataFrame:
+    """Skills of every role ranked by a written score and by likeness to its description; some replies are unusable."""
+    s = X.role_skills(spark, d)
+    item = F.struct("ord", F.struct(F.concat(F.lit(" "), "skill").alias("skill"), F.lit("x").alias("tier"), (F.col("weight") * 1.2).alias("score")).alias("i"))
+    groups = s.groupBy("role_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["i"]).alias("items"))
+    body = F.to_json(F.struct(F.lit(" Clean  Title ").alias("processed_job_title"), F.array(F.struct(F.lit(" Core ").alias("domain"), F.col("items").alias("skills"))).alias("skill_domains")))
+    reply = F.when(F.col("role_id") % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("role_id") % 4 == 2, F.replace(body, F.lit('"score"'), F.lit('"points"'))).otherwise(body)
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    n = e.count()
+    r = X.roles(spark, d).select("role_id", (F.col("role_id") % n).alias("vec_id")).join(e, "vec_id").join(groups, "role_id")
+    roles = r.select("role_id", F.when(F.col("role_id") % 4 == 3, " ; ").otherwise("a, b").alias("raw_skills"), reply.alias("reply"), F.col("embedding").alias("vector"))
+    nodes = X.skill_nodes(spark, d).select("skill", "node")
+    vectors = nodes.filter("node % 5 <> 4").join(e, F.col("node") == F.col("vec_id")).select("skill", F.col("embedding").alias("vector"))
+    x = K.ranked_skills(roles, vectors)
+    skills = F.transform("sort_skills", lambda t: F.concat_ws(":", t["skill"], t["domain"], F.format_string("%.4f", t["score"])))
+    return x.select("role_id", F.coalesce("processed_title", F.lit("")).alias("title"), "failed", F.array_join(skills, "|").alias("ranked"))
+
+
+RANK_ROLE_SKILLS = f"""WITH {X.SQL['role_skills']}, {X.SQL['edges']}, nvec AS (SELECT count(*) AS n FROM embeddings),
+v AS (SELECT skill, embedding::DOUBLE[] AS sv FROM nodes JOIN embeddings ON vec_id = node WHERE node % 5 <> 4),
+x AS (SELECT role_id, r.skill, ord, round(0.85::DOUBLE * least(1.0::DOUBLE, weight * 1.2::DOUBLE) + 0.15000000000000002::DOUBLE * CASE WHEN sv IS NULL THEN 0 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, list_dot_product(e.embedding::DOUBLE[], sv))) END, 4) AS score
+  FROM role_skills r, nvec, embeddings e LEFT JOIN v ON v.skill = r.skill WHERE e.vec_id = role_id % n AND role_id % 4 < 2)
+SELECT role_id, CASE WHEN role_id % 4 < 2 THEN 'Clean  Title' ELSE '' END AS title, role_id % 4 = 2 AS failed, coalesce(ranked, '') AS ranked
+FROM (SELECT DISTINCT role_id FROM role_skills) LEFT JOIN (SELECT role_id, string_agg(skill || ':Core:' || printf('%.4f', score), '|' ORDER BY score DESC, ord) AS ranked FROM x GROUP BY 1) USING (role_id)"""
+RANK_ROLE_SKILLS = RANK_ROLE_SKILLS.replace("FROM role_skills r, nvec, embeddings e LEFT JOIN v ON v.skill = r.skill WHERE e.vec_id = role_id % n AND role_id % 4 < 2", "FROM role_skills r CROSS JOIN nvec JOIN embeddings e ON e.vec_id = role_id % n LEFT JOIN v ON v.skill = r.skill WHERE role_id % 4 < 2")
+
+
+def esco_grounding(spark: SparkSession, d: str) -> DataFrame:
+    """Official labels and texts for the first eight skills of every role."""
+    missing = X.role_skills(spark, d).select("role_id", F.when(F.col("ord") % 3 == 0, F.substring_index("skill", " ", -1)).otherwise(F.col("skill")).alias("skill"), "ord")
+    labels = table(spark, d, "part").select("p_name", "p_brand", "p_size").distinct()
+    labels = labels.select(F.when(F.col("p_size") % 2 == 0, F.initcap("p_name")).otherwise(F.concat_ws(" ", "p_brand", "p_name")).alias("label"), F.when(F.col("p_size") % 3 != 0, F.concat(F.lit("About "), "p_name")).alias("description"))
+    labels = labels.groupBy("label").agg(F.max("description").alias("description"))
+    return K.grounding(missing, labels)
+
+
+ESCO_GROUNDING = f"""WITH {X.SQL['role_skills']},
+labels AS (SELECT label, max(description) AS description FROM (SELECT CASE WHEN p_size % 2 = 0 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE p_brand || ' ' || p_name END AS label,
+  CASE WHEN p_size % 3 <> 0 THEN 'About ' || p_name END AS description FROM part) GROUP BY 1),
+m AS (SELECT role_id, CASE WHEN ord % 3 = 0 THEN string_split(skill, ' ')[-1] ELSE skill END AS skill, ord FROM role_skills QUALIFY row_number() OVER (PARTITION BY role_id ORDER BY ord) <= 8),
+h AS (SELECT skill, label, description FROM (SELECT DISTINCT skill FROM m), labels WHERE contains(lower(label), lower(skill))
+  QUALIFY row_number() OVER (PARTITION BY skill ORDER BY lower(label) <> lower(skill), CASE WHEN lower(label) <> lower(skill) THEN length(label) ELSE 0 END, label) = 1)
+SELECT role_id, skill, label, description FROM m JOIN h USING (skill) WHERE coalesce(description, '') <> ''"""
+
+
+def delete_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of three tables that a cascading delete of some orders would take."""
+    o = table(spark, d, "orders").withColumnRenamed("o_orderkey", "key")
+    ids = o.filter("o_orderstatus = 'P'").select("key")
+    return K.delete_counts({"orders": o, "lineitem": table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "key")}, ids.union(ids), "key")
+
+
+DELETE_COUNTS = """
+SELECT 'orders' AS name, count(*) AS rows, count(*) FILTER (o_orderstatus = 'P') AS deleted FROM orders
+UNION ALL SELECT 'lineitem', count(*), count(*) FILTER (o_orderstatus = 'P') FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey"""
+
+
+def evolved_schema(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with added columns, without a dropped one; vectors are checked on the way."""
+    e = K.checked_vectors(table(spark, d, "embeddings"), "embedding", 64)
+    p = K.evolved(table(spark, d, "part"), {"capability_text": "string", "sort_skills": K.SORT_SKILLS, "p_size": "int"}, ("p_retailprice", "embedding"))
+    x = p.join(e.select("vec_id", F.size("embedding").alias("dims")), F.col("p_partkey") == F.col("vec_id"), "left")
+    return x.select("p_partkey", "p_size", F.col("capability_text").isNull().alias("new_is_null"), F.lit(",".join(p.columns)).alias("columns"), "dims")
+
+
+EVOLVED_SCHEMA = "SELECT p_partkey, p_size, true AS new_is_null, 'p_partkey,p_name,p_brand,p_type,p_size,capability_text,sort_skills' AS columns, CASE WHEN vec_id IS NOT NULL THEN 64 END AS dims FROM part LEFT JOIN embeddings ON vec_id = p_partkey"
+
 QUERIES = {
     "outer_join_residual": (outer_join_residual, OUTER_JOIN_RESIDUAL),
     "lateral_first_part": (lateral_first_part, LATERAL_FIRST_PART),
@@ -164,4 +271,10 @@ QUERIES = {
     "catalog_count": (catalog_count, CATALOG_COUNT),
     "cosine_topk": (cosine_topk, COSINE_TOPK),
     "point_lookup": (point_lookup, POINT_LOOKUP),
+    "skill_maps": (skill_maps, SKILL_MAPS),
+    "required_skill_cascade": (required_skill_cascade, REQUIRED_SKILL_CASCADE),
+    "rank_role_skills": (rank_role_skills, RANK_ROLE_SKILLS),
+    "esco_grounding": (esco_grounding, ESCO_GROUNDING),
+    "delete_counts": (delete_counts, DELETE_COUNTS),
+    "evolved_schema": (evolved_schema, EVOLVED_SCHEMA),
 }

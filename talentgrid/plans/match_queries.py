@@ -10,105 +10,217 @@ from ..functions import text as T
 from ..operators import alignment as A
 from ..operators import gaps as G
 from ..operators import ontology as O
+from ..operators import prepared as P
 from ..operators import recommend as R
+from ..scratch import cut
 from ..sources import standins as X
 from ..sources.tables import table
-from .text_queries import sql_key
+from .text_queries import sql_domains, sql_key, sql_terms
 
-# ---------------------------------------------------------------- alignment
+# ---------------------------------------------------------------- aliases and prepared profiles
 
-TOK = "list_distinct(list_transform(list_filter(string_split({k}, ' '), lambda x: x <> ''), lambda t: CASE WHEN length(t) > 3 AND ends_with(t, 's') THEN left(t, length(t) - 1) ELSE t END))"
+ALIASES = f"""{X.SQL['alias_rows']},
+aliases AS (SELECT key, max_by(canonical, ord) AS canonical FROM (SELECT {sql_key('alias')} AS key, {sql_key('canonical')} AS canonical, ord FROM alias_rows) WHERE key <> '' AND canonical <> '' GROUP BY 1)"""
 
 
-def _longer(a: str, b: str) -> str:
-    return f"(starts_with({a}, {b}) AND regexp_matches(substr({a}, length({b}) + 1), '^[0-9]+$'))"
+def _defaults_sql() -> str:
+    return "defaults AS (SELECT trim(regexp_replace(a, '[^a-z0-9+#]+', ' ', 'g')) AS key, c AS canonical FROM (VALUES " + ", ".join(f"('{a}', '{c}')" for a, c in P.DEFAULT_ALIASES.items()) + ") t(a, c))"
 
 
-PAIRS = f"""req AS (SELECT DISTINCT skill AS required, {sql_key('skill')} AS rk FROM role_skills),
-cand AS (SELECT DISTINCT skill AS candidate, {sql_key('skill')} AS ck FROM explicit),
-pairs0 AS (SELECT *, replace(rk, ' ', '') AS a, replace(ck, ' ', '') AS b, {TOK.format(k='rk')} AS rt, {TOK.format(k='ck')} AS ct FROM req, cand),
-pairs AS (SELECT required, candidate, CASE
-    WHEN a <> '' AND b <> '' AND (a = b OR {_longer('a', 'b')} OR {_longer('b', 'a')}) THEN 1.0::DOUBLE
-    WHEN len(rt) > 0 AND len(ct) > 0 AND (len(list_intersect(rt, ct)) = len(rt) OR len(list_intersect(rt, ct)) = len(ct) OR 2 * len(list_intersect(rt, ct)) >= len(rt)) THEN 0.75::DOUBLE END AS score
-  FROM pairs0)"""
+def alias_map(spark: SparkSession, d: str) -> DataFrame:
+    """The fixed aliases with those of the alias table over them."""
+    return P.overlay(P.default_aliases(spark), P.clean_aliases(X.alias_rows(spark, d)))
+
+
+ALIAS_MAP = f"""WITH {ALIASES}, {_defaults_sql()},
+d1 AS (SELECT key, any_value(canonical) AS canonical FROM defaults GROUP BY 1)
+SELECT key, canonical FROM aliases UNION ALL SELECT key, canonical FROM d1 WHERE key NOT IN (SELECT key FROM aliases)"""
+
+
+def _aliases(spark: SparkSession, d: str) -> DataFrame:
+    return P.clean_aliases(X.alias_rows(spark, d))
+
+
+def _cv_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Skills of a profile, then of its jobs, as written."""
+    own = X.explicit_terms(spark, d)
+    jobs = X.experience(spark, d).select("profile_id", F.col("ord").alias("_o"), F.posexplode("contextual_skills").alias("_i", "term")).select("profile_id", "term", (F.col("_o") * 1000 + F.col("_i")).alias("ord"))
+    return own.unionByName(jobs)
+
 
-BEST = """best AS (
-  SELECT profile_id, required, score, candidate AS closest FROM explicit JOIN pairs ON candidate = skill WHERE score IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY profile_id, required ORDER BY score DESC, ord) = 1)"""
+def canonical_user_skills(spark: SparkSession, d: str) -> DataFrame:
+    """Every profile's skills and those of its jobs as distinct canonical keys, in order."""
+    rows = P.canonical_terms(_cv_terms(spark, d), alias_map(spark, d))
+    keys = F.transform(F.array_sort(F.collect_list(F.struct("ord", "key"))), lambda s: s["key"])
+    return rows.groupBy("profile_id").agg(F.array_join(keys, ",").alias("skills"))
 
-HOPS = """walk AS (
-  SELECT profile_id, skill AS via, skill AS cur, 0 AS hop FROM explicit),
-h1 AS (SELECT DISTINCT profile_id, via, dst AS cur, 1 AS hop FROM walk JOIN edges ON cur = src),
+
+CANONICAL_USER_SKILLS = f"""WITH {X.SQL['profiles']}, {X.SQL['profile_skills']}, {X.SQL['experience']}, {ALIASES},
+terms AS (SELECT profile_id, term, ord FROM explicit_terms UNION ALL SELECT profile_id, s, ord * 1000 + i - 1 FROM (SELECT profile_id, ord, unnest(skills) AS s, unnest(range(1, len(skills) + 1)) AS i FROM experience)),
+k AS (SELECT profile_id, coalesce(canonical, {sql_key('term')}) AS key, ord FROM terms LEFT JOIN aliases ON aliases.key = {sql_key('term')})
+SELECT profile_id, string_agg(key, ',' ORDER BY ord) AS skills FROM (SELECT profile_id, key, min(ord) AS ord FROM k WHERE key <> '' GROUP BY 1, 2) GROUP BY 1"""
+
+
+def _prepared(spark: SparkSession, d: str) -> DataFrame:
+    return P.prepare(X.explicit_terms(spark, d), X.context_terms(spark, d), _aliases(spark, d), X.skill_synonyms(spark, d), X.skill_edges(spark, d))
+
+
+def prepare_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The prepared skills of every profile: explicit, then context, then implied."""
+    return _prepared(spark, d).select("profile_id", "key", "display", "source", F.round("confidence", 4).alias("confidence"), F.coalesce("via", F.lit("")).alias("via"))
+
+
+def _tidy(x: str) -> str:
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+PREPARED = f"""{ALIASES},
+held AS (SELECT DISTINCT profile_id, name FROM explicit_terms JOIN synonyms ON key = {sql_key('term')}),
+h1 AS (SELECT DISTINCT profile_id, name AS via, dst AS cur, 1 AS hop FROM held JOIN edges ON name = src),
 h2 AS (SELECT DISTINCT profile_id, via, dst AS cur, 2 AS hop FROM h1 JOIN edges ON cur = src),
 h3 AS (SELECT DISTINCT profile_id, via, dst AS cur, 3 AS hop FROM h2 JOIN edges ON cur = src),
 implied AS (
   SELECT profile_id, cur AS skill, hop, via, greatest(0.35::DOUBLE, round(0.65::DOUBLE * pow(0.8::DOUBLE, hop - 1), 4)) AS confidence
   FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) u
-  WHERE NOT EXISTS (SELECT 1 FROM explicit e WHERE e.profile_id = u.profile_id AND e.skill = u.cur)
-  QUALIFY row_number() OVER (PARTITION BY profile_id, cur ORDER BY hop, via) = 1)"""
+  WHERE NOT EXISTS (SELECT 1 FROM held e WHERE e.profile_id = u.profile_id AND e.name = u.cur)
+  QUALIFY row_number() OVER (PARTITION BY profile_id, cur ORDER BY hop, via) = 1),
+entries AS (
+  SELECT profile_id, {_tidy('term')} AS display, 0 AS tier, ord, 1.0::DOUBLE AS confidence, NULL::VARCHAR AS via FROM explicit_terms
+  UNION ALL SELECT profile_id, {_tidy('term')}, 1, ord, 1.0, NULL FROM context_terms
+  UNION ALL SELECT profile_id, skill, 2, hop, confidence, via FROM implied),
+prepared AS (SELECT profile_id, coalesce(canonical, {sql_key('display')}) AS key, display, tier, ord, confidence, via FROM entries LEFT JOIN aliases ON aliases.key = {sql_key('display')}
+  QUALIFY row_number() OVER (PARTITION BY profile_id, coalesce(canonical, {sql_key('display')}) ORDER BY tier, ord, display) = 1)"""
+
+
+def implied_credit(spark: SparkSession, d: str) -> DataFrame:
+    """Skills implied within three hops of every profile's named skills, with the least hop."""
+    held = P.canonical_names(X.explicit_terms(spark, d), X.skill_synonyms(spark, d)).select("profile_id", F.col("name").alias("skill")).distinct()
+    return O.implied_with_hops(held, X.skill_edges(spark, d))
+
+
+def closure_fixpoint(spark: SparkSession, d: str) -> DataFrame:
+    """Reflexive transitive closure of a cyclic implication graph."""
+    return O.closure(X.skill_edges(spark, d))
+
+
+def expand_skills(spark: SparkSession, d: str) -> DataFrame:
+    """What every profile has or, by the ontology, can be taken to have."""
+    return P.expand_held(X.explicit_terms(spark, d), X.skill_synonyms(spark, d), O.closure(X.skill_edges(spark, d)))
+
 
 REACH = """reach AS (
   SELECT src, src AS dst FROM (SELECT src FROM edges UNION SELECT dst FROM edges)
   UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src)"""
 
-CONTEXT = """ctx AS (
-  SELECT profile_id, required, term FROM context JOIN req ON contains(regexp_replace(lower(term), '[^a-z0-9+#]+', '', 'g'), replace(rk, ' ', '')) AND rk <> ''
-  QUALIFY row_number() OVER (PARTITION BY profile_id, required ORDER BY ord) = 1)"""
+EXPAND = f"""WITH RECURSIVE {X.SQL['profiles']}, {X.SQL['profile_skills']}, {X.SQL['edges']}, {REACH},
+own AS (SELECT profile_id, name, min(ord) AS ord FROM explicit_terms JOIN synonyms ON key = {sql_key('term')} GROUP BY 1, 2)
+SELECT profile_id, dst AS name, CASE WHEN src = dst THEN 'have' ELSE 'implied' END AS state FROM own JOIN reach ON name = src
+QUALIFY row_number() OVER (PARTITION BY profile_id, dst ORDER BY ord, src <> dst) = 1"""
 
-REVERSE = """rev AS (
-  SELECT profile_id, required, min(skill) AS held FROM req JOIN reach ON src = required AND src <> dst JOIN explicit ON skill = dst GROUP BY 1, 2)"""
+# ---------------------------------------------------------------- alignment
+
+TOK = "list_distinct(list_transform(list_filter(string_split({k}, ' '), lambda x: x <> ''), lambda t: CASE WHEN length(t) > 3 AND ends_with(t, 's') THEN left(t, length(t) - 1) ELSE t END))"
 
-ALIGNED = """aligned AS (
-  SELECT profile_id, required, score, source, closest FROM (
-    SELECT profile_id, required, score, 0 AS tier, 'shared_alignment' AS source, closest FROM best
-    UNION ALL SELECT profile_id, skill, confidence, 1, 'ontology_implied', via FROM implied WHERE skill IN (SELECT required FROM req)
-    UNION ALL SELECT profile_id, required, 0.6, 2, 'context', term FROM ctx
-    UNION ALL SELECT profile_id, required, 0.4, 3, 'reverse_partial', held FROM rev)
-  QUALIFY row_number() OVER (PARTITION BY profile_id, required ORDER BY (tier > 0), score DESC, tier) = 1)"""
+
+def _longer(a: str, b: str) -> str:
+    return f"(starts_with({a}, {b}) AND regexp_matches(substr({a}, length({b}) + 1), '^[0-9]+$'))"
+
+
+def _pairs_sql(name: str, required: str, candidates: str) -> str:
+    """Theta join of two lists of keys, without any blocking."""
+    return f"""{name}0 AS (SELECT required, candidate, replace(required, ' ', '') AS a, replace(candidate, ' ', '') AS b, {TOK.format(k='required')} AS rt, {TOK.format(k='candidate')} AS ct FROM {required}, {candidates}),
+{name} AS (SELECT required, candidate, CASE
+    WHEN a <> '' AND b <> '' AND (a = b OR {_longer('a', 'b')} OR {_longer('b', 'a')}) THEN 1.0::DOUBLE
+    WHEN len(rt) > 0 AND len(ct) > 0 AND (len(list_intersect(rt, ct)) = len(rt) OR len(list_intersect(rt, ct)) = len(ct) OR 2 * len(list_intersect(rt, ct)) >= len(rt)) THEN 0.75::DOUBLE END AS score
+  FROM {name}0)"""
+
+
+NEEDED = f"""own0 AS (SELECT role_id, ord, {sql_key('skill')} AS own, trim(skill) AS shown, nullif(trim(domain), '') AS tag, score FROM sort_skills),
+own1 AS (SELECT role_id, own, min(ord) AS ord, max_by(score, ord) FILTER (score IS NOT NULL) AS score, max_by(tag, ord) FILTER (tag IS NOT NULL) AS tag, min_by(shown, ord) AS shown FROM own0 WHERE own <> '' GROUP BY 1, 2),
+own2 AS (SELECT own1.*, coalesce(canonical, own) AS required FROM own1 LEFT JOIN aliases ON key = own),
+own3 AS (SELECT role_id, required, min(ord) AS ord,
+  min_by(score, (own <> required)::INT * 1000 + ord) FILTER (score IS NOT NULL) AS score, min_by(tag, (own <> required)::INT * 1000 + ord) FILTER (tag IS NOT NULL) AS tag,
+  min_by(shown, (own <> required)::INT * 1000 + ord) AS display FROM own2 GROUP BY 1, 2),
+needed AS (SELECT role_id, required, display, coalesce(tag, domains[1], display) AS domain, coalesce(tag, '') AS tag, score,
+  CASE WHEN max(score) OVER (PARTITION BY role_id) IS NULL THEN 1.0::DOUBLE ELSE coalesce(score, 0.5)::DOUBLE END AS weight, ord FROM own3 LEFT JOIN synonyms ON key = required),
+req AS (SELECT DISTINCT required FROM needed)"""
+
+ALIGNED = f"""cand AS (SELECT DISTINCT key AS candidate FROM prepared WHERE tier = 0), ctx_keys AS (SELECT DISTINCT key AS candidate FROM prepared WHERE tier = 1),
+{_pairs_sql('pairs', 'req', 'cand')}, {_pairs_sql('cpairs', 'req', 'ctx_keys')},
+best AS (SELECT profile_id, required, score, key AS closest FROM prepared JOIN pairs ON candidate = key WHERE tier = 0 AND score IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY profile_id, required ORDER BY score DESC, ord) = 1),
+ctx AS (SELECT profile_id, required, key AS closest FROM prepared JOIN cpairs ON candidate = key
+  WHERE tier = 1 AND (score IS NOT NULL OR contains(' ' || key || ' ', ' ' || required || ' ') OR (replace(required, ' ', '') <> '' AND contains(replace(key, ' ', ''), replace(required, ' ', ''))))
+  QUALIFY row_number() OVER (PARTITION BY profile_id, required ORDER BY ord) = 1),
+below AS (SELECT DISTINCT s.key AS required, coalesce(a.canonical, {sql_key('dst')}) AS key FROM synonyms s JOIN reach ON s.name = src LEFT JOIN aliases a ON a.key = {sql_key('dst')}),
+rev AS (SELECT profile_id, b.required, min(p.key) AS closest FROM prepared p JOIN below b ON b.key = p.key AND b.key <> b.required JOIN req ON req.required = b.required WHERE tier <> 1 GROUP BY 1, 2),
+aligned AS (
+  SELECT u.profile_id, required, score, source, coalesce(display, closest) AS closest FROM (SELECT * FROM (
+    SELECT profile_id, required, score, 0 AS t, 'explicit' AS source, closest FROM best
+    UNION ALL SELECT profile_id, key, confidence, 1, 'ontology_implied', coalesce(via, display) FROM prepared WHERE tier = 2 AND key IN (SELECT required FROM req)
+    UNION ALL SELECT profile_id, required, 0.6, 2, 'context', closest FROM ctx
+    UNION ALL SELECT profile_id, required, 0.4, 3, 'reverse_partial', closest FROM rev)
+    QUALIFY row_number() OVER (PARTITION BY profile_id, required ORDER BY (t > 0), score DESC, t) = 1) u
+  LEFT JOIN prepared p ON p.profile_id = u.profile_id AND p.key = u.closest)"""
 
 ROWS = """rows AS (
-  SELECT p.profile_id, role_id, skill, domain, weight, ord, coalesce(score, 0.0)::DOUBLE AS score, source,
-    CASE WHEN coalesce(score, 0) >= 1 THEN 'matched' WHEN coalesce(score, 0) >= 0.75 THEN 'low' WHEN coalesce(score, 0) > 0 THEN 'medium' ELSE 'high' END AS severity,
-    CASE WHEN weight >= 0.75 THEN 'essential' WHEN weight >= 0.40 THEN 'important' ELSE 'nice_to_have' END AS importance,
-    CASE WHEN weight >= 0.75 THEN 0 WHEN weight >= 0.40 THEN 1 ELSE 2 END AS importance_rank
-  FROM (SELECT DISTINCT profile_id FROM explicit) p CROSS JOIN role_skills r LEFT JOIN aligned a ON a.profile_id = p.profile_id AND a.required = r.skill)"""
+  SELECT p.profile_id, role_id, n.required, n.display, domain, tag, weight, ord, coalesce(a.score, 0.0)::DOUBLE AS score, coalesce(source, '') AS source, closest,
+    CASE WHEN coalesce(a.score, 0) >= 1 THEN 'matched' WHEN coalesce(a.score, 0) >= 0.75 THEN 'low' WHEN coalesce(a.score, 0) > 0 THEN 'medium' ELSE 'high' END AS severity,
+    CASE WHEN n.score IS NULL THEN '' WHEN n.score >= 0.75 THEN 'essential' WHEN n.score >= 0.40 THEN 'important' ELSE 'nice_to_have' END AS importance,
+    CASE WHEN n.score IS NULL THEN 3 WHEN n.score >= 0.75 THEN 0 WHEN n.score >= 0.40 THEN 1 ELSE 2 END AS importance_rank
+  FROM profiles p CROSS JOIN needed n LEFT JOIN aligned a ON a.profile_id = p.profile_id AND a.required = n.required)"""
+
+BASE = "WITH RECURSIVE " + ",\n".join((X.SQL["role_skills"], X.SQL["sort_skills"], X.SQL["profiles"], X.SQL["profile_skills"], X.SQL["edges"], REACH, PREPARED, NEEDED, ALIGNED, ROWS))
+
 
-BASE = "WITH RECURSIVE " + ",\n".join((X.SQL["role_skills"], X.SQL["profile_skills"], X.SQL["edges"], PAIRS, BEST, HOPS, REACH, CONTEXT, REVERSE, ALIGNED, ROWS))
+def _needed(spark: SparkSession, d: str) -> DataFrame:
+    hints = X.skill_synonyms(spark, d).select("key", F.element_at("domains", 1).alias("hint"))
+    return A.requirements(X.sort_skills(spark, d), _aliases(spark, d), hints)
 
 
-def _aligned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    held, rs, edges = X.explicit_skills(spark, d), X.role_skills(spark, d), X.skill_edges(spark, d)
-    return rs, held, A.align(rs, held, X.context_terms(spark, d), O.implied_with_hops(held, edges), O.closure(edges))
+def _aligned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The requirements of all roles, and the evidence of all profiles for them."""
+    needed, edges, aliases = cut(_needed(spark, d), "needed"), cut(X.skill_edges(spark, d), "edges"), cut(_aliases(spark, d), "aliases")
+    names = cut(X.skill_synonyms(spark, d), "names")
+    prepared = cut(P.prepare(X.explicit_terms(spark, d), X.context_terms(spark, d), aliases, names, edges), "prepared")
+    below = A.prerequisites(O.closure(edges), names, aliases)
+    return needed, A.align(needed.select("required").distinct(), prepared, below)
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
-    rs, held, aligned = _aligned(spark, d)
-    return A.role_alignment(rs, held, aligned).persist()  # read by every aggregate above it
+    needed, aligned = _aligned(spark, d)
+    return A.role_alignment(needed, X.profiles(spark, d), cut(aligned, "aligned"))
 
 
 def token_overlap_blocked(spark: SparkSession, d: str) -> DataFrame:
-    """Variant and token scores of required against held skill names, found through blocks."""
-    return A.pair_scores(X.role_skills(spark, d).select("skill").distinct(), X.explicit_skills(spark, d).select("skill").distinct())
+    """Variant and token scores of all part names against one another, found through blocks."""
+    names = table(spark, d, "part").select("p_name").distinct()
+    return A.pair_scores(names, names)
+
+
+TOKEN_OVERLAP = f"WITH req AS (SELECT DISTINCT p_name AS required FROM part), cand AS (SELECT DISTINCT p_name AS candidate FROM part), {_pairs_sql('pairs', 'req', 'cand')} SELECT required, candidate, score FROM pairs WHERE score IS NOT NULL"
 
 
 def best_candidate(spark: SparkSession, d: str) -> DataFrame:
     """Best explicit evidence of each profile for each requirement."""
-    return A.best_candidates(X.role_skills(spark, d).select("skill").distinct(), X.explicit_skills(spark, d))
+    held = _prepared(spark, d).filter("source = 'explicit'").select("profile_id", "key", "ord")
+    return A.best_candidates(_needed(spark, d).select("required").distinct(), held)
 
 
-def implied_credit(spark: SparkSession, d: str) -> DataFrame:
-    """Skills implied within three hops, with the least hop."""
-    return O.implied_with_hops(X.explicit_skills(spark, d), X.skill_edges(spark, d))
+def context_credit(spark: SparkSession, d: str) -> DataFrame:
+    """The first context term of each profile that speaks of a requirement."""
+    terms = _prepared(spark, d).filter("source = 'context'").select("profile_id", "key", "ord")
+    return A.context_mentions(_needed(spark, d).select("required").distinct(), terms)
 
 
-def closure_fixpoint(spark: SparkSession, d: str) -> DataFrame:
-    """Reflexive transitive closure of a cyclic implication graph."""
-    return O.closure(X.skill_edges(spark, d))
+def role_requirements(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical requirements of every role with weight, domain and display."""
+    return _needed(spark, d).select("role_id", "required", "display", "domain", "tag", F.round("weight", 4).alias("weight"), "ord")
 
 
 def align_skills(spark: SparkSession, d: str) -> DataFrame:
     """The evidence that counts for each profile and requirement."""
-    return _aligned(spark, d)[2]
+    return _aligned(spark, d)[1]
 
 
 def weighted_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -118,71 +230,154 @@ def weighted_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def domain_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Mean score and skills per domain of every role."""
-    return A.domain_coverage(_rows(spark, d)).withColumn("coverage", F.round("coverage", 3))
+    return A.domain_coverage(_rows(spark, d)).withColumn("coverage", F.round("coverage", 3)).drop("ord")
 
 
+def align_report(spark: SparkSession, d: str) -> DataFrame:
+    """Matched and missing skills and the gaps, in order, of every profile and role."""
+    x = A.reports(_rows(spark, d))
+    gaps = F.transform("skill_gaps", lambda g: F.concat_ws(":", g["required"], g["severity"], g["importance"], F.coalesce(g["closest"], F.lit("-"))))
+    return x.select("profile_id", "role_id", F.round("coverage", 6).alias("coverage"), F.array_join("matched_skills", ",").alias("matched"), F.array_join("missing_skills", ",").alias("missing"), F.array_join(gaps, "|").alias("gaps"), F.size("domain_coverage").alias("domains"))
+
+
+ALIGN_REPORT = f"""{BASE}
+SELECT profile_id, role_id, round(sum(score * weight) / sum(weight), 6) AS coverage, coalesce(string_agg(display, ',' ORDER BY ord) FILTER (score >= 0.75), '') AS matched,
+  coalesce(string_agg(display, ',' ORDER BY ord) FILTER (score = 0), '') AS missing,
+  coalesce(string_agg(required || ':' || severity || ':' || importance || ':' || coalesce(closest, '-'), '|' ORDER BY importance_rank, score, ord) FILTER (score < 1), '') AS gaps, count(DISTINCT domain)::INT AS domains
+FROM rows GROUP BY 1, 2"""
+
 # ---------------------------------------------------------------- candidates
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Signals of every profile and role."""
-    rows = _rows(spark, d)
-    cov = A.coverage(rows)
-    have = X.profile_skills(spark, d).join(table(spark, d, "part").select(F.col("p_name").alias("skill"), F.col("p_type").alias("domain")).distinct(), "skill").select("profile_id", "domain").distinct()
-    need = X.role_skills(spark, d).select("role_id", "domain").distinct()
-    total = need.groupBy("role_id").agg(F.count("*").alias("n"))
-    shared = need.join(have, "domain").groupBy("profile_id", "role_id").agg(F.count("*").alias("m")).join(total, "role_id").select("profile_id", "role_id", (F.col("m") / F.col("n")).alias("domain"))
+def domain_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Share of a role's domains that a profile names, or of the role's terms that it uses."""
+    h = X.heads(spark, d)
+    text = F.concat_ws(" ", "title", "summary", F.array_join("interests", " "))
+    people = h.select("profile_id", T.keyword_domains(text).alias("mine"), T.domain_terms(F.concat(F.array("title", "summary"), "interests")).alias("said"))
+    tags = F.transform(T.listify(F.col("domain_tags")), lambda t: F.replace(T.skill_key(t), F.lit(" "), F.lit("_")))
+    r = X.roles(spark, d).select("role_id", F.array_distinct(tags).alias("tags"), T.domain_terms(F.concat(F.array("title"), tags)).alias("terms"))
+    x = people.join(r)  # profiles are a stated query set
+    base = F.when(F.size("tags") > 0, F.size(F.array_intersect("tags", "mine")) / F.size("tags")).otherwise(0.0)
+    hits = F.size(F.array_intersect("terms", "said"))
+    ratio = F.when(hits > 0, F.greatest(base, F.least(F.lit(0.85), hits / F.greatest(F.size("terms"), F.lit(1))))).otherwise(base)
+    return x.select("profile_id", "role_id", F.round(ratio, 6).alias("domain"), F.array_join(F.filter("tags", lambda t: F.array_contains("mine", t)), ",").alias("matched_domains"))
+
+
+DOMAINS = f"""said AS (SELECT profile_id, {sql_domains("' ' || " + sql_key("concat_ws(' ', title, summary, array_to_string(interests, ' '))") + " || ' '")} AS mine,
+  {sql_terms("list_concat([title, summary], interests)")} AS said FROM heads),
+rterms AS (SELECT role_id, title, tags, {sql_terms("list_concat([title], tags)")} AS terms FROM (SELECT role_id, title, string_split(tags, ',') AS tags FROM roles)),
+overlap AS (SELECT profile_id, role_id, round(CASE WHEN len(list_intersect(terms, said)) > 0 THEN greatest(base, least(0.85::DOUBLE, len(list_intersect(terms, said)) / len(terms))) ELSE base END, 6)::DOUBLE AS domain,
+  array_to_string(list_filter(tags, lambda t: list_contains(mine, t)), ',') AS matched_domains
+  FROM (SELECT *, len(list_intersect(tags, mine)) / len(tags) AS base FROM said, rterms))"""
+
+DOMAIN_OVERLAP = f"WITH {X.SQL['profiles']}, {X.SQL['heads']}, {X.SQL['roles']}, {DOMAINS} SELECT profile_id, role_id, domain, matched_domains FROM overlap"
+
+
+def _certs(spark: SparkSession, d: str) -> DataFrame:
+    return G.certification_coverage(X.roles(spark, d), X.role_certs(spark, d), X.profiles(spark, d), X.profile_certs(spark, d))
+
+
+CERTS = """groups AS (SELECT * FROM (VALUES ('CompTIA A+', 'g2'), ('CompTIA A Plus', 'g2'), ('OCA Java', 'g1'), ('Oracle Java Programmer Certification', 'g1')) t(name, g)),
+need_c AS (SELECT role_id, cert, coalesce(g, cert) AS g FROM role_certs LEFT JOIN groups ON name = cert),
+have_c AS (SELECT DISTINCT profile_id, coalesce(g, cert) AS g FROM profile_certs LEFT JOIN groups ON name = cert),
+certs AS (SELECT p.profile_id, r.role_id, count(h.g) AS matched, count(n.g) AS total, CASE WHEN count(n.g) > 0 THEN count(h.g) / count(n.g) ELSE 1.0 END::DOUBLE AS ratio,
+    coalesce(string_agg(n.cert, ',' ORDER BY n.cert) FILTER (h.g IS NOT NULL), '') AS held, coalesce(string_agg(n.cert, ',' ORDER BY n.cert) FILTER (n.g IS NOT NULL AND h.g IS NULL), '') AS missing
+  FROM profiles p CROSS JOIN (SELECT s_suppkey AS role_id FROM supplier) r LEFT JOIN need_c n ON n.role_id = r.role_id LEFT JOIN have_c h ON h.profile_id = p.profile_id AND h.g = n.g GROUP BY 1, 2)"""
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """One vector per role, three per profile, with their norms."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     n = e.count()
-    role_vec = X.roles(spark, d).select("role_id", (F.col("role_id") % n).alias("vec_id")).join(e, "vec_id").select("role_id", F.col("embedding").alias("rv"))
-    vecs = cov.select("profile_id").distinct()
+    norm = lambda c: F.sqrt(S.dot(F.col(c), F.col(c)))
+    roles = X.roles(spark, d).select("role_id", (F.col("role_id") % n).alias("vec_id")).join(e, "vec_id").select("role_id", F.col("embedding").alias("rv"), norm("embedding").alias("rn"))
+    people = X.profiles(spark, d).select("profile_id", "i")
     for name, shift in (("capability", 0), ("intent", 100), ("identity", 200)):
-        vecs = vecs.join(e.select((F.col("vec_id") - shift).alias("profile_id"), F.col("embedding").alias(name)), "profile_id")
-    x = cov.select("profile_id", "role_id", F.round("coverage", 6).alias("skill")).join(shared, ["profile_id", "role_id"], "left").join(role_vec, "role_id").join(F.broadcast(vecs), "profile_id")  # one row per profile
-    for name in ("capability", "intent", "identity"):
-        x = x.withColumn(name, F.round(S.cosine(F.col(name), F.col("rv")), 6))
-    return x.drop("rv").withColumns({"domain": F.round(F.coalesce("domain", F.lit(0.0)), 6), "seniority": F.when(F.col("role_id") % 3 == 0, 1.0).when(F.col("role_id") % 3 == 1, 0.70).otherwise(0.65)})
-
-
-CANDIDATES = """have AS (SELECT DISTINCT profile_id, p_type AS domain FROM profile_skills JOIN part ON p_name = skill),
-need AS (SELECT DISTINCT role_id, domain FROM role_skills),
-shared AS (SELECT profile_id, role_id, count(*) / any_value(n) AS domain FROM need JOIN have USING (domain) JOIN (SELECT role_id, count(*) AS n FROM need GROUP BY 1) USING (role_id) GROUP BY 1, 2),
-nvec AS (SELECT count(*) AS n FROM embeddings),
-rv AS (SELECT r.role_id, e.embedding::DOUBLE[] AS rv FROM (SELECT s_suppkey AS role_id FROM supplier) r, nvec, embeddings e WHERE e.vec_id = r.role_id % n),
+        people = people.withColumn("vec_id", (F.col("i") + shift) % n).join(e, "vec_id").withColumn(name, F.struct(F.col("embedding").alias("v"), norm("embedding").alias("n"))).drop("vec_id", "embedding")
+    return roles, people.drop("i")
+
+
+def vector_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine similarities of every profile's three vectors to every role."""
+    roles, people = _vectors(spark, d)
+    x = people.join(roles)  # profiles are a stated query set
+    sim = lambda c: F.round(S.dot(F.col(c)["v"], F.col("rv")) / (F.col(c)["n"] * F.col("rn")), 6).alias(c)
+    return x.select("profile_id", "role_id", *[sim(c) for c in ("capability", "intent", "identity")])
+
+
+VECTORS = """nvec AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+rv AS (SELECT s_suppkey AS role_id, v AS rv FROM supplier, nvec, e WHERE vec_id = s_suppkey % n),
+pv AS (SELECT profile_id, a.v AS va, b.v AS vb, c.v AS vc FROM profiles, nvec, e a, e b, e c WHERE a.vec_id = i % n AND b.vec_id = (i + 100) % n AND c.vec_id = (i + 200) % n),
+vectors AS (SELECT profile_id, role_id, round(list_cosine_similarity(va, rv), 6) AS capability, round(list_cosine_similarity(vb, rv), 6) AS intent, round(list_cosine_similarity(vc, rv), 6) AS identity FROM pv, rv)"""
+
+
+def _seniority(spark: SparkSession, d: str) -> DataFrame:
+    """Level gap of every profile (its latest job's title, else its own) and role."""
+    job = X.experience(spark, d).filter("trim(role) <> ''").groupBy("profile_id").agg(F.min_by("role", "ord").alias("role"))
+    people = X.heads(spark, d).join(job, "profile_id", "left").select("profile_id", F.coalesce(T.seniority_level(F.coalesce("role", "title")), F.lit("")).alias("user"), F.coalesce(T.level_of_label(F.col("level")), F.lit("")).alias("stated"))
+    r = X.roles(spark, d).select("role_id", F.coalesce(T.seniority_level(F.col("title")), F.lit("")).alias("level"))
+    return people.join(r)  # profiles are a stated query set
+
+
+LEVEL_RANK = "list_position(['intern','junior','mid','senior','lead','staff','principal','director'], {x})"
+SENIORITY = f"""jobs AS (SELECT profile_id, min_by(role, ord) AS role FROM experience WHERE trim(role) <> '' GROUP BY 1),
+ulevel AS (SELECT h.profile_id, {{level}} AS lv, list_position(['Jr','mid ',' Senior','principal'], level) AS st FROM heads h LEFT JOIN jobs j USING (profile_id)),
+rlevel AS (SELECT s_suppkey AS role_id, ['junior','','senior','lead','principal'][s_suppkey % 5 + 1] AS l0, CASE WHEN s_suppkey % 5 = 1 AND s_suppkey % 7 = 2 THEN 'lead' ELSE ['junior','','senior','lead','principal'][s_suppkey % 5 + 1] END AS rl FROM supplier),
+lev AS (SELECT profile_id, role_id, lv, rl, ['junior','mid','senior','principal'][st] AS stated, {LEVEL_RANK.format(x='rl')} - {LEVEL_RANK.format(x='lv')} AS d FROM ulevel, rlevel),
+fit AS (SELECT profile_id, role_id, CASE WHEN lv = '' OR rl = '' THEN 0.70::DOUBLE WHEN d = 0 THEN 1.0 WHEN d > 0 THEN greatest(0.25::DOUBLE, 0.65::DOUBLE - 0.20::DOUBLE * (d - 1)) ELSE greatest(0.75::DOUBLE, 0.90::DOUBLE - 0.05::DOUBLE * (abs(d) - 1)) END AS seniority,
+  CASE WHEN lv = '' OR rl = '' THEN 'unknown' WHEN d = 0 THEN 'match' WHEN d > 0 THEN 'stretch' ELSE 'overqualified' END AS seniority_gap FROM lev)"""
+SENIORITY = SENIORITY.replace("{level}", """CASE WHEN j.role IS NOT NULL THEN CASE WHEN j.role LIKE '%Architect%' THEN 'lead' ELSE '' END
+  WHEN h.title LIKE 'Junior%' THEN 'junior' WHEN h.title LIKE 'Senior%' THEN 'senior' WHEN h.title LIKE 'Lead%' THEN 'lead' WHEN h.title LIKE 'Principal%' THEN 'principal' WHEN h.title LIKE '%Architect%' THEN 'lead' ELSE '' END""")
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Signals of every profile and role."""
+    keys = ["profile_id", "role_id"]
+    cov = A.coverage(_rows(spark, d)).select(*keys, F.round("coverage", 6).alias("skill"))
+    level, fit = T.seniority_gap(F.nullif("user", F.lit("")), F.nullif("level", F.lit("")))
+    lev = _seniority(spark, d).select(*keys, F.round(fit, 6).alias("seniority"), level.alias("seniority_gap"))
+    certs = G.certification_overlap(_certs(spark, d)).withColumn("certification", F.round("certification", 6))
+    x = vector_signals(spark, d).join(domain_overlap(spark, d).select(*keys, "domain"), keys).join(lev, keys).join(certs, keys)
+    return x.join(cov, keys, "left").withColumn("skill", F.coalesce("skill", F.lit(0.0)))
+
+
+CANDIDATES = f"""{DOMAINS}, {VECTORS}, {SENIORITY}, {CERTS},
 cov AS (SELECT profile_id, role_id, round(sum(score * weight) / sum(weight), 6) AS skill FROM rows GROUP BY 1, 2),
-candidates AS (
-  SELECT profile_id, role_id, skill, round(coalesce(domain, 0), 6) AS domain,
-    round(list_cosine_similarity(a.embedding::DOUBLE[], rv), 6) AS capability, round(list_cosine_similarity(b.embedding::DOUBLE[], rv), 6) AS intent,
-    round(list_cosine_similarity(c.embedding::DOUBLE[], rv), 6) AS identity, CASE role_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.70 ELSE 0.65 END::DOUBLE AS seniority
-  FROM cov LEFT JOIN shared USING (profile_id, role_id) JOIN rv USING (role_id)
-  JOIN embeddings a ON a.vec_id = profile_id JOIN embeddings b ON b.vec_id = profile_id + 100 JOIN embeddings c ON c.vec_id = profile_id + 200)"""
+candidates AS (SELECT profile_id, role_id, capability, intent, identity, coalesce(skill, 0)::DOUBLE AS skill, domain, round(seniority, 6) AS seniority, seniority_gap, round(CASE WHEN total > 0 THEN ratio ELSE 0 END, 6) AS certification
+  FROM vectors JOIN overlap USING (profile_id, role_id) JOIN fit USING (profile_id, role_id) JOIN certs USING (profile_id, role_id) LEFT JOIN cov USING (profile_id, role_id))"""
 
+MORE = ",\n".join((X.SQL["heads"], X.SQL["roles"], X.SQL["experience"], X.SQL["certs"]))
 
-def _sql_score(bucket: str) -> str:
+
+def _sql_score(weights: tuple[float, ...]) -> str:
     gate = "CASE WHEN skill >= 0.35 THEN domain WHEN skill >= 0.20 THEN least(domain, 0.50) ELSE least(domain, 0.25) END"
     terms = {**{s: s for s in S.SIGNALS}, "domain": gate}
-    parts = [f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {terms[s]})) * {w}::DOUBLE" for s, w in zip(S.SIGNALS, S.WEIGHTS[bucket], strict=True)]
+    parts = [f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {terms[s]})) * {w}::DOUBLE" for s, w in zip(S.SIGNALS, weights, strict=True)]
     return f"round({' + '.join(parts)}, 9)"
 
 
+#: Fixed values, written out a second time for the SQL.
+SQL_WEIGHTS = {"ready_now": (0.30, 0.10, 0.40, 0.23, 0.09, 0.08), "next_step": (0.13, 0.25, 0.28, 0.13, 0.14, 0.07), "aspirational": (0.10, 0.40, 0.20, 0.10, 0.15, 0.05), "final": (0.20, 0.10, 0.30, 0.23, 0.10, 0.07)}
+
 SCORED = ",\n".join(
     (
+        MORE,
         CANDIDATES,
-        "scored0 AS (SELECT *, " + ", ".join(f"{_sql_score(b)} AS score_{b}" for b in R.BUCKETS) + " FROM candidates)",
-        """scored AS (SELECT *, CASE WHEN score_ready_now >= score_next_step AND score_ready_now >= score_aspirational THEN 'ready_now'
+        "scored0 AS (SELECT *, " + ", ".join(f"{_sql_score(w)} AS score_{b}" for b, w in SQL_WEIGHTS.items()) + " FROM candidates)",
+        """scored AS (SELECT * EXCLUDE (score_final), score_final AS final_score, CASE WHEN score_ready_now >= score_next_step AND score_ready_now >= score_aspirational THEN 'ready_now'
     WHEN score_next_step >= score_aspirational THEN 'next_step' ELSE 'aspirational' END AS bucket,
-    greatest(score_ready_now, score_next_step, score_aspirational) AS score FROM scored0)""",
+    greatest(score_ready_now, score_next_step, score_aspirational) AS bucket_score FROM scored0)""",
     )
 )
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return R.score_candidates(_candidates(spark, d)).persist()
+    return cut(R.score_candidates(_candidates(spark, d)), "scored")
 
 
 def score_and_bucket(spark: SparkSession, d: str) -> DataFrame:
-    """Every candidate's bucket and score."""
-    return _scored(spark, d).select("profile_id", "role_id", "bucket", "score")
+    """Every candidate's bucket, bucket score and final score."""
+    return _scored(spark, d).select("profile_id", "role_id", "bucket", "bucket_score", "final_score", "seniority_gap")
 
 
 def display_score(spark: SparkSession, d: str) -> DataFrame:
@@ -190,104 +385,151 @@ def display_score(spark: SparkSession, d: str) -> DataFrame:
     return R.display_scores(_scored(spark, d)).select("profile_id", "role_id", "shown")
 
 
-def _sql_shown() -> str:
-    bands = " ".join(f"WHEN '{b}' THEN {lo} + t * {hi - lo}" for b, (lo, hi) in S.BANDS.items())
-    return f"round_even(CASE bucket {bands} END, 0)::INT"
+def _sql_shown(source: str) -> str:
+    """(profile_id, role_id, shown) of rows with bucket and final_score."""
+    bands = " ".join(f"WHEN '{b}' THEN {lo} + t * {hi - lo}" for b, (lo, hi) in {"ready_now": (85, 98), "next_step": (70, 84), "aspirational": (50, 69)}.items())
+    return f"""sh AS (SELECT *, min(final_score) OVER w AS lo, max(final_score) OVER w AS hi FROM {source} WINDOW w AS (PARTITION BY profile_id, bucket)),
+st AS (SELECT *, CASE WHEN hi - lo < 1e-9 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, final_score)) ELSE (final_score - lo) / (hi - lo) END AS t FROM sh),
+shown AS (SELECT *, round_even(CASE bucket {bands} END, 0)::INT AS shown FROM st)"""
 
 
 def round_robin(spark: SparkSession, d: str) -> DataFrame:
-    """Nine roles of each profile, one per bucket and round."""
-    return R.round_robin(_scored(spark, d)).select("profile_id", "bucket", "role_id", "pos")
+    """Nine roles of each profile in turns over the buckets, best first."""
+    x = _scored(spark, d)
+    rank = F.row_number().over(Window.partitionBy("profile_id", "bucket").orderBy(F.desc("final_score"), "role_id"))
+    x = x.withColumn("pos", rank).filter("pos <= 9")
+    return R.round_robin(x).select("profile_id", "bucket", "role_id", F.col("turn").alias("pos"))
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    """Skills and domains of each role as one sorted array."""
-    return X.role_skills(spark, d).groupBy("role_id").agg(F.array_sort(F.array_union(F.collect_set("skill"), F.collect_set("domain"))).alias("feature"))
+    """Skills and domains of each role, and the words of its title; written, since each round of a selection reads it."""
+    tags = F.transform(T.listify(F.col("domain_tags")), lambda t: F.replace(T.skill_key(t), F.lit(" "), F.lit("_")))
+    r = X.roles(spark, d).select("role_id", tags.alias("tags"), R.title_tokens(F.col("title")).alias("words"))
+    s = _needed(spark, d).groupBy("role_id").agg(F.collect_set("required").alias("skills"))
+    x = r.join(s, "role_id", "left")
+    return cut(x.select("role_id", F.array_union(F.coalesce("skills", F.array().cast("array<string>")), "tags").alias("feature"), "words"), "features")
+
+
+FEATURES = """feat AS (SELECT role_id, list_distinct(list_concat(coalesce(s, []), string_split(tags, ','))) AS f,
+  list_distinct(list_filter(string_split(lower(title), ' '), lambda w: w NOT IN ('junior', 'senior', 'lead', 'principal', 'architect'))) AS w
+  FROM roles LEFT JOIN (SELECT role_id, list(DISTINCT required) AS s FROM needed GROUP BY 1) USING (role_id))"""
+
+
+def _sql_picks(k: int) -> str:
+    """``picks``: k diversified roles per profile and bucket, by rounds."""
+    jac = lambda a, b: f"(CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) ELSE 0 END)"
+    out = [FEATURES, "p0 AS (SELECT profile_id, bucket, role_id, final_score, f, w, 0.0::DOUBLE AS sim FROM scored JOIN feat USING (role_id))"]
+    for n in range(1, k + 1):
+        value = "final_score" if n == 1 else "round(0.7::DOUBLE * final_score - 0.30000000000000004::DOUBLE * sim, 9)"
+        out.append(f"r{n} AS (SELECT *, row_number() OVER (PARTITION BY profile_id, bucket ORDER BY {value} DESC, final_score DESC, role_id) AS rn FROM p{n - 1})")
+        out.append(f"""p{n} AS (SELECT r.profile_id, r.bucket, r.role_id, r.final_score, r.f, r.w, greatest(r.sim, {jac('r.f', 't.f')}, {jac('r.w', 't.w')}) AS sim
+          FROM r{n} r JOIN r{n} t ON r.profile_id = t.profile_id AND r.bucket = t.bucket AND t.rn = 1 WHERE r.rn > 1)""")
+    out.append("picks AS (" + " UNION ALL ".join(f"SELECT profile_id, bucket, role_id, final_score, {n} AS pos FROM r{n} WHERE rn = 1" for n in range(1, k + 1)) + ")")
+    return ",\n".join(out)
+
+
+def _sql_fill(k: int) -> str:
+    """``filled``: the picks, and what short buckets take from the leftovers, buckets in order."""
+    out = [_sql_picks(k), "left0 AS (SELECT * FROM scored WHERE (profile_id, role_id) NOT IN (SELECT profile_id, role_id FROM picks))"]
+    union = ["SELECT profile_id, role_id, bucket, pos, final_score FROM picks"]
+    for n, b in enumerate(R.BUCKETS):
+        out.append(f"need{n} AS (SELECT p.profile_id, {k} - count(k.role_id) AS need FROM profiles p LEFT JOIN picks k ON k.profile_id = p.profile_id AND k.bucket = '{b}' GROUP BY 1)")
+        out.append(f"rank{n} AS (SELECT l.*, need, row_number() OVER (PARTITION BY l.profile_id ORDER BY score_{b} DESC, final_score DESC, role_id) AS rn FROM left{n} l JOIN need{n} USING (profile_id))")
+        out.append(f"left{n + 1} AS (SELECT * EXCLUDE (need, rn) FROM rank{n} WHERE rn > need)")
+        union.append(f"SELECT profile_id, role_id, '{b}', ({k} - need + row_number() OVER (PARTITION BY profile_id ORDER BY final_score DESC, role_id))::INT, final_score FROM rank{n} WHERE rn <= need")
+    out.append("filled AS (" + " UNION ALL ".join(union) + ")")
+    return ",\n".join(out)
 
 
 def mmr_k3(spark: SparkSession, d: str) -> DataFrame:
     """Three diversified roles of each profile and bucket."""
-    return R.mmr(_scored(spark, d), _features(spark, d)).select("profile_id", "bucket", "role_id", "pos")
-
-
-def _sql_mmr() -> str:
-    out = [BASE, SCORED, "feat AS (SELECT role_id, list_distinct(list_concat(list(DISTINCT skill), list(DISTINCT domain))) AS f FROM role_skills GROUP BY 1)"]
-    out.append("p0 AS (SELECT profile_id, bucket, role_id, score, f, 0.0::DOUBLE AS sim FROM scored JOIN feat USING (role_id))")
-    for k in (1, 2, 3):
-        value = "score" if k == 1 else "round(0.7::DOUBLE * score - 0.30000000000000004::DOUBLE * sim, 9)"
-        out.append(f"r{k} AS (SELECT *, row_number() OVER (PARTITION BY profile_id, bucket ORDER BY {value} DESC, score DESC, role_id) AS rn FROM p{k - 1})")
-        out.append(f"""p{k} AS (SELECT r.profile_id, r.bucket, r.role_id, r.score, r.f,
-          greatest(r.sim, len(list_intersect(r.f, t.f)) / len(list_distinct(list_concat(r.f, t.f)))) AS sim
-          FROM r{k} r JOIN r{k} t ON r.profile_id = t.profile_id AND r.bucket = t.bucket AND t.rn = 1 WHERE r.rn > 1)""")
-    return ",\n".join(out) + "\n" + " UNION ALL ".join(f"SELECT profile_id, bucket, role_id, {k} AS pos FROM r{k} WHERE rn = 1" for k in (1, 2, 3))
+    return R.mmr(_scored(spark, d), _features(spark, d)).filter("pos is not null").select("profile_id", "bucket", "role_id", "pos")
 
 
 def backfill_k3(spark: SparkSession, d: str) -> DataFrame:
     """Three roles in every bucket of each profile, short buckets filled from the others."""
-    return R.backfill(_scored(spark, d), _features(spark, d))
+    return R.backfill(_scored(spark, d), _features(spark, d)).select("profile_id", "bucket", "role_id", "pos")
 
 
-def role_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """For each role, the most similar other role by skills and domains, found through shared skills."""
-    f = _features(spark, d)
-    s = X.role_skills(spark, d).select("role_id", "skill")
-    pairs = s.alias("a").join(s.alias("b"), (F.col("a.skill") == F.col("b.skill")) & (F.col("a.role_id") != F.col("b.role_id"))).groupBy(F.col("a.role_id").alias("role_id"), F.col("b.role_id").alias("other")).agg(F.count("*").alias("n"))
-    x = pairs.join(f, "role_id").join(f.select(F.col("role_id").alias("other"), F.col("feature").alias("g")), "other").withColumn("similarity", F.round(T.jaccard(F.col("feature"), F.col("g")), 6))
-    w = Window.partitionBy("role_id").orderBy(F.desc("similarity"), "other")
-    return x.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("role_id", "other", "similarity")
+def recommend_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The recommendation: four roles of each profile, diversified, filled and taken in turns."""
+    x = R.recommend(_scored(spark, d), _features(spark, d), top_k=4)
+    return x.select("profile_id", "role_id", "bucket", "pos", F.round("final_score", 4).alias("final_score"))
 
 
-ROLE_SIMILARITY = f"""WITH {X.SQL['role_skills']},
-feat AS (SELECT role_id, list_distinct(list_concat(list(DISTINCT skill), list(DISTINCT domain))) AS f, list(DISTINCT skill) AS s FROM role_skills GROUP BY 1)
-SELECT a.role_id, b.role_id AS other, round(len(list_intersect(a.f, b.f)) / len(list_distinct(list_concat(a.f, b.f))), 6) AS similarity
-FROM feat a JOIN feat b ON a.role_id <> b.role_id AND len(list_intersect(a.s, b.s)) > 0
-QUALIFY row_number() OVER (PARTITION BY a.role_id ORDER BY round(len(list_intersect(a.f, b.f)) / len(list_distinct(list_concat(a.f, b.f))), 6) DESC, b.role_id) = 1"""
+RECOMMEND_TOPK = f"""{BASE}, {SCORED}, {_sql_fill(4)}
+SELECT profile_id, role_id, bucket, pos, round(final_score, 4) AS final_score FROM filled
+QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY pos, list_position(['ready_now','next_step','aspirational'], bucket)) <= 4"""
 
-# ---------------------------------------------------------------- gaps
 
+def match_results(spark: SparkSession, d: str) -> DataFrame:
+    """The flat list shown to each profile: three roles a bucket with shown scores and rounded signals."""
+    scored = _scored(spark, d)
+    x = R.flattened(R.recommend(scored, _features(spark, d), per_bucket=3))
+    return R.results(x, scored).select("profile_id", "place", "role_id", "bucket", "shown", "final_score", "skill", "domain", "certification", "seniority")
 
-def _certs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    li = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_quantity")
-    p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("cert"))
-    x = li.join(p, li.l_partkey == p.p_partkey)
-    w = Window.partitionBy("role_id").orderBy(F.desc("q"), "cert")
-    need = x.groupBy(F.col("l_suppkey").alias("role_id"), "cert").agg(F.sum("l_quantity").alias("q")).withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("role_id", "cert")
-    o, c = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    y = x.join(o, x.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
-    v = Window.partitionBy("profile_id").orderBy(F.desc("q"), "cert")
-    held = y.groupBy(F.col("c_nationkey").alias("profile_id"), "cert").agg(F.sum("l_quantity").alias("q")).withColumn("rn", F.row_number().over(v)).filter("rn <= 8").select("profile_id", "cert")
-    return need, held
 
+MATCH_RESULTS = f"""{BASE}, {SCORED}, {_sql_fill(3)}, {_sql_shown('filled')}
+SELECT profile_id, row_number() OVER (PARTITION BY profile_id ORDER BY list_position(['ready_now','next_step','aspirational'], s.bucket), pos)::INT AS place, role_id, s.bucket, shown, round(s.final_score, 4) AS final_score,
+  round(skill, 4) AS skill, round(c.domain, 4) AS domain, round(certification, 4) AS certification, round(seniority, 4) AS seniority
+FROM shown s JOIN candidates c USING (profile_id, role_id)"""
 
-CERTS = """need_c AS (SELECT role_id, cert FROM (SELECT l_suppkey AS role_id, p_brand AS cert, sum(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
-  QUALIFY row_number() OVER (PARTITION BY role_id ORDER BY q DESC, cert) <= 3),
-held_c AS (SELECT profile_id, cert FROM (SELECT c_nationkey AS profile_id, p_brand AS cert, sum(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
-  QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY q DESC, cert) <= 8),
-certs AS (SELECT p.profile_id, r.role_id, count(h.cert) AS matched, count(*) AS total, count(h.cert) / count(*) AS ratio
-  FROM (SELECT DISTINCT profile_id FROM held_c) p CROSS JOIN need_c r LEFT JOIN held_c h ON h.profile_id = p.profile_id AND h.cert = r.cert GROUP BY 1, 2)"""
+
+def role_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """For each role, the role most similar by skills and domains, found through the features they share.
+
+    Features are ordered from the rarest; two roles of similarity above one half share one of the
+    first half of each, so only these are joined, and a role without such a neighbour has none.
+    """
+    f = _features(spark, d).select("role_id", "feature")
+    x = f.select("role_id", F.explode("feature").alias("v"))
+    often = x.groupBy("v").agg(F.count("*").alias("n"))
+    order = F.row_number().over(Window.partitionBy("role_id").orderBy("n", "v"))
+    size = F.count("*").over(Window.partitionBy("role_id"))
+    rare = x.join(often, "v").withColumns({"o": order, "s": size}).filter(F.col("o") <= F.floor(F.col("s") - F.ceil(F.col("s") * SIMILAR) + 1)).select("role_id", "v")
+    pairs = rare.alias("a").join(rare.alias("b"), (F.col("a.v") == F.col("b.v")) & (F.col("a.role_id") < F.col("b.role_id"))).select(F.col("a.role_id").alias("role_id"), F.col("b.role_id").alias("other")).distinct()
+    y = pairs.join(f, "role_id").join(f.select(F.col("role_id").alias("other"), F.col("feature").alias("g")), "other").withColumn("similarity", F.round(T.jaccard(F.col("feature"), F.col("g")), 6)).filter(F.col("similarity") >= SIMILAR)
+    both = y.select("role_id", "other", "similarity").unionByName(y.select(F.col("other").alias("role_id"), F.col("role_id").alias("other"), "similarity"))
+    return O.first_by(both, ["role_id"], [F.desc("similarity"), "other"])
+
+
+#: Similarity from which two roles count as alike.
+SIMILAR = 0.5
+
+ROLE_SIMILARITY = f"""WITH {X.SQL['role_skills']}, {X.SQL['sort_skills']}, {X.SQL['edges']}, {X.SQL['roles']}, {ALIASES}, {NEEDED}, {FEATURES},
+sims AS (SELECT a.role_id, b.role_id AS other, round(len(list_intersect(a.f, b.f)) / len(list_distinct(list_concat(a.f, b.f))), 6) AS similarity FROM feat a JOIN feat b ON a.role_id <> b.role_id)
+SELECT * FROM sims WHERE similarity >= 0.5 QUALIFY row_number() OVER (PARTITION BY role_id ORDER BY similarity DESC, other) = 1"""
+
+# ---------------------------------------------------------------- gaps
 
 
 def cert_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Certifications of every role that each profile holds."""
-    need, held = _certs(spark, d)
-    return G.certification_coverage(need, held).withColumn("ratio", F.round("ratio", 6))
+    """Certifications of every role that each profile holds, under any of their names."""
+    return _certs(spark, d).select("profile_id", "role_id", "matched", "total", F.round("ratio", 6).alias("ratio"), "held", "missing")
 
 
 def readiness(spark: SparkSession, d: str) -> DataFrame:
-    """Overall readiness, tier and timeline of every profile and role."""
-    need, held = _certs(spark, d)
-    x = A.coverage(_rows(spark, d)).join(G.certification_coverage(need, held).select("profile_id", "role_id", "ratio"), ["profile_id", "role_id"])
-    x = x.withColumn("readiness", F.round(S.readiness(F.round("coverage", 6), F.round("ratio", 6), F.lit(0.70)), 4))
+    """Overall readiness, tier and timeline of every profile and role, with the note on its level."""
+    keys = ["profile_id", "role_id"]
+    user, role = F.nullif("stated", F.lit("")), F.nullif("level", F.lit(""))
+    label, fit = T.seniority_gap(user, role)
+    lev = _seniority(spark, d).select(*keys, F.round(fit, 6).alias("fit"), label.alias("gap"), G.seniority_note(label, user, role).alias("note"))
+    x = A.coverage(_rows(spark, d)).join(_certs(spark, d).select(*keys, "ratio"), keys).join(lev, keys)
+    x = x.withColumn("readiness", F.round(S.readiness(F.round("coverage", 6), F.round("ratio", 6), F.col("fit")), 4))
     tier, time = S.readiness_tier(F.col("readiness"))
-    return x.select("profile_id", "role_id", "readiness", tier.alias("tier"), time.alias("timeline"), S.status(F.round("coverage", 6)).alias("status"))
+    return x.select(*keys, "readiness", tier.alias("tier"), time.alias("timeline"), S.status(F.round("coverage", 6)).alias("status"), "gap", F.coalesce("note", F.lit("")).alias("note"))
 
 
-READINESS = f"""{BASE}, {CERTS},
+READINESS = f"""{BASE}, {MORE}, {SENIORITY}, {CERTS},
 x AS (SELECT profile_id, role_id, round(sum(score * weight) / sum(weight), 6) AS c FROM rows GROUP BY 1, 2),
-y AS (SELECT *, round(0.70::DOUBLE * c + 0.20::DOUBLE * round(ratio, 6) + 0.10::DOUBLE * 0.70::DOUBLE, 4) AS readiness FROM x JOIN certs USING (profile_id, role_id))
+g AS (SELECT profile_id, role_id, stated, nullif(rl, '') AS rl, {LEVEL_RANK.format(x='rl')} - {LEVEL_RANK.format(x='stated')} AS d FROM lev),
+h AS (SELECT *, CASE WHEN stated IS NULL OR rl IS NULL THEN 0.70::DOUBLE WHEN d = 0 THEN 1.0 WHEN d > 0 THEN greatest(0.25::DOUBLE, 0.65::DOUBLE - 0.20::DOUBLE * (d - 1)) ELSE greatest(0.75::DOUBLE, 0.90::DOUBLE - 0.05::DOUBLE * (abs(d) - 1)) END AS fit,
+  CASE WHEN stated IS NULL OR rl IS NULL THEN 'unknown' WHEN d = 0 THEN 'match' WHEN d > 0 THEN 'stretch' ELSE 'overqualified' END AS gap FROM g),
+y AS (SELECT *, round(0.70::DOUBLE * c + 0.20::DOUBLE * round(ratio, 6) + 0.10::DOUBLE * round(fit, 6), 4) AS readiness FROM x JOIN certs USING (profile_id, role_id) JOIN h USING (profile_id, role_id))
 SELECT profile_id, role_id, readiness, CASE WHEN readiness >= 0.70 THEN 'ready_now' WHEN readiness >= 0.35 THEN 'next_step' ELSE 'aspirational' END AS tier,
   CASE WHEN readiness >= 0.70 THEN '1-3 months' WHEN readiness >= 0.35 THEN '3-5 months' ELSE '5-8 months' END AS timeline,
-  CASE WHEN c >= 0.70 THEN 'strong' WHEN c >= 0.35 THEN 'partial' ELSE 'weak' END AS status FROM y"""
+  CASE WHEN c >= 0.70 THEN 'strong' WHEN c >= 0.35 THEN 'partial' ELSE 'weak' END AS status, gap,
+  CASE gap WHEN 'stretch' THEN 'Role looks ' || rl || '; you are ' || stated || '. Expect a stretch in scope/leadership.' WHEN 'overqualified' THEN 'You (' || stated || ') may be over-levelled for a ' || rl || ' role.' ELSE '' END AS note FROM y"""
 
 
 def top_gap_domains(spark: SparkSession, d: str) -> DataFrame:
@@ -295,68 +537,157 @@ def top_gap_domains(spark: SparkSession, d: str) -> DataFrame:
     return G.top_gap_domains(_rows(spark, d)).select("profile_id", "role_id", "domain", "n_gaps", "pos")
 
 
-TOP_GAP_DOMAINS = f"""{BASE}
-SELECT profile_id, role_id, domain, n_gaps, row_number() OVER (PARTITION BY profile_id, role_id ORDER BY imp, sev, transfer, domain)::INT AS pos FROM (
-  SELECT profile_id, role_id, domain, min(importance_rank) AS imp, min(CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS sev, round(avg(score), 6) AS transfer, count(*) AS n_gaps
-  FROM rows WHERE score < 1 GROUP BY 1, 2, 3)
-QUALIFY row_number() OVER (PARTITION BY profile_id, role_id ORDER BY imp, sev, transfer, domain) <= 5"""
+GAP_DOMAINS = """gd AS (SELECT profile_id, role_id, coalesce(nullif(tag, ''), display) AS domain, min(importance_rank) AS imp, min(CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS sev, round(avg(score), 6) AS transfer,
+    min({'i': importance_rank, 's': score, 'o': ord}) AS f, count(*) AS n_gaps FROM rows WHERE score < 1 GROUP BY 1, 2, 3),
+gtop AS (SELECT *, row_number() OVER (PARTITION BY profile_id, role_id ORDER BY imp, sev, transfer, f)::INT AS pos FROM gd QUALIFY pos <= 5)"""
 
+TOP_GAP_DOMAINS = f"{BASE}, {GAP_DOMAINS} SELECT profile_id, role_id, domain, n_gaps, pos FROM gtop"
 
-def actionable_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """The three gaps to close first, with labels."""
+
+def _gaps(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, d)
-    domains = A.domain_coverage(rows).withColumn("coverage", F.round("coverage", 2))
-    return G.actionable_gaps(rows, domains).select("profile_id", "role_id", "skill", "pos", "label", "effort")
+    gaps = G.ranked_gaps(rows, A.domain_coverage(rows).withColumn("coverage", F.round("coverage", 2)))
+    return G.advice(gaps.join(X.roles(spark, d).select("role_id", "title"), "role_id"))
+
+
+def actionable_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """The three gaps to close first, with labels and advice."""
+    x = _gaps(spark, d).filter("pos <= 3")
+    return x.select("profile_id", "role_id", "required", "pos", "label", "effort", "signal", "why_it_matters", "suggested_action", "proof_to_build", "resume_hint")
 
 
-ACTIONABLE_GAPS = f"""{BASE},
-dc AS (SELECT profile_id, role_id, domain, round(round(avg(score), 4), 2) AS dcov FROM rows GROUP BY 1, 2, 3),
-pr AS (SELECT r.*, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.35::DOUBLE * CASE importance WHEN 'essential' THEN 1.0 WHEN 'important' THEN 0.65 ELSE 0.3 END::DOUBLE
+RANKED = f"""dc AS (SELECT profile_id, role_id, domain, round(round(avg(score), 4), 2) AS dcov FROM rows GROUP BY 1, 2, 3),
+gap0 AS (SELECT * REPLACE (coalesce(nullif(tag, ''), domain) AS domain, coalesce(nullif(source, ''), 'shared_alignment') AS source), {sql_key('display')} AS k FROM rows WHERE score < 1),
+gap1 AS (SELECT g.*, coalesce(dcov, 0) AS dcov, CASE WHEN regexp_matches(k, 'api|aws|azure|ci cd|css|dns|docker|ethereum|gcp|git|html|javascript|kubernetes|linux|node|python|react|rest|sql|terraform|typescript|web3') THEN 0.95 WHEN contains(k, ' ') THEN 0.85 ELSE 0.70 END::DOUBLE AS sp
+  FROM gap0 g LEFT JOIN dc USING (profile_id, role_id, domain)),
+gap2 AS (SELECT *, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.35::DOUBLE * CASE importance WHEN 'essential' THEN 1.0 WHEN 'important' THEN 0.65 WHEN 'nice_to_have' THEN 0.3 ELSE 0.5 END::DOUBLE
    + 0.25::DOUBLE * (1.0::DOUBLE - score) + 0.10::DOUBLE * (1.0::DOUBLE - dcov)
-   + 0.10::DOUBLE * CASE coalesce(source, '') WHEN '' THEN 1.0 WHEN 'shared_alignment' THEN 1.0 WHEN 'context' THEN 0.6 WHEN 'ontology_implied' THEN 0.45 WHEN 'reverse_partial' THEN 0.5 ELSE 0.75 END::DOUBLE
-   + 0.05::DOUBLE * 0.75::DOUBLE + 0.15::DOUBLE * sp - 0.16::DOUBLE * (1.0::DOUBLE - sp))), 6) AS priority
-  FROM (SELECT *, CASE WHEN len(string_split(skill, ' ')) >= 2 THEN 0.85::DOUBLE ELSE 0.70::DOUBLE END AS sp FROM rows WHERE score < 1) r JOIN dc USING (profile_id, role_id, domain))
-SELECT profile_id, role_id, skill, row_number() OVER (PARTITION BY profile_id, role_id ORDER BY priority DESC, importance_rank, score, skill)::INT AS pos,
+   + 0.10::DOUBLE * CASE source WHEN 'shared_alignment' THEN 1.0 WHEN 'context' THEN 0.6 WHEN 'ontology_implied' THEN 0.45 WHEN 'reverse_partial' THEN 0.5 ELSE 0.75 END::DOUBLE
+   + 0.05::DOUBLE * 0.75::DOUBLE + 0.15::DOUBLE * sp - 0.16::DOUBLE * (1.0::DOUBLE - sp))), 6) AS priority FROM gap1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY profile_id, role_id ORDER BY priority DESC, importance_rank, score, lower(display), ord)::INT AS pos,
   CASE WHEN priority >= 0.82 THEN 'critical' WHEN priority >= 0.68 THEN 'high' WHEN priority >= 0.45 THEN 'medium' ELSE 'low' END AS label,
-  CASE WHEN score >= 0.75 THEN 'quick_win' WHEN score > 0 THEN 'moderate' ELSE 'significant' END AS effort FROM pr
-QUALIFY row_number() OVER (PARTITION BY profile_id, role_id ORDER BY priority DESC, importance_rank, score, skill) <= 3"""
+  CASE WHEN score >= 0.75 THEN 'quick_win' WHEN score > 0 THEN 'moderate' ELSE 'substantial' END AS effort,
+  CASE WHEN score <= 0 THEN 'missing' WHEN source = 'context' THEN 'weakly_evidenced' ELSE 'partial' END AS signal FROM gap2)"""
+
+ACTIONABLE_GAPS = f"""{BASE}, {X.SQL['roles']}, {RANKED},
+t AS (SELECT r.*, title, CASE importance WHEN 'essential' THEN 'a core requirement' WHEN 'important' THEN 'an important signal' WHEN 'nice_to_have' THEN 'a useful differentiator' ELSE 'a visible requirement' END AS what,
+  CASE WHEN coalesce(closest, '') <> '' THEN ' building on ' || closest ELSE '' END AS bridge FROM ranked r JOIN roles USING (role_id) WHERE pos <= 3)
+SELECT profile_id, role_id, required, pos, label, effort, signal,
+  display || ' is ' || what || ' for ' || title || CASE WHEN domain <> display THEN ' and sits in the ' || domain || ' area recruiters will scan for.' ELSE ', so it needs visible evidence in the profile.' END AS why_it_matters,
+  CASE WHEN bridge <> '' AND signal <> 'missing' THEN 'Use your existing ' || closest || ' signal as the bridge. ' ELSE '' END
+    || 'Create one concrete proof point for ' || display || ': complete a small task, document the context, and capture the result in a way a recruiter can verify.' AS suggested_action,
+  'A compact project note or portfolio entry that shows where ' || display || ' was used and what changed because of it.' AS proof_to_build,
+  'Add one bullet that names ' || display || bridge || ', the tool or environment, the problem solved, and a measurable or observable result.' AS resume_hint FROM t"""
+
+
+def gap_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """A suggestion for every gap: its action, polished where a model wrote a better one for the first three."""
+    x = _gaps(spark, d).withColumn("skill", F.col("required"))
+    odd = x.filter("pos <= 3 and ord % 2 = 1").select("profile_id", "role_id", F.concat(F.lit(" "), "skill").alias("skill"), F.lit(" ").alias("why_it_matters"), F.concat(F.lit("Practise  "), "skill").alias("suggested_action"), F.lit(None).cast("string").alias("proof_to_build"), F.lit("").alias("resume_hint"))
+    y = G.polished(x, odd)
+    return y.select("profile_id", "role_id", "skill", F.md5("suggested_action").alias("action"), F.md5("why_it_matters").alias("why"), F.md5(G.fallback_suggestion(F.col("display"), F.col("closest"), F.col("score"))).alias("fallback"))
+
+
+GAP_SUGGESTIONS = f"""{BASE}, {X.SQL['roles']}, {RANKED},
+t AS (SELECT r.*, title, CASE importance WHEN 'essential' THEN 'a core requirement' WHEN 'important' THEN 'an important signal' WHEN 'nice_to_have' THEN 'a useful differentiator' ELSE 'a visible requirement' END AS what FROM ranked r JOIN roles USING (role_id))
+SELECT profile_id, role_id, required AS skill, md5(CASE WHEN pos <= 3 AND ord % 2 = 1 THEN 'Practise ' || required ELSE CASE WHEN coalesce(closest, '') <> '' AND signal <> 'missing' THEN 'Use your existing ' || closest || ' signal as the bridge. ' ELSE '' END
+    || 'Create one concrete proof point for ' || display || ': complete a small task, document the context, and capture the result in a way a recruiter can verify.' END) AS action,
+  md5(display || ' is ' || what || ' for ' || title || CASE WHEN domain <> display THEN ' and sits in the ' || domain || ' area recruiters will scan for.' ELSE ', so it needs visible evidence in the profile.' END) AS why,
+  md5(CASE WHEN coalesce(closest, '') <> '' AND score > 0 THEN 'Use your existing ' || closest || ' evidence as a bridge and add a concrete proof point for ' || display || '.' ELSE 'Add a concrete project, lab note, or resume bullet that makes ' || display || ' visible.' END) AS fallback FROM t"""
+
+
+def radar_axes(spark: SparkSession, d: str) -> DataFrame:
+    """Five axes of every profile and role: its weakest domains, or its skills where domains are few."""
+    rows = _rows(spark, d)
+    return G.radar_axes(A.domain_coverage(rows).withColumn("coverage", F.round("coverage", 2)), rows)
+
+
+RADAR_AXES = f"""{BASE},
+dm AS (SELECT profile_id, role_id, domain AS label, round(round(avg(score), 4), 2) AS value, min(ord) AS ord FROM rows GROUP BY 1, 2, 3),
+dn AS (SELECT *, count(*) OVER (PARTITION BY profile_id, role_id) AS n FROM dm),
+sk AS (SELECT profile_id, role_id, display AS label, score AS value, 'gap' AS state, 0 AS o, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END AS r, importance_rank AS i, ord FROM rows WHERE score < 1
+  UNION ALL SELECT profile_id, role_id, display, 1.0, 'matched', 1, 0, 0, ord FROM rows WHERE score >= 0.75),
+s1 AS (SELECT sk.* FROM sk SEMI JOIN (SELECT profile_id, role_id FROM dn WHERE n < 3) USING (profile_id, role_id)
+  QUALIFY row_number() OVER (PARTITION BY profile_id, role_id, lower(label) ORDER BY o, r, CASE WHEN o = 0 THEN value ELSE 0 END, i, ord) = 1)
+SELECT profile_id, role_id, row_number() OVER (PARTITION BY profile_id, role_id ORDER BY value, ord)::INT AS pos, label, value, CASE WHEN value >= 0.99 THEN 'matched' ELSE 'gap' END AS state FROM dn WHERE n >= 3 QUALIFY pos <= 5
+UNION ALL SELECT profile_id, role_id, row_number() OVER (PARTITION BY profile_id, role_id ORDER BY o, r, CASE WHEN o = 0 THEN value ELSE 0 END, i, ord)::INT AS pos, label, value, state FROM s1 QUALIFY pos <= 5"""
 
 
 def career_path(spark: SparkSession, d: str) -> DataFrame:
-    """Roadmap steps towards every role, at least three."""
+    """The roadmap of every profile and role: one step per gap domain, three at least, with kind and summary."""
+    keys = ["profile_id", "role_id"]
     rows = _rows(spark, d)
-    domains = A.domain_coverage(rows).withColumn("coverage", F.round("coverage", 2))
-    return G.milestones(G.actionable_gaps(rows, domains))
-
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "domain"))), lambda s: s["domain"])
+    gaps = G.top_gap_domains(rows).groupBy(*keys).agg(T.clean_distinct(in_order).alias("gaps"))
+    held = A.reports(rows).select(*keys, "matched_skills")
+    certs = _certs(spark, d).select(*keys, F.filter(F.split("missing", ","), lambda c: c != "").alias("certs"))
+    x = certs.join(gaps, keys, "left").join(held, keys, "left").withColumns({"gaps": F.coalesce("gaps", F.array().cast("array<string>")), "matched_skills": F.coalesce("matched_skills", F.array().cast("array<string>"))})
+    fallback = G.draft_path(x, F.array().cast("array<string>")).withColumnRenamed("milestones", "fallback")
+    # a written draft: out of order, and short for some roles; its durations are of several forms
+    step = lambda n, kind, title, time: F.struct(F.lit(n).alias("order"), F.lit(kind).alias("kind"), F.lit(title).alias("title"), F.lit(time).alias("timeline"), F.lit("").alias("rationale"), F.array(F.lit(title)).alias("skills"), F.array(F.lit("")).alias("projects"))
+    written = F.when(F.col("role_id") % 2 == 0, F.array(step(2, "skill", "Learn", "8 Weeks"), step(1, "role", "Shadow", "about a month"))).otherwise(F.array(step(1, "project", "Build Evidence for  portfolio proof", "1 month")))
+    x = G.normalized_path(fallback.withColumn("milestones", written))
+    steps = F.transform("milestones", lambda m: F.concat_ws("/", m["order"].cast("string"), m["kind"], m["title"], m["timeline"]))
+    summary = G.usable_summary(F.when(F.col("role_id") % 3 == 0, F.lit("Current profile and more")).when(F.col("role_id") % 3 == 1, F.lit("  A good  plan ")), G.plan_summary(F.col("gaps"), F.col("matched_skills")), F.lit("current profile"))
+    named = G.allowed(F.transform("certs", lambda c: F.upper(c)), F.col("certs"))
+    return x.select(*keys, F.array_join(steps, "|").alias("steps"), F.md5(summary).alias("summary_md5"), F.array_join(named, ",").alias("certifications"), G.total_duration(F.transform("milestones", lambda m: m["timeline"])).alias("total"))
+
+
+def _sql_kind(x: str) -> str:
+    return f"CASE WHEN regexp_matches(lower({x}), 'certif|exam') THEN 'certification' WHEN regexp_matches(lower({x}), 'portfolio|project|proof') THEN 'project' WHEN contains(lower({x}), 'role') THEN 'role' WHEN regexp_matches(lower({x}), 'experience|transition') THEN 'experience' ELSE 'skill' END"
+
+
+CAREER_PATH = f"""{BASE}, {X.SQL['certs']}, {CERTS}, {GAP_DOMAINS},
+gl AS (SELECT profile_id, role_id, list(domain ORDER BY pos) AS gaps FROM gtop GROUP BY 1, 2),
+hl AS (SELECT profile_id, role_id, list(display ORDER BY ord) FILTER (score >= 0.75) AS have FROM rows GROUP BY 1, 2),
+x AS (SELECT profile_id, role_id, coalesce(gaps, []::VARCHAR[]) AS gaps, coalesce(have, []::VARCHAR[]) AS have, missing FROM certs LEFT JOIN gl USING (profile_id, role_id) LEFT JOIN hl USING (profile_id, role_id)),
+f AS (SELECT *, list_concat(gaps[1:3], ['portfolio proof', 'transition narrative', 'target-role evidence'])[1:3] AS targets FROM x),
+w AS (SELECT *, CASE WHEN role_id % 2 = 0 THEN ['role/Shadow/4 weeks', 'skill/Learn/2 months'] ELSE ['project/Build Evidence for  portfolio proof/4 weeks'] END AS w FROM f),
+t AS (SELECT *, list_filter(targets, lambda g: NOT (role_id % 2 = 1 AND lower(g) = 'portfolio proof')) AS fresh FROM w),
+m AS (SELECT *, list_concat(w, list_transform(fresh, lambda g: {_sql_kind('g')} || '/Build evidence for ' || g || '/4 weeks')[1:3 - len(w)]) AS m FROM t),
+h AS (SELECT *, CASE WHEN len(have) > 0 THEN 'your existing ' || array_to_string(have[1:3], ', ') || ' experience already gives you useful overlap' ELSE 'your existing background already gives you some useful overlap' END AS ht FROM m)
+SELECT profile_id, role_id, array_to_string(list_transform(m, lambda s, i: i || '/' || s), '|') AS steps,
+  md5(CASE WHEN role_id % 3 = 1 THEN 'A good plan' WHEN len(gaps) > 0 THEN 'You''re not starting from zero here: ' || ht || '. The main stretch is building clearer strength in ' || array_to_string(gaps[1:3], ', ') || ', so the next steps should make that progress easy to see.'
+    ELSE 'You''re already close to this direction, and ' || ht || '. The next steps should mostly sharpen the evidence so the fit is easy to recognize.' END) AS summary_md5,
+  missing AS certifications, CASE WHEN role_id % 2 = 0 THEN '4 months' ELSE '3 months' END AS total FROM h"""
+
+_FILTERED = "SELECT profile_id, bucket, role_id, pos FROM"
 
 QUERIES = {
-    "token_overlap_blocked": (token_overlap_blocked, f"WITH {X.SQL['role_skills']}, {X.SQL['profile_skills']}, {PAIRS} SELECT required, candidate, score FROM pairs WHERE score IS NOT NULL"),
-    "best_candidate": (best_candidate, f"WITH {X.SQL['role_skills']}, {X.SQL['profile_skills']}, {PAIRS}, {BEST} SELECT * FROM best"),
-    "implied_credit": (implied_credit, f"WITH {X.SQL['profile_skills']}, {X.SQL['edges']}, {HOPS} SELECT profile_id, skill, hop::INT AS hop, via, confidence FROM implied"),
+    "alias_map": (alias_map, ALIAS_MAP),
+    "canonical_user_skills": (canonical_user_skills, CANONICAL_USER_SKILLS),
+    "prepare_profile": (prepare_profile, f"WITH {X.SQL['profiles']}, {X.SQL['profile_skills']}, {X.SQL['edges']}, {PREPARED} SELECT profile_id, key, display, ['explicit', 'context', 'ontology_implied'][tier + 1] AS source, round(confidence, 4) AS confidence, coalesce(via, '') AS via FROM prepared"),
+    "implied_credit": (implied_credit, f"WITH {X.SQL['profiles']}, {X.SQL['profile_skills']}, {X.SQL['edges']}, {PREPARED} SELECT profile_id, skill, hop::INT AS hop, via, confidence FROM implied"),
     "closure_fixpoint": (closure_fixpoint, f"WITH RECURSIVE {X.SQL['edges']}, {REACH} SELECT src, dst FROM reach"),
-    "align_skills": (align_skills, f"{BASE} SELECT * FROM aligned"),
+    "expand_skills": (expand_skills, EXPAND),
+    "token_overlap_blocked": (token_overlap_blocked, TOKEN_OVERLAP),
+    "role_requirements": (role_requirements, f"{BASE} SELECT role_id, required, display, domain, tag, round(weight, 4) AS weight, ord::INT AS ord FROM needed"),
+    "best_candidate": (best_candidate, f"{BASE} SELECT profile_id, required, score, closest FROM best"),
+    "context_credit": (context_credit, f"{BASE} SELECT profile_id, required, closest FROM ctx"),
+    "align_skills": (align_skills, f"{BASE} SELECT profile_id, required, score, source, closest FROM aligned"),
     "weighted_coverage": (weighted_coverage, f"{BASE} SELECT profile_id, role_id, round(sum(score * weight) / sum(weight), 6) AS coverage, count(*) FILTER (score >= 0.75) AS matched, count(*) FILTER (score = 0) AS missing FROM rows GROUP BY 1, 2"),
-    "domain_coverage": (domain_coverage, f"{BASE} SELECT profile_id, role_id, domain, round(round(avg(score), 4), 3) AS coverage, string_agg(DISTINCT skill, ',' ORDER BY skill) AS skills FROM rows GROUP BY 1, 2, 3"),
-    "score_and_bucket": (score_and_bucket, f"{BASE}, {SCORED} SELECT profile_id, role_id, bucket, score FROM scored"),
-    "display_score": (
-        display_score,
-        f"""{BASE}, {SCORED},
-sh AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM scored WINDOW w AS (PARTITION BY profile_id, bucket)),
-st AS (SELECT *, CASE WHEN hi - lo < 1e-9 THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, score)) ELSE (score - lo) / (hi - lo) END AS t FROM sh)
-SELECT profile_id, role_id, {_sql_shown()} AS shown FROM st""",
-    ),
+    "domain_coverage": (domain_coverage, f"{BASE} SELECT profile_id, role_id, domain, round(round(avg(score), 4), 3) AS coverage, string_agg(display, ',' ORDER BY ord) AS skills FROM rows GROUP BY 1, 2, 3"),
+    "align_report": (align_report, ALIGN_REPORT),
+    "domain_overlap": (domain_overlap, DOMAIN_OVERLAP),
+    "vector_signals": (vector_signals, f"WITH {X.SQL['profiles']}, {VECTORS} SELECT profile_id, role_id, capability, intent, identity FROM vectors"),
+    "score_and_bucket": (score_and_bucket, f"{BASE}, {SCORED} SELECT profile_id, role_id, bucket, bucket_score, final_score, seniority_gap FROM scored"),
+    "display_score": (display_score, f"{BASE}, {SCORED}, {_sql_shown('scored')} SELECT profile_id, role_id, shown FROM shown"),
     "round_robin": (
         round_robin,
         f"""{BASE}, {SCORED},
-rr AS (SELECT *, row_number() OVER (PARTITION BY profile_id, bucket ORDER BY score DESC, role_id) AS r, list_position(['ready_now','next_step','aspirational'], bucket) AS b FROM scored)
+rr AS (SELECT *, row_number() OVER (PARTITION BY profile_id, bucket ORDER BY final_score DESC, role_id) AS r, list_position(['ready_now','next_step','aspirational'], bucket) AS b FROM scored)
 SELECT profile_id, bucket, role_id, row_number() OVER (PARTITION BY profile_id ORDER BY r, b)::INT AS pos FROM rr QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY r, b) <= 9""",
     ),
-    "mmr_k3": (mmr_k3, _sql_mmr()),
-    "backfill_k3": (backfill_k3, None),
+    "mmr_k3": (mmr_k3, f"{BASE}, {SCORED}, {_sql_picks(3)} {_FILTERED} picks"),
+    "backfill_k3": (backfill_k3, f"{BASE}, {SCORED}, {_sql_fill(3)} {_FILTERED} filled"),
+    "recommend_topk": (recommend_topk, RECOMMEND_TOPK),
+    "match_results": (match_results, MATCH_RESULTS),
     "role_similarity": (role_similarity, ROLE_SIMILARITY),
-    "cert_coverage": (cert_coverage, f"WITH {CERTS} SELECT profile_id, role_id, matched, total, round(ratio, 6) AS ratio FROM certs"),
+    "cert_coverage": (cert_coverage, f"WITH {X.SQL['profiles']}, {X.SQL['certs']}, {CERTS} SELECT profile_id, role_id, matched, total, round(ratio, 6) AS ratio, held, missing FROM certs"),
     "readiness": (readiness, READINESS),
     "top_gap_domains": (top_gap_domains, TOP_GAP_DOMAINS),
     "actionable_gaps": (actionable_gaps, ACTIONABLE_GAPS),
-    "career_path": (career_path, None),
+    "gap_suggestions": (gap_suggestions, GAP_SUGGESTIONS),
+    "radar_axes": (radar_axes, RADAR_AXES),
+    "career_path": (career_path, CAREER_PATH),
 }

@@ -2,57 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..operators import metrics as M
 from ..sources import standins as X
 from ..sources.tables import table
 
 
-def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of each source ranked by length, judged by their labels."""
-    rel = table(spark, d, "labels").select("doc_id", (2 * F.col("quality") + 1 - F.col("toxic")).alias("relevance"))
-    x = table(spark, d, "documents").select("doc_id", F.col("source").alias("query"), F.substring("text", 1, 20).alias("title"), "n_chars")
+def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The nine longest documents of each source as roles titled by their whole texts' digests, and the labels as judgements.
+
+    Every third document is judged under another id, so that its title has to be found.
+    """
+    x = table(spark, d, "documents").select("doc_id", F.col("source").alias("query"), F.md5(F.coalesce("text", F.lit(""))).alias("title"), "n_chars", "lang")
     pos = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n_chars"), "doc_id"))
-    ranked = x.withColumn("pos", pos).filter("pos <= 9").join(rel, "doc_id", "left")
-    ideal = x.join(rel, "doc_id").groupBy("query", "title").agg(F.max("relevance").alias("relevance"))
-    out = M.ranking_metrics(ranked.select("query", "title", "pos", "relevance"), ideal.select("query", "relevance"))
-    return out.select("query", F.round("ndcg", 6).alias("ndcg"), F.round("p3", 6).alias("p3"), F.round("mrr", 6).alias("mrr"), "duplicates", "unjudged")
+    ranked = x.withColumn("pos", pos).filter("pos <= 9").select("query", F.col("doc_id").alias("role_id"), "title", "pos", F.col("lang").alias("bucket"))
+    own = F.when(F.col("doc_id") % 3 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    j = x.join(table(spark, d, "labels"), "doc_id").select("query", own.alias("role_id"), "title", (2 * F.col("quality") + 1 - F.col("toxic")).alias("relevance"), F.when(F.col("doc_id") % 2 == 0, "en").otherwise("").alias("expected_bucket"), F.col("doc_id").alias("ord"))
+    return ranked, j
+
+
+def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of each source's ranking."""
+    ranked, j = _judged(spark, d)
+    out = M.ranking_metrics(M.judged(ranked, j), M.ideal_gains(j))
+    return out.select("query", F.round("ndcg", 6).alias("ndcg"), F.round("p3", 6).alias("p3"), F.round("mrr", 6).alias("mrr"), "duplicates", "unjudged", "bucket_hits", "bucket_total")
+
 
+def ranking_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Mean metrics over all sources."""
+    ranked, j = _judged(spark, d)
+    out = M.summary(M.ranking_metrics(M.judged(ranked, j), M.ideal_gains(j)))
+    return out.select(*[F.round(c, 5).alias(c) for c in ("ndcg", "p3", "mrr", "bucket_accuracy")], "queries")
 
-RANKING_METRICS = """
-WITH x AS (SELECT doc_id, source AS query, substr(text, 1, 20) AS title, n_chars FROM documents),
-rel AS (SELECT doc_id, 2 * quality + 1 - toxic AS relevance FROM labels),
-r AS (SELECT x.*, relevance, row_number() OVER (PARTITION BY query ORDER BY n_chars DESC, x.doc_id) AS pos FROM x LEFT JOIN rel USING (doc_id)),
+
+RANKED = """WITH x AS (SELECT doc_id, source AS query, md5(coalesce(text, '')) AS title, n_chars, lang FROM documents),
+j AS (SELECT query, title, doc_id, CASE WHEN doc_id % 3 = 0 THEN -doc_id - 1 ELSE doc_id END AS role_id, 2 * quality + 1 - toxic AS relevance, CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE '' END AS eb FROM x JOIN labels USING (doc_id)),
+jt AS (SELECT query, title, min_by(relevance, doc_id) AS relevance, min_by(eb, doc_id) AS eb FROM j GROUP BY 1, 2),
+r AS (SELECT x.query, x.title, x.lang, row_number() OVER (PARTITION BY x.query ORDER BY n_chars DESC, x.doc_id) AS pos, coalesce(a.relevance, b.relevance) AS relevance, CASE WHEN a.role_id IS NOT NULL THEN a.eb ELSE b.eb END AS eb
+  FROM x LEFT JOIN j a ON a.query = x.query AND a.role_id = x.doc_id LEFT JOIN jt b ON b.query = x.query AND b.title = x.title),
 t AS (SELECT *, row_number() OVER (PARTITION BY query, title ORDER BY pos) > 1 AS dup FROM r WHERE pos <= 9),
 u AS (SELECT *, CASE WHEN dup THEN 0 ELSE coalesce(relevance, 0) END AS g FROM t),
 a AS (SELECT query, sum((pow(2, g) - 1) / log2(pos + 1)) AS dcg, count(*) FILTER (pos <= 3 AND g > 0) / 3 AS p3, coalesce(max(CASE WHEN g > 0 THEN 1 / pos END), 0) AS mrr,
-  count(*) FILTER (dup) AS duplicates, count(*) FILTER (relevance IS NULL) AS unjudged FROM u GROUP BY 1),
+  count(*) FILTER (dup) AS duplicates, count(*) FILTER (relevance IS NULL) AS unjudged, count(*) FILTER (g > 0 AND eb <> '' AND eb = lang) AS bucket_hits, count(*) FILTER (g > 0 AND eb <> '') AS bucket_total FROM u GROUP BY 1),
 i AS (SELECT query, sum((pow(2, m) - 1) / log2(p + 1)) AS idcg FROM (
-  SELECT query, m, row_number() OVER (PARTITION BY query ORDER BY m DESC) AS p FROM (SELECT query, title, max(relevance) AS m FROM x JOIN rel USING (doc_id) GROUP BY 1, 2)) WHERE p <= 9 GROUP BY 1)
-SELECT query, round(CASE WHEN coalesce(idcg, 0) > 0 THEN dcg / idcg ELSE 0 END, 6)::DOUBLE AS ndcg, round(p3, 6)::DOUBLE AS p3, round(mrr, 6)::DOUBLE AS mrr, duplicates, unjudged FROM a LEFT JOIN i USING (query)"""
+  SELECT query, m, row_number() OVER (PARTITION BY query ORDER BY m DESC) AS p FROM (SELECT query, title, max(relevance) AS m FROM j GROUP BY 1, 2)) WHERE p <= 9 GROUP BY 1),
+o AS (SELECT *, CASE WHEN coalesce(idcg, 0) > 0 THEN dcg / idcg ELSE 0 END AS ndcg FROM a LEFT JOIN i USING (query))"""
+
+RANKING_METRICS = f"{RANKED} SELECT query, round(ndcg, 6)::DOUBLE AS ndcg, round(p3, 6)::DOUBLE AS p3, round(mrr, 6)::DOUBLE AS mrr, duplicates, unjudged, bucket_hits, bucket_total FROM o"
+RANKING_SUMMARY = f"{RANKED} SELECT round(avg(ndcg), 5)::DOUBLE AS ndcg, round(avg(p3), 5)::DOUBLE AS p3, round(avg(mrr), 5)::DOUBLE AS mrr, round(sum(bucket_hits) / nullif(sum(bucket_total), 0), 5)::DOUBLE AS bucket_accuracy, count(*) AS queries FROM o"
 
 
 def set_f1(spark: SparkSession, d: str) -> DataFrame:
-    """Skills of each role against the skills of the profile with the same number modulo 25."""
-    e = X.role_skills(spark, d).groupBy("role_id").agg(F.collect_set("skill").alias("values"))
-    a = X.profile_skills(spark, d).groupBy("profile_id").agg(F.collect_set("skill").alias("values"))
-    a = X.roles(spark, d).select("role_id", (F.col("role_id") % 25).alias("profile_id")).join(a, "profile_id").select("role_id", "values")
+    """Skills of each role against the skills of one profile, matched as texts one to one."""
+    e = X.role_skills(spark, d).groupBy("role_id").agg(F.collect_list(F.concat(F.lit("The x"), "skill")).alias("values"))
+    n = X.profiles(spark, d).count()
+    a = X.profile_skills(spark, d).groupBy("profile_id").agg(F.collect_list(F.concat(F.lit("X"), F.upper("skill"))).alias("values"))
+    a = X.roles(spark, d).select("role_id", (F.col("role_id") % n * X.EVERY).alias("profile_id")).join(a, "profile_id").select("role_id", "values")
     out = M.set_scores(e, a, ["role_id"])
     return out.select("role_id", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"), "missing", "extra")
 
 
-SET_F1 = f"""WITH {X.SQL['role_skills']}, {X.SQL['profile_skills']},
-e AS (SELECT role_id, list(DISTINCT skill) AS e FROM role_skills GROUP BY 1),
-p AS (SELECT profile_id, list(DISTINCT skill) AS a FROM profile_skills GROUP BY 1),
-a AS (SELECT s_suppkey AS role_id, a FROM supplier JOIN p ON profile_id = s_suppkey % 25),
+SET_F1 = f"""WITH {X.SQL['role_skills']}, {X.SQL['profiles']}, {X.SQL['profile_skills']},
+e AS (SELECT role_id, list(skill) AS e FROM role_skills GROUP BY 1), p AS (SELECT profile_id, list(skill) AS a FROM profile_skills GROUP BY 1), np AS (SELECT count(*) AS n FROM profiles),
+a AS (SELECT s_suppkey AS role_id, a FROM supplier, np, p WHERE profile_id = s_suppkey % n * {X.EVERY}),
 x AS (SELECT role_id, coalesce(e, []) AS e, coalesce(a, []) AS a FROM e FULL JOIN a USING (role_id)),
 y AS (SELECT *, CASE WHEN len(a) = 0 AND len(e) = 0 THEN 1 WHEN len(a) > 0 THEN len(list_intersect(e, a)) / len(a) ELSE 0 END::DOUBLE AS p,
   CASE WHEN len(a) = 0 AND len(e) = 0 THEN 1 WHEN len(e) > 0 THEN len(list_intersect(e, a)) / len(e) ELSE 0 END::DOUBLE AS r FROM x)
 SELECT role_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6)::DOUBLE AS f1,
-  array_to_string(list_sort(list_filter(e, lambda v: NOT list_contains(a, v))), ',') AS missing, array_to_string(list_sort(list_filter(a, lambda v: NOT list_contains(e, v))), ',') AS extra FROM y"""
+  coalesce(array_to_string(list_sort(list_transform(list_filter(e, lambda v: NOT list_contains(a, v)), lambda v: 'the x' || v)), ','), '') AS missing, coalesce(array_to_string(list_sort(list_transform(list_filter(a, lambda v: NOT list_contains(e, v)), lambda v: 'x' || v)), ','), '') AS extra FROM y"""
 
 
 def lag_delta(spark: SparkSession, d: str) -> DataFrame:
@@ -89,6 +108,7 @@ BUCKET_COUNTS = "SELECT lang, CASE WHEN n_chars >= 3000 THEN 'long' WHEN n_chars
 
 QUERIES = {
     "ranking_metrics": (ranking_metrics, RANKING_METRICS),
+    "ranking_summary": (ranking_summary, RANKING_SUMMARY),
     "set_f1": (set_f1, SET_F1),
     "lag_delta": (lag_delta, LAG_DELTA),
     "macro_means": (macro_means, MACRO_MEANS),

@@ -60,15 +60,24 @@ def keyword_domains(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.keyword_domains(F.col("text")), ",").alias("domains"))
 
 
-def _sql_domains() -> str:
+def sql_domains(k: str) -> str:
+    """Domains of a padded key, as a list."""
     cases = []
     for name, words in T.DOMAIN_WORDS.items():
         cond = " OR ".join(f"contains(k, ' {w} ')" for w in words)
         cases.append(f"CASE WHEN {cond} THEN '{name}' END")
-    return f"array_to_string(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL), ',')"
+    return f"list_transform([{k}], lambda k: list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL))[1]"
 
 
-KEYWORD_DOMAINS = f"SELECT conv_id, turn, {_sql_domains()} AS domains FROM (SELECT conv_id, turn, ' ' || {sql_key('text')} || ' ' AS k FROM conversations)"
+def sql_terms(texts: str) -> str:
+    """Distinct domain words and pairs of a list of texts."""
+    stops = ", ".join(f"'{w}'" for w in T.DOMAIN_STOPS)
+    key = sql_key("replace(coalesce(t, ''), '_', ' ')")
+    words = f"list_filter(string_split({key}, ' '), lambda w: length(w) > 3 AND w NOT IN ({stops}))"
+    return f"list_distinct(flatten(list_transform({texts}, lambda t: list_transform([{words}], lambda w: list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))[1])))"
+
+
+KEYWORD_DOMAINS = f"SELECT conv_id, turn, array_to_string({sql_domains('k')}, ',') AS domains FROM (SELECT conv_id, turn, ' ' || {sql_key('text')} || ' ' AS k FROM conversations)"
 
 
 def json_props(spark: SparkSession, d: str) -> DataFrame:
@@ -122,26 +131,60 @@ SELECT o_orderkey, u AS user_level,
 
 
 def pii_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose label or text holds personal data."""
+    """Documents that, taken as free items, speak of personal data."""
     x = table(spark, d, "documents")
-    return x.select("doc_id", T.is_pii(F.concat_ws(" ", "source", "lang"), F.col("text")).alias("pii"))
+    label = F.when(F.col("doc_id") % 9 == 0, "Date of Birth").when(F.col("doc_id") % 9 == 1, "Web site")
+    section = F.when(F.col("doc_id") % 7 == 0, "CONTACT").otherwise(F.col("source"))
+    return x.select("doc_id", T.is_pii(label, section, F.col("lang"), F.col("text")).alias("pii"))
 
 
-PII_FILTER = "SELECT doc_id, contains(text, 'http://') OR contains(text, 'https://') OR contains(text, '@') AS pii FROM documents"
+PII_FILTER = """SELECT doc_id, doc_id % 9 = 0 OR doc_id % 7 = 0 OR contains(lower(coalesce(text, '')), 'http://') OR contains(lower(coalesce(text, '')), 'https://') OR contains(coalesce(text, ''), '@') AS pii FROM documents"""
 
 
 def dynamic_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Words over three letters and their adjacent pairs, per benchmark item."""
-    words = F.filter(F.split(T.skill_key(F.col("text")), " "), lambda w: F.length(w) > 3)
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
-    terms = F.array_union("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))
-    return table(spark, d, "benchmark").withColumn("w", words).select("item_id", F.size(terms).alias("n_terms"), F.array_join(F.array_sort(terms), "|").alias("terms"))
+    """Domain words and their adjacent pairs, per benchmark item."""
+    terms = T.domain_terms(F.array(F.col("text"), F.lit("senior_data the  engineer builds Data")))
+    return table(spark, d, "benchmark").select("item_id", terms.alias("t")).select("item_id", F.size("t").alias("n_terms"), F.array_join(F.array_sort("t"), "|").alias("terms"))
 
 
 DYNAMIC_TERMS = f"""
-WITH w AS (SELECT item_id, list_filter(string_split({sql_key('text')}, ' '), lambda x: length(x) > 3) AS w FROM benchmark),
-t AS (SELECT item_id, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS x FROM w)
-SELECT item_id, count(*)::INT AS n_terms, string_agg(x, '|' ORDER BY x) AS terms FROM t GROUP BY 1"""
+WITH t AS (SELECT item_id, {sql_terms("[text, 'senior_data the  engineer builds Data']")} AS t FROM benchmark)
+SELECT item_id, len(t)::INT AS n_terms, array_to_string(list_sort(t), '|') AS terms FROM t"""
+
+
+def label_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of labels, certification groups, safe names, plain texts and JSON-or-text of part fields."""
+    x = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size", (F.col("p_partkey") % 6).alias("k"))
+    label = F.when(F.col("k") == 0, " Sr ").when(F.col("k") == 1, "LEAD").when(F.col("k") == 2, "tech lead").when(F.col("k") == 3, "wizard").when(F.col("k") == 4, "")
+    cert = F.when(F.col("k") == 0, "CompTIA A+").when(F.col("k") == 1, "comptia  a plus").when(F.col("k") == 2, "OCA - Java").when(F.col("k") == 3, "--").otherwise(F.col("p_brand"))
+    degree = F.when(F.col("k") == 0, "M.Sc. in Data-Science").when(F.col("k") == 1, "BSc Physics").when(F.col("k") == 2, "B. Eng, Civil").otherwise(F.col("p_name"))
+    raw = F.when(F.col("k") == 0, F.lit('{"a": 1}')).when(F.col("k") == 1, F.lit("[1, 2]")).otherwise(F.concat(F.lit('say "'), "p_name", F.lit('"')))
+    time = F.when(F.col("k") == 0, "3 Weeks").when(F.col("k") == 1, "2 months").when(F.col("k") == 2, "1 month").when(F.col("k") == 3, "9 weeks").otherwise("soon")
+    period = T.date_range(F.lit("May 2012"), F.when(F.col("k") == 0, "Present").when(F.col("k") == 1, "2012").otherwise("12/2019"))
+    return x.select(
+        "p_partkey",
+        T.level_of_label(label).alias("level"),
+        T.certification_group(cert).alias("cert"),
+        T.safe_name(F.concat(F.lit(" a/b: "), "p_brand", F.lit("?"))).alias("file"),
+        T.plain_text(degree).alias("degree"),
+        T.json_or_text(raw).alias("json"),
+        T.timeline_text(time, F.lit("4 weeks")).alias("time"),
+        period.alias("period"),
+        T.shown_year(F.when(F.col("k") == 0, "since 1999").when(F.col("k") == 1, "—").when(F.col("k") == 2, "Present").otherwise("spring")).alias("year"),
+        T.percent_text(F.when(F.col("k") > 0, F.col("k") / 8)).alias("percent"),
+        T.first_text(F.lit(" "), F.when(F.col("k") == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit(" x  "), "p_name")), F.lit("none")).alias("first"),
+    )
+
+
+LABEL_KEYS = """
+SELECT p_partkey, CASE k WHEN 0 THEN 'senior' WHEN 1 THEN 'lead' WHEN 2 THEN 'lead' END AS level,
+  CASE k WHEN 0 THEN 'group 2' WHEN 1 THEN 'group 2' WHEN 2 THEN 'group 1' WHEN 3 THEN '' ELSE replace(lower(p_brand), '#', ' ') END AS cert, 'a_b_' || replace(p_brand, '#', '_') AS file,
+  CASE k WHEN 0 THEN 'master science in data science' WHEN 1 THEN 'bachelor science physics' WHEN 2 THEN 'bachelor engineering civil' ELSE p_name END AS degree,
+  CASE k WHEN 0 THEN '{"a": 1}' WHEN 1 THEN '[1, 2]' ELSE '"say \\"' || p_name || '\\""' END AS json,
+  CASE k WHEN 0 THEN '3 weeks' WHEN 1 THEN '2 months' WHEN 2 THEN '4 weeks' WHEN 3 THEN '3 months' ELSE '4 weeks' END AS time,
+  CASE k WHEN 0 THEN '2012 present' WHEN 1 THEN '2012' ELSE '2012 2019' END AS period, CASE k WHEN 0 THEN '1999' WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE 'spring' END AS year,
+  CASE WHEN k > 0 THEN printf('%.1f%%', k / 8 * 100) ELSE '-' END AS percent, CASE WHEN k = 0 THEN 'none' ELSE 'x ' || p_name END AS first
+FROM (SELECT *, p_partkey % 6 AS k FROM part)"""
 
 
 def missing_sections(spark: SparkSession, d: str) -> DataFrame:
@@ -209,6 +252,7 @@ QUERIES = {
     "seniority": (seniority, SENIORITY),
     "pii_filter": (pii_filter, PII_FILTER),
     "dynamic_terms": (dynamic_terms, DYNAMIC_TERMS),
+    "label_keys": (label_keys, LABEL_KEYS),
     "missing_sections": (missing_sections, MISSING_SECTIONS),
     "content_key_cache": (content_key_cache, CONTENT_KEY_CACHE),
     "latest_role": (latest_role, LATEST_ROLE),
