@@ -327,3 +327,9 @@ def write_stages(tables: dict[str, DataFrame], folder: str) -> list[str]:
         out.append(f"{folder.rstrip('/')}/{name}")
         df.write.mode("overwrite").json(out[-1])
     return out
+
+
+def profile_line(statement: Column, role: Column, summary: Column) -> Column:
+    """One line on a profile: its statement, else role and summary, else what there is."""
+    s, r, t = T.clean_text(statement), T.clean_text(role), T.clean_text(summary)
+    return F.coalesce(s, F.concat(r, F.lit(": "), t), t, r, F.lit("Current profile"))

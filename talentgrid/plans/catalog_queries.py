@@ -237,6 +237,20 @@ h AS (SELECT skill, label, description FROM (SELECT DISTINCT skill FROM m), labe
 SELECT role_id, skill, label, description FROM m JOIN h USING (skill) WHERE coalesce(description, '') <> ''"""
 
 
+def role_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """What a model would be asked about the first fifty roles (a page of the batch job), in order of id."""
+    raw = X.role_skills(spark, d).filter("role_id % 6 <> 5").groupBy("role_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "skill"))), lambda s: s["skill"]), " ; ").alias("raw"))
+    page = X.roles(spark, d).orderBy("role_id").limit(50)  # the feature: a limited run of the batch
+    x = page.join(raw, "role_id", "left")
+    return x.select("role_id", F.md5(K.prompt(F.col("title"), F.col("description"), T.split_list(F.col("raw")), F.lit("Rank these skills."))).alias("prompt_md5"))
+
+
+ROLE_PROMPTS = f"""WITH {X.SQL['role_skills']}, {X.SQL['roles']},
+r AS (SELECT role_id, string_agg(skill, chr(10) ORDER BY ord) AS raw FROM role_skills WHERE role_id % 6 <> 5 GROUP BY 1)
+SELECT role_id, md5('Rank these skills.' || chr(10) || chr(10) || 'ROLE TITLE: ' || title || chr(10) || 'ROLE DESCRIPTION: ' || trim(regexp_replace(description, '\\s+', ' ', 'g')) || chr(10) || 'RAW SKILLS:' || chr(10) || coalesce(raw, '(none provided)')) AS prompt_md5
+FROM (SELECT * FROM roles ORDER BY role_id LIMIT 50) LEFT JOIN r USING (role_id)"""
+
+
 def delete_counts(spark: SparkSession, d: str) -> DataFrame:
     """Rows of three tables that a cascading delete of some orders would take."""
     o = table(spark, d, "orders").withColumnRenamed("o_orderkey", "key")
@@ -275,6 +289,7 @@ QUERIES = {
     "required_skill_cascade": (required_skill_cascade, REQUIRED_SKILL_CASCADE),
     "rank_role_skills": (rank_role_skills, RANK_ROLE_SKILLS),
     "esco_grounding": (esco_grounding, ESCO_GROUNDING),
+    "role_prompts": (role_prompts, ROLE_PROMPTS),
     "delete_counts": (delete_counts, DELETE_COUNTS),
     "evolved_schema": (evolved_schema, EVOLVED_SCHEMA),
 }

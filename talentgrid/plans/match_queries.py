@@ -532,6 +532,32 @@ SELECT profile_id, role_id, readiness, CASE WHEN readiness >= 0.70 THEN 'ready_n
   CASE gap WHEN 'stretch' THEN 'Role looks ' || rl || '; you are ' || stated || '. Expect a stretch in scope/leadership.' WHEN 'overqualified' THEN 'You (' || stated || ') may be over-levelled for a ' || rl || ' role.' ELSE '' END AS note FROM y"""
 
 
+def gap_report(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of every profile and role as one JSON text: what a narrative would be written from."""
+    keys = ["profile_id", "role_id"]
+    lev = _seniority(spark, d)
+    user, role = F.nullif("stated", F.lit("")), F.nullif("level", F.lit(""))
+    label, fit = T.seniority_gap(user, role)
+    lev = lev.select(*keys, user.alias("user"), role.alias("role"), label.alias("seniority_gap"), fit.alias("fit"), G.seniority_note(label, user, role).alias("note"))
+    x = A.reports(_rows(spark, d)).join(_certs(spark, d).select(*keys, "ratio", "held", "missing"), keys).join(lev, keys)
+    x = x.join(X.roles(spark, d).select("role_id", "title", "description"), "role_id").withColumn("readiness", S.readiness(F.col("coverage"), F.col("ratio"), F.col("fit")))
+    return x.select(*keys, G.facts(x).alias("facts"))
+
+
+GAP_REPORT = f"""{BASE}, {MORE}, {SENIORITY}, {CERTS},
+x AS (SELECT profile_id, role_id, sum(score * weight) / sum(weight) AS c, coalesce(list(display ORDER BY ord) FILTER (score >= 0.75), []) AS have,
+  coalesce(string_agg('{{"skill":' || to_json(required) || ',"closest_user_skill":' || coalesce(to_json(closest), 'null') || ',"transferability":' || to_json(round(score, 3)) || ',"severity":"' || severity || '"}}', ',' ORDER BY importance_rank, score, ord) FILTER (score < 1), '') AS gaps FROM rows GROUP BY 1, 2),
+g AS (SELECT profile_id, role_id, stated, nullif(rl, '') AS rl, {LEVEL_RANK.format(x='rl')} - {LEVEL_RANK.format(x='stated')} AS d FROM lev),
+h AS (SELECT *, CASE WHEN stated IS NULL OR rl IS NULL THEN 0.70::DOUBLE WHEN d = 0 THEN 1.0 WHEN d > 0 THEN greatest(0.25::DOUBLE, 0.65::DOUBLE - 0.20::DOUBLE * (d - 1)) ELSE greatest(0.75::DOUBLE, 0.90::DOUBLE - 0.05::DOUBLE * (abs(d) - 1)) END AS fit,
+  CASE WHEN stated IS NULL OR rl IS NULL THEN 'unknown' WHEN d = 0 THEN 'match' WHEN d > 0 THEN 'stretch' ELSE 'overqualified' END AS gap FROM g)
+SELECT profile_id, role_id, '{{"target_role":' || to_json(title) || ',"overall_readiness":' || to_json(round(0.70::DOUBLE * c + 0.20::DOUBLE * ratio + 0.10::DOUBLE * fit, 3)) || ',"skill_coverage":' || to_json(round(c, 3))
+  || ',"matched_skills":' || to_json(have) || ',"missing_or_partial_skills":[' || gaps || '],"certifications":{{"held":' || to_json(CASE WHEN held = '' THEN []::VARCHAR[] ELSE string_split(held, ',') END) || ',"missing":' || to_json(CASE WHEN missing = '' THEN []::VARCHAR[] ELSE string_split(missing, ',') END)
+  || '}},"seniority":{{"user_level":' || coalesce(to_json(stated), 'null') || ',"role_level":' || coalesce(to_json(rl), 'null') || ',"gap":"' || gap || '","note":'
+  || CASE gap WHEN 'stretch' THEN '"Role looks ' || rl || '; you are ' || stated || '. Expect a stretch in scope/leadership."' WHEN 'overqualified' THEN '"You (' || stated || ') may be over-levelled for a ' || rl || ' role."' ELSE 'null' END
+  || '}},"role_description":' || to_json(left(description, 1200)) || '}}' AS facts
+FROM x JOIN certs USING (profile_id, role_id) JOIN h USING (profile_id, role_id) JOIN roles USING (role_id)"""
+
+
 def top_gap_domains(spark: SparkSession, d: str) -> DataFrame:
     """The five domains with the gaps that matter most."""
     return G.top_gap_domains(_rows(spark, d)).select("profile_id", "role_id", "domain", "n_gaps", "pos")
@@ -685,6 +711,7 @@ SELECT profile_id, bucket, role_id, row_number() OVER (PARTITION BY profile_id O
     "role_similarity": (role_similarity, ROLE_SIMILARITY),
     "cert_coverage": (cert_coverage, f"WITH {X.SQL['profiles']}, {X.SQL['certs']}, {CERTS} SELECT profile_id, role_id, matched, total, round(ratio, 6) AS ratio, held, missing FROM certs"),
     "readiness": (readiness, READINESS),
+    "gap_report": (gap_report, GAP_REPORT),
     "top_gap_domains": (top_gap_domains, TOP_GAP_DOMAINS),
     "actionable_gaps": (actionable_gaps, ACTIONABLE_GAPS),
     "gap_suggestions": (gap_suggestions, GAP_SUGGESTIONS),

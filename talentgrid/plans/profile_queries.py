@@ -113,6 +113,22 @@ SELECT role_id, concat_ws(chr(10), 'Job title: ' || title, 'Required skills: ' |
 FROM roles LEFT JOIN s USING (role_id) LEFT JOIN c USING (role_id)"""
 
 
+def profile_lines(spark: SparkSession, d: str) -> DataFrame:
+    """One line on each confirmed document; some have no statement, some no role."""
+    cvs = X.cvs(spark, d)
+    x = D.confirmed(cvs, D.fallback_identity(cvs))
+    k = F.expr(f"profile_id div {X.EVERY} % 3")
+    line = D.profile_line(F.when(k == 0, F.col("career_identity_statement")), F.when(k == 1, F.col("confirmed_cv_data.personal_info.current_role")), F.col("confirmed_cv_data.profile_summary.summary"))
+    return x.select("profile_id", line.alias("line"))
+
+
+PROFILE_LINES = f"""{HEAD}, {SKILLS6},
+j AS (SELECT profile_id, min_by(role, ord) FILTER (role <> '') AS role FROM experience GROUP BY 1),
+k AS (SELECT *, list_concat(coalesce(s, [])[1:6], ['Teamwork']) AS kw, list_filter(interests, lambda x: trim(x) <> '') AS ints, {_tidy('summary')} AS t FROM heads LEFT JOIN sk USING (profile_id) LEFT JOIN j USING (profile_id))
+SELECT profile_id, CASE i % 3 WHEN 0 THEN {_tidy("coalesce(nullif(title, ''), role, 'Career Explorer') || ': ' || CASE WHEN summary <> '' THEN summary ELSE 'Profile combines career signals across ' || array_to_string(list_concat(kw[1:4], ints[1:3]), ', ') || '.' END")}
+  WHEN 1 THEN coalesce(nullif(title, '') || ': ' || t, t, nullif(title, ''), 'Current profile') ELSE coalesce(t, 'Current profile') END AS line FROM k"""
+
+
 def profile_validity(spark: SparkSession, d: str) -> DataFrame:
     """What is missing in profiles of which some lack their skills, some their aims, some both."""
     x = _profiles(spark, d)
@@ -245,6 +261,7 @@ QUERIES = {
     "embedding_profile": (embedding_profile, EMBEDDING_PROFILE),
     "profile_texts": (profile_texts, PROFILE_TEXTS),
     "role_texts": (role_texts, ROLE_TEXTS),
+    "profile_lines": (profile_lines, PROFILE_LINES),
     "profile_validity": (profile_validity, PROFILE_VALIDITY),
     "manual_profile": (manual_profile, MANUAL_PROFILE),
     "profile_evidence": (profile_evidence, PROFILE_EVIDENCE),

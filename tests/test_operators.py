@@ -1,5 +1,7 @@
 """Operators on small hand-made frames."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from talentgrid.operators import prepared as P
 from talentgrid.operators import recommend as R
 from talentgrid.operators import tables as X
 from talentgrid.sources import tables as S
+from talentgrid.sources.ontology import judgements, ontology
 
 
 def rows(df):
@@ -144,3 +147,25 @@ def test_upsert_and_update(spark):
 
 def rows_or(df):
     return [tuple(r) for r in df.collect()]
+
+
+def test_ontology_file(spark, tmp_path):
+    nodes = [
+        {"name": "Next.js", "synonyms": ["NextJS"], "impliesKnowingSkills": ["react", "Unknown"], "technicalDomains": ["Web", "Web"], "associatedToApplicationDomains": ["Shop"]},
+        {"name": "React", "synonyms": ["react.js"], "impliesKnowingSkills": None},
+        {"name": "", "synonyms": ["x"]},
+        {"name": "Preact", "synonyms": ["React"], "impliesKnowingSkills": []},
+    ]
+    for n, body in enumerate((nodes, {str(i): x for i, x in enumerate(nodes)})):
+        path = tmp_path / f"o{n}.json"
+        path.write_text(json.dumps(body, indent=1))
+        o = ontology(spark, str(path))
+        assert rows(o["names"].select("key", "name")) == [("next js", "Next.js"), ("nextjs", "Next.js"), ("preact", "Preact"), ("react", "Preact"), ("react js", "React")]
+        assert rows(o["edges"]) == [("Next.js", "Preact"), ("Next.js", "Unknown")]
+        assert {r["name"]: r["domains"] for r in o["nodes"].collect()} == {"Next.js": ["Web", "Shop"], "React": [], "Preact": []}
+
+
+def test_fixture_file(spark, tmp_path):
+    path = tmp_path / "f.json"
+    path.write_text(json.dumps({"profiles": [{"name": "p", "judged_roles": [{"role_id": "7", "title": "T", "relevance": 2}, {"role_id": None, "title": "U", "relevance": 1, "expected_bucket": "next_step"}]}]}))
+    assert [tuple(r) for r in judgements(spark, str(path)).orderBy("ord").collect()] == [("p", "7", "T", 2, None, 0), ("p", None, "U", 1, "next_step", 1)]
