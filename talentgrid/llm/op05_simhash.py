@@ -124,40 +124,25 @@ def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", shing
     return slim.mapInArrow(run, f"_doc {slim.schema['_doc'].dataType.simpleString()}, fp long").withColumnRenamed("_doc", doc)
 
 
-def _root(parent: dict[int, int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links (root, member) of a spanning forest over the index pairs."""
-    parent: dict[int, int] = {}
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        for z in (x, y):
-            parent.setdefault(z, z)
-        rx, ry = _root(parent, x), _root(parent, y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-    for x in parent:
-        if (r := _root(parent, x)) != x:
-            yield r, x
-
-
 def _links(fp: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """Index pairs of a spanning forest of the fingerprints within the radius of each other."""
+    """Index pairs whose closure links all fingerprints within the radius of each other.
+
+    Each group is walked breadth first against the rows that no group has yet, so neither its
+    pairs nor a matrix of all rows is held.
+    """
     n = len(fp)
     if n <= HOT_BUCKET:
-        found_a, found_b = [], []
-        for i in range(0, n, 512):
-            near = np.bitwise_count(fp[i : i + 512, None] ^ fp[None, :]) <= radius
-            a, b = np.nonzero(near)
-            a = a + i
-            up = b > a
-            found_a.append(a[up])
-            found_b.append(b[up])
-        yield from _forest(n, np.concatenate(found_a), np.concatenate(found_b))
+        left = np.arange(n)
+        while len(left) > 1:
+            root, rest = left[0], left[1:]
+            front = left[:1]
+            while len(front) and len(rest):
+                hit = np.zeros(len(rest), bool)
+                for i in range(0, len(front), 256):
+                    hit |= (np.bitwise_count(fp[front[i : i + 256], None] ^ fp[rest][None, :]) <= radius).any(axis=0)
+                front, rest = rest[hit], rest[~hit]
+                yield from ((int(root), int(x)) for x in front)
+            left = rest
         return
     free = np.bitwise_or.reduce(fp ^ fp[0])  # bits in which the bucket differs
     pos = [i for i in range(BITS) if int(free) >> i & 1]
