@@ -171,16 +171,23 @@ def find_items(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text:
     blocks = _item_blocks(benchmark, item, item_text)
     first, second = next(blocks, []), next(blocks, None)
 
-    def search(rows: DataFrame, key: str, block: list[tuple[object, str | None]]) -> DataFrame:
-        tables = spark.sparkContext.broadcast(compile_patterns(block, window))
+    def search(rows: DataFrame, key: str, tables) -> DataFrame:
         return rows.mapInArrow(lambda it: _search(it, tables, [key]), StructType([rows.schema[key], *FOUND]))
 
+    def shared(block: list[tuple[object, str | None]]):
+        return spark.sparkContext.broadcast(compile_patterns(block, window))
+
     if second is None:
-        return search(slim, "_doc", first).withColumnRenamed("_doc", doc)
+        return search(slim, "_doc", shared(first)).withColumnRenamed("_doc", doc)
     slim = written(spark, slim.withColumn("_row", F.monotonically_increasing_id()), "numbered-documents")
-    out = search(slim, "_row", first)
-    for block in chain([second], blocks):
-        out = out.unionByName(search(slim, "_row", block))
+    out = None
+    for block in chain([first, second], blocks):  # one block's tables live at a time
+        tables = shared(block)
+        found = search(slim, "_row", tables)
+        # every row once, with its number of words; from later blocks only rows with findings
+        found = written(spark, found if out is None else found.filter(F.size("items") > 0), "findings")
+        tables.destroy()
+        out = found if out is None else out.unionByName(found)
     out = out.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     out = slim.select("_row", "_doc").join(out, "_row").drop("_row")
     return out.withColumnRenamed("_doc", doc)
