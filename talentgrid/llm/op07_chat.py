@@ -78,7 +78,7 @@ def fingerprint(paths) -> str:
 
 
 MAPPINGS = (
-    Mapping(("turn", "role", "text"), each="", role="role", text="text", position="turn"),
+    Mapping(("turn", "role", "text"), each="", role="role", text="text", position="turn", roles=()),  # canonical already: roles stay
     Mapping(("messages[].role", "messages[].content"), each="messages", role="role", text="content"),
     Mapping(("conversations[].from", "conversations[].value"), each="conversations", role="from", text="value"),
     Mapping(("prompt", "completion"), fixed=(("user", ("prompt",)), ("assistant", ("completion",)))),
