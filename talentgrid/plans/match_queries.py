@@ -540,17 +540,17 @@ def gap_report(spark: SparkSession, d: str) -> DataFrame:
     label, fit = T.seniority_gap(user, role)
     lev = lev.select(*keys, user.alias("user"), role.alias("role"), label.alias("seniority_gap"), fit.alias("fit"), G.seniority_note(label, user, role).alias("note"))
     x = A.reports(_rows(spark, d)).join(_certs(spark, d).select(*keys, "ratio", "held", "missing"), keys).join(lev, keys)
-    x = x.join(X.roles(spark, d).select("role_id", "title", "description"), "role_id").withColumn("readiness", S.readiness(F.col("coverage"), F.col("ratio"), F.col("fit")))
+    x = x.join(X.roles(spark, d).select("role_id", "title", "description"), "role_id").withColumn("coverage", F.round("coverage", 6)).withColumn("readiness", F.round(S.readiness(F.col("coverage"), F.round("ratio", 6), F.round("fit", 6)), 6))
     return x.select(*keys, G.facts(x).alias("facts"))
 
 
 GAP_REPORT = f"""{BASE}, {MORE}, {SENIORITY}, {CERTS},
-x AS (SELECT profile_id, role_id, sum(score * weight) / sum(weight) AS c, coalesce(list(display ORDER BY ord) FILTER (score >= 0.75), []) AS have,
+x AS (SELECT profile_id, role_id, round(sum(score * weight) / sum(weight), 6) AS c, coalesce(list(display ORDER BY ord) FILTER (score >= 0.75), []) AS have,
   coalesce(string_agg('{{"skill":' || to_json(required) || ',"closest_user_skill":' || coalesce(to_json(closest), 'null') || ',"transferability":' || to_json(round(score, 3)) || ',"severity":"' || severity || '"}}', ',' ORDER BY importance_rank, score, ord) FILTER (score < 1), '') AS gaps FROM rows GROUP BY 1, 2),
 g AS (SELECT profile_id, role_id, stated, nullif(rl, '') AS rl, {LEVEL_RANK.format(x='rl')} - {LEVEL_RANK.format(x='stated')} AS d FROM lev),
 h AS (SELECT *, CASE WHEN stated IS NULL OR rl IS NULL THEN 0.70::DOUBLE WHEN d = 0 THEN 1.0 WHEN d > 0 THEN greatest(0.25::DOUBLE, 0.65::DOUBLE - 0.20::DOUBLE * (d - 1)) ELSE greatest(0.75::DOUBLE, 0.90::DOUBLE - 0.05::DOUBLE * (abs(d) - 1)) END AS fit,
   CASE WHEN stated IS NULL OR rl IS NULL THEN 'unknown' WHEN d = 0 THEN 'match' WHEN d > 0 THEN 'stretch' ELSE 'overqualified' END AS gap FROM g)
-SELECT profile_id, role_id, '{{"target_role":' || to_json(title) || ',"overall_readiness":' || to_json(round(0.70::DOUBLE * c + 0.20::DOUBLE * ratio + 0.10::DOUBLE * fit, 3)) || ',"skill_coverage":' || to_json(round(c, 3))
+SELECT profile_id, role_id, '{{"target_role":' || to_json(title) || ',"overall_readiness":' || to_json(round(round(0.70::DOUBLE * c + 0.20::DOUBLE * round(ratio, 6) + 0.10::DOUBLE * round(fit, 6), 6), 3)) || ',"skill_coverage":' || to_json(round(c, 3))
   || ',"matched_skills":' || to_json(have) || ',"missing_or_partial_skills":[' || gaps || '],"certifications":{{"held":' || to_json(CASE WHEN held = '' THEN []::VARCHAR[] ELSE string_split(held, ',') END) || ',"missing":' || to_json(CASE WHEN missing = '' THEN []::VARCHAR[] ELSE string_split(missing, ',') END)
   || '}},"seniority":{{"user_level":' || coalesce(to_json(stated), 'null') || ',"role_level":' || coalesce(to_json(rl), 'null') || ',"gap":"' || gap || '","note":'
   || CASE gap WHEN 'stretch' THEN '"Role looks ' || rl || '; you are ' || stated || '. Expect a stretch in scope/leadership."' WHEN 'overqualified' THEN '"You (' || stated || ') may be over-levelled for a ' || rl || ' role."' ELSE 'null' END
@@ -625,11 +625,11 @@ SELECT profile_id, role_id, required AS skill, md5(CASE WHEN pos <= 3 AND ord %
 def radar_axes(spark: SparkSession, d: str) -> DataFrame:
     """Five axes of every profile and role: its weakest domains, or its skills where domains are few."""
     rows = _rows(spark, d)
-    return G.radar_axes(A.domain_coverage(rows).withColumn("coverage", F.round("coverage", 2)), rows)
+    return G.radar_axes(A.domain_coverage(rows).withColumn("coverage", F.round("coverage", 3)), rows)
 
 
 RADAR_AXES = f"""{BASE},
-dm AS (SELECT profile_id, role_id, domain AS label, round(round(avg(score), 4), 2) AS value, min(ord) AS ord FROM rows GROUP BY 1, 2, 3),
+dm AS (SELECT profile_id, role_id, domain AS label, round(round(avg(score), 4), 3) AS value, min(ord) AS ord FROM rows GROUP BY 1, 2, 3),
 dn AS (SELECT *, count(*) OVER (PARTITION BY profile_id, role_id) AS n FROM dm),
 sk AS (SELECT profile_id, role_id, display AS label, score AS value, 'gap' AS state, 0 AS o, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END AS r, importance_rank AS i, ord FROM rows WHERE score < 1
   UNION ALL SELECT profile_id, role_id, display, 1.0, 'matched', 1, 0, 0, ord FROM rows WHERE score >= 0.75),
