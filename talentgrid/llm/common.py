@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import scratch_dir
 from ..shipping import ship
 
 __all__ = ["discard", "remove_path", "scratch_dir", "scratch_path", "ship", "table", "written"]
@@ -21,23 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, one machine) a local folder is made, once per
-    application.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not hasattr(sc, "_talentgrid_scratch"):
-            sc._talentgrid_scratch = "file://" + tempfile.mkdtemp(prefix="talentgrid-")
-        found = sc._talentgrid_scratch
-    return found.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder."""
     return f"{scratch_dir(spark)}/talentgrid/{tag}-{uuid.uuid4().hex}"
