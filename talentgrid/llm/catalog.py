@@ -13,6 +13,9 @@ from . import (
     op08_tokenfile,
     op09_html,
     op10_sharding,
+    op11_collocations,
+    op12_url_filter,
+    op13_hard_negatives,
 )
 
 QUERIES = {
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_token_files": op08_tokenfile.op8_token_files,
     "op9_html_extract": op09_html.op9_html_extract,
     "op10_sharding": op10_sharding.op10_sharding,
+    "op11_collocations": op11_collocations.op11_collocations,
+    "op12_url_filter": op12_url_filter.op12_url_filter,
+    "op13_hard_negatives": op13_hard_negatives.op13_hard_negatives,
 }
 
 ORACLES = {
@@ -33,6 +39,9 @@ ORACLES = {
     "op2_substring_dedup": op02_substring.oracle,
     "op6_decontaminate": op06_decontaminate.oracle,
     "op7_chat_format": op07_chat.oracle,
+    "op11_collocations": op11_collocations.oracle,
+    "op12_url_filter": op12_url_filter.oracle,
+    "op13_hard_negatives": op13_hard_negatives.oracle,
 }
 
 
