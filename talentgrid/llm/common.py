@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..scratch import scratch_dir
 from ..shipping import ship
 
-__all__ = ["discard", "remove_path", "scratch_dir", "scratch_path", "ship", "table", "written"]
+__all__ = ["discard", "remove_path", "scratch_dir", "scratch_path", "ship", "table", "with_row_ids", "written"]
 
 
 #: Spark's setting that removes shuffle files when a SQL execution ends.
@@ -21,6 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_row_ids(docs: DataFrame, name: str, first: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` and a struct that tells its rows apart, equal ones too: ``first`` (nulls last), then file and place.
+
+    The rows of a parquet scan are named by file and place in it, which any later scan of the
+    same files gives again; another table is written first.
+    """
+    named = {"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")}
+    try:
+        place = docs.withColumns(named) if docs.inputFiles() else None
+    except AnalysisException:  # made from files, but no scan
+        place = None
+    place = written(docs.sparkSession, docs, "rows").withColumns(named) if place is None else place
+    order = [x for c in first for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    return place.withColumn(name, F.struct(*order, F.col("_file").alias("file"), F.col("_at").alias("at"))).drop("_file", "_at")
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder."""
     return f"{scratch_dir(spark)}/talentgrid/{tag}-{uuid.uuid4().hex}"
