@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import build_queries, catalog_queries, edit_queries, match_queries, metric_queries, profile_queries, text_queries
+from . import build_queries, catalog_queries, edit_queries, match_queries, metric_queries, profile_queries, progress_queries, text_queries
 
-MODULES = (text_queries, catalog_queries, build_queries, profile_queries, edit_queries, match_queries, metric_queries)
+MODULES = (text_queries, catalog_queries, build_queries, profile_queries, edit_queries, match_queries, metric_queries, progress_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

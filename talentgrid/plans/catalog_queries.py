@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import catalog as K
+from ..operators import numbering as N
 from ..operators import prepared as P
 from ..operators import tables as M
 from ..sources import standins as X
@@ -67,6 +68,24 @@ SELECT s_suppkey AS role_id, s_name AS title, skills, brands FROM supplier LEFT
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) ON l_suppkey = s_suppkey"""
 
 
+def role_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The batch job's roles, by title and id, in pages of fifty."""
+    return N.pages(X.roles(spark, d).select("role_id", "title", "region"), ["title", "role_id"], 50)
+
+
+ROLE_PAGES = f"""WITH {X.SQL['roles']}, n AS (SELECT role_id, title, region, row_number() OVER (ORDER BY title, role_id) - 1 AS k FROM roles)
+SELECT role_id, title, region, k // 50 + 1 AS page, (k % 50 + 1)::INT AS place FROM n"""
+
+
+def order_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Gapless numbers of all orders by price, dearest first: an order that many rows share no value of."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return N.numbered(o, [F.desc("o_totalprice"), "o_orderkey"], "number")
+
+
+ORDER_NUMBERS = "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS number FROM orders"
+
+
 def explode_alias_backfill(spark: SparkSession, d: str) -> DataFrame:
     """Comma lists split to rows, keyed, mapped through the alias table, made distinct."""
     raw = table(spark, d, "part").select("p_partkey", F.concat_ws(" , ", "p_name", F.upper("p_type"), "p_name").alias("raw"))
@@ -274,6 +293,8 @@ def evolved_schema(spark: SparkSession, d: str) -> DataFrame:
 EVOLVED_SCHEMA = "SELECT p_partkey, p_size, true AS new_is_null, 'p_partkey,p_name,p_brand,p_type,p_size,capability_text,sort_skills' AS columns, CASE WHEN vec_id IS NOT NULL THEN 64 END AS dims FROM part LEFT JOIN embeddings ON vec_id = p_partkey"
 
 QUERIES = {
+    "role_pages": (role_pages, ROLE_PAGES),
+    "order_numbers": (order_numbers, ORDER_NUMBERS),
     "outer_join_residual": (outer_join_residual, OUTER_JOIN_RESIDUAL),
     "lateral_first_part": (lateral_first_part, LATERAL_FIRST_PART),
     "role_skill_weights": (role_skill_weights, ROLE_SKILL_WEIGHTS),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import alignment as A
+from ..operators import candidates as C
 from ..operators import gaps as G
 from ..operators import ontology as O
 from ..operators import prepared as P
@@ -249,17 +250,21 @@ FROM rows GROUP BY 1, 2"""
 # ---------------------------------------------------------------- candidates
 
 
-def domain_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Share of a role's domains that a profile names, or of the role's terms that it uses."""
+def _domain_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Domains and terms of every profile (mine, said) and of every role (tags, terms)."""
     h = X.heads(spark, d)
     text = F.concat_ws(" ", "title", "summary", F.array_join("interests", " "))
     people = h.select("profile_id", T.keyword_domains(text).alias("mine"), T.domain_terms(F.concat(F.array("title", "summary"), "interests")).alias("said"))
     tags = F.transform(T.listify(F.col("domain_tags")), lambda t: F.replace(T.skill_key(t), F.lit(" "), F.lit("_")))
     r = X.roles(spark, d).select("role_id", F.array_distinct(tags).alias("tags"), T.domain_terms(F.concat(F.array("title"), tags)).alias("terms"))
+    return people, r
+
+
+def domain_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Share of a role's domains that a profile names, or of the role's terms that it uses."""
+    people, r = _domain_sides(spark, d)
     x = people.join(r)  # profiles are a stated query set
-    base = F.when(F.size("tags") > 0, F.size(F.array_intersect("tags", "mine")) / F.size("tags")).otherwise(0.0)
-    hits = F.size(F.array_intersect("terms", "said"))
-    ratio = F.when(hits > 0, F.greatest(base, F.least(F.lit(0.85), hits / F.greatest(F.size("terms"), F.lit(1))))).otherwise(base)
+    ratio = C.domain_ratio(F.col("tags"), F.col("terms"), F.col("mine"), F.col("said"))
     return x.select("profile_id", "role_id", F.round(ratio, 6).alias("domain"), F.array_join(F.filter("tags", lambda t: F.array_contains("mine", t)), ",").alias("matched_domains"))
 
 
@@ -311,11 +316,16 @@ pv AS (SELECT profile_id, a.v AS va, b.v AS vb, c.v AS vc FROM profiles, nvec, e
 vectors AS (SELECT profile_id, role_id, round(list_cosine_similarity(va, rv), 6) AS capability, round(list_cosine_similarity(vb, rv), 6) AS intent, round(list_cosine_similarity(vc, rv), 6) AS identity FROM pv, rv)"""
 
 
-def _seniority(spark: SparkSession, d: str) -> DataFrame:
-    """Level gap of every profile (its latest job's title, else its own) and role."""
+def _levels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Level of every profile (its latest job's title, else its own) and of every role."""
     job = X.experience(spark, d).filter("trim(role) <> ''").groupBy("profile_id").agg(F.min_by("role", "ord").alias("role"))
     people = X.heads(spark, d).join(job, "profile_id", "left").select("profile_id", F.coalesce(T.seniority_level(F.coalesce("role", "title")), F.lit("")).alias("user"), F.coalesce(T.level_of_label(F.col("level")), F.lit("")).alias("stated"))
-    r = X.roles(spark, d).select("role_id", F.coalesce(T.seniority_level(F.col("title")), F.lit("")).alias("level"))
+    return people, X.roles(spark, d).select("role_id", F.coalesce(T.seniority_level(F.col("title")), F.lit("")).alias("level"))
+
+
+def _seniority(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of every profile and role."""
+    people, r = _levels(spark, d)
     return people.join(r)  # profiles are a stated query set
 
 
@@ -332,13 +342,16 @@ SENIORITY = SENIORITY.replace("{level}", """CASE WHEN j.role IS NOT NULL THEN CA
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """Signals of every profile and role."""
-    keys = ["profile_id", "role_id"]
-    cov = A.coverage(_rows(spark, d)).select(*keys, F.round("coverage", 6).alias("skill"))
-    level, fit = T.seniority_gap(F.nullif("user", F.lit("")), F.nullif("level", F.lit("")))
-    lev = _seniority(spark, d).select(*keys, F.round(fit, 6).alias("seniority"), level.alias("seniority_gap"))
-    certs = G.certification_overlap(_certs(spark, d)).withColumn("certification", F.round("certification", 6))
-    x = vector_signals(spark, d).join(domain_overlap(spark, d).select(*keys, "domain"), keys).join(lev, keys).join(certs, keys)
-    return x.join(cov, keys, "left").withColumn("skill", F.coalesce("skill", F.lit(0.0)))
+    needed, aligned = _aligned(spark, d)
+    said, role_words = _domain_sides(spark, d)
+    mine, role_level = _levels(spark, d)
+    vectors, people = _vectors(spark, d)
+    have = X.profile_certs(spark, d).select("profile_id", T.certification_group(F.col("cert")).alias("g")).filter("g <> ''").groupBy("profile_id").agg(F.collect_set("g").alias("have"))
+    need = X.role_certs(spark, d).select("role_id", F.struct("cert", T.certification_group(F.col("cert")).alias("g")).alias("c")).groupBy("role_id").agg(F.transform(F.collect_set("c"), lambda c: c["g"]).alias("need"))
+    people = people.join(said, "profile_id").join(mine.select("profile_id", F.col("user").alias("level")), "profile_id")
+    people = people.join(have, "profile_id", "left").join(C.evidence_slots(aligned), "profile_id", "left")
+    roles = vectors.join(role_words, "role_id").join(role_level, "role_id").join(need, "role_id", "left").join(C.needed_lists(needed), "role_id", "left")
+    return C.signals(cut(people, "people"), roles)
 
 
 CANDIDATES = f"""{DOMAINS}, {VECTORS}, {SENIORITY}, {CERTS},

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+from .derived import derived
 from .tables import table
 
 TOP_SKILLS = 10
@@ -42,6 +44,7 @@ def roles(spark: SparkSession, d: str) -> DataFrame:
     return x.select(F.col("s_suppkey").alias("role_id"), name.alias("title"), F.col("r_name").alias("region"), F.col("s_acctbal").alias("balance"), text.alias("description"), pick(TAGS, F.col("s_suppkey") % 3).alias("domain_tags"))
 
 
+@derived
 def role_skills(spark: SparkSession, d: str) -> DataFrame:
     """role_id, skill, domain, weight, ord: the ten most shipped part names of each role."""
     li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
@@ -73,6 +76,7 @@ def profile_orders(spark: SparkSession, d: str) -> DataFrame:
     return o.withColumnRenamed("o_custkey", "profile_id")
 
 
+@derived
 def profile_skills(spark: SparkSession, d: str) -> DataFrame:
     """profile_id, skill, ord: the ten most ordered part names of each profile."""
     o = profile_orders(spark, d).select("o_orderkey", "profile_id")
@@ -105,10 +109,11 @@ def alias_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(blank)
 
 
+@derived
 def skill_nodes(spark: SparkSession, d: str) -> DataFrame:
     """node, skill, domains: the distinct part names by rank (a vocabulary, whatever the number of parts)."""
     names = table(spark, d, "part").groupBy(F.col("p_name").alias("skill")).agg(F.array_sort(F.collect_set("p_type")).alias("domains"))
-    return names.withColumn("node", F.row_number().over(Window.orderBy("skill")) - 1)
+    return numbered(names, ["skill"], "node", 0)
 
 
 def skill_synonyms(spark: SparkSession, d: str) -> DataFrame:
@@ -119,6 +124,7 @@ def skill_synonyms(spark: SparkSession, d: str) -> DataFrame:
     return own.unionByName(other)
 
 
+@derived
 def skill_edges(spark: SparkSession, d: str) -> DataFrame:
     """src implies dst, as skill names."""
     n = skill_nodes(spark, d).select("skill", "node")
@@ -131,6 +137,7 @@ def _cert(brand: Column, names: tuple[str, str]) -> Column:
     return F.when(brand == "Brand#1", names[0]).when(brand == "Brand#2", names[1]).otherwise(brand)
 
 
+@derived
 def role_certs(spark: SparkSession, d: str) -> DataFrame:
     """role_id, cert: the three most shipped brands of each role; every fifth role has none."""
     li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_quantity").filter(F.col("l_suppkey") % 5 != 4)
@@ -140,6 +147,7 @@ def role_certs(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("role_id", _cert(F.col("p_brand"), ("CompTIA A+", "OCA Java")).alias("cert"))
 
 
+@derived
 def profile_certs(spark: SparkSession, d: str) -> DataFrame:
     """profile_id, cert, ord: the eight most ordered brands of each profile; every fifth profile has none."""
     o = profile_orders(spark, d).filter(F.expr(f"profile_id div {EVERY} % 5 <> 4")).select("o_orderkey", "profile_id")
@@ -150,6 +158,7 @@ def profile_certs(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("ord", F.row_number().over(w)).filter("ord <= 8").select("profile_id", _cert(F.col("p_brand"), ("CompTIA A Plus", "Oracle Java Programmer Certification")).alias("cert"), "ord")
 
 
+@derived
 def experience(spark: SparkSession, d: str) -> DataFrame:
     """profile_id, ord and the fields of a profile's four latest jobs."""
     o = profile_orders(spark, d)
