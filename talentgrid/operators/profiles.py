@@ -41,7 +41,8 @@ def confirmed(cvs: DataFrame, identity: Column, key: str = "profile_id") -> Data
 def privacy_stripped(cvs: DataFrame) -> DataFrame:
     """The same documents and schema without names, contacts, links, places, organisations, institutions, grades and credentials.
 
-    Free texts stay as they are; free items that speak of personal data are dropped.
+    Free texts stay as they are; free items that speak of personal data are dropped.  Of a
+    thesis (where documents have such a section) title, degree, description and technologies stay.
     """
     null = _null()
 
@@ -53,8 +54,13 @@ def privacy_stripped(cvs: DataFrame) -> DataFrame:
 
         return F.transform(items, one)
 
+    kept = ("title", "degree_type", "description", "technologies")
+    thesis = {"thesis": cleared("thesis", *[n for n in cvs.schema["thesis"].dataType.elementType.names if n not in kept])} if "thesis" in cvs.columns else {}
+    if "thesis_title" in cvs.schema["education"].dataType.elementType.names:
+        cvs = cvs.withColumn("education", cleared("education", "thesis_title"))
     return cvs.withColumns(
         {
+            **thesis,
             "personal_info": F.col("personal_info").withField("full_name", null).withField("email", null).withField("phone", null),
             "experience": cleared("experience", "organization", "location", "start_date", "end_date"),
             "education": cleared("education", "institution", "grade"),
@@ -228,21 +234,55 @@ def role_texts(title: Column, description: Column, skills: Column, certification
 
 
 def evidence(cvs: DataFrame, key: str = "profile_id") -> DataFrame:
-    """(key, explicit, context): skills that a document names, and texts that may mention some, each once."""
+    """(key, explicit, context): skills that a document names, and texts that may mention some, each once.
+
+    A thesis section and the thesis titles of the education count where documents have them.
+    """
+    thesis = "thesis" in cvs.columns
+    titles = lambda x: [x["thesis_title"]] if "thesis_title" in cvs.schema["education"].dataType.elementType.names else []
     flat = lambda items, name: F.flatten(F.transform(items, lambda x: _strings(x[name])))
     each = lambda items, *names: F.flatten(F.transform(items, lambda x: F.array(*[x[n] for n in names])))
     skills = F.col("skills_extracted")
-    explicit = F.concat(*[F.transform(skills[s], lambda x: x["name"]) for s in ("technical_skills", "inferred_skills", "soft_skills")], flat("experience", "contextual_skills"), flat("projects", "technologies"))
+    explicit = F.concat(*[F.transform(skills[s], lambda x: x["name"]) for s in ("technical_skills", "inferred_skills", "soft_skills")], flat("experience", "contextual_skills"), flat("projects", "technologies"), *([flat("thesis", "technologies")] if thesis else []))
     context = F.concat(
         F.array("personal_info.current_role", "profile_summary.summary", "profile_summary.current_seniority_level"),
         _strings(F.col("interests")),
         F.flatten(F.transform("experience", lambda x: F.concat(F.array(x["role"], x["industry"]), _strings(x["core_responsibilities"])))),
-        F.flatten(F.transform("education", lambda x: F.concat(F.array(x["degree_type"], x["field_of_study"], x["institution"]), _strings(x["courses"])))),
+        F.flatten(F.transform("education", lambda x: F.concat(F.array(x["degree_type"], x["field_of_study"], x["institution"], *titles(x)), _strings(x["courses"])))),
         F.flatten(F.transform("projects", lambda x: F.concat(F.array(x["title"], x["description"], x["role"]), _strings(x["outcomes"])))),
+        *([F.flatten(F.transform("thesis", lambda x: F.array(x["title"], x["degree_type"], x["institution"], x["description"])))] if thesis else []),
     )
     return cvs.select(key, T.clean_distinct(explicit).alias("explicit"), T.clean_distinct(context).alias("context"))
 
 
+def section_skills(cvs: DataFrame, key: str = "profile_id") -> DataFrame:
+    """(key, skills): technical skills, then those of projects, thesis and jobs, the first spelling of each."""
+    flat = lambda items, name: F.flatten(F.transform(items, lambda x: _strings(x[name])))
+    sections = [F.transform("skills_extracted.technical_skills", lambda s: s["name"]), flat("projects", "technologies"), flat("experience", "contextual_skills")]
+    if "thesis" in cvs.columns:
+        sections.insert(2, flat("thesis", "technologies"))
+    return cvs.select(key, T.clean_distinct(F.concat(*sections)).alias("skills"))
+
+
+#: Raised when the preparation of skills changes, so that what was stored before is made anew.
+PREPARED_VERSION = 1
+
+
+def prepared_of(cvs: DataFrame, prepare: Callable[[DataFrame, DataFrame], DataFrame], stored: DataFrame | None = None, key: str = "profile_id") -> DataFrame:
+    """Prepared skills of every document, with ``version``: stored ones where they are of this version, else prepared from its evidence.
+
+    ``prepare`` takes rows (key, term, ord) of the explicit and of the context terms.  A document
+    that has no evidence has no rows.
+    """
+    todo = cvs
+    if stored is not None:
+        stored = stored.filter(F.col("version") == PREPARED_VERSION)
+        todo = cvs.join(stored.select(key).distinct(), key, "left_anti")
+    found = evidence(todo, key)
+    made = prepare(terms(found, "explicit", key), terms(found, "context", key)).withColumn("version", F.lit(PREPARED_VERSION))
+    return made if stored is None else made.unionByName(stored.join(cvs.select(key), key, "left_semi").select(*made.columns))
+
+
 def terms(rows: DataFrame, column: str, key: str = "profile_id") -> DataFrame:
     """(key, term, ord) of an array of texts."""
     return rows.select(key, F.posexplode(column).alias("ord", "term")).select(key, "term", "ord")
@@ -288,6 +328,14 @@ def comparable_fields(cvs: DataFrame, key: str = "profile_id") -> DataFrame:
         "certification_issue_dates": one("certifications", "issue_date"),
         "certification_expiration_dates": one("certifications", "expiration_date"),
     }
+    if "thesis" in cvs.columns:
+        fields |= {"thesis_titles": one("thesis", "title"), "thesis_technologies": many("thesis", "technologies")}
+    info = cvs.schema["personal_info"].dataType.names
+    if "location" in info:
+        single["location"] = "personal_info.location"
+        fields["location"] = F.array(text(single["location"]))
+    if "links" in info:
+        fields["links"] = _strings(F.col("personal_info.links"))
     rows = F.array(*[F.struct(F.lit(k).alias("field"), v.cast(STRINGS).alias("values"), F.lit(k in single).alias("single")) for k, v in fields.items()])
     return cvs.select(key, F.inline(rows))
 
@@ -329,6 +377,24 @@ def write_stages(tables: dict[str, DataFrame], folder: str) -> list[str]:
     return out
 
 
+def read_stage(folder: str, like: DataFrame) -> DataFrame:
+    """A step that :func:`write_stages` wrote, in the schema of ``like``; a document that does not fit fails the read."""
+    return like.sparkSession.read.schema(like.schema).option("mode", "FAILFAST").json(folder)
+
+
+def run_pipeline(cvs: DataFrame, folder: str, prepare: Callable[[DataFrame, DataFrame], DataFrame], identity: Column | None = None, key: str = "profile_id") -> dict[str, DataFrame]:
+    """All steps, each written under ``folder`` and read back before the next one, down to ``06_prepared``: the skills to match with.
+
+    A step that was written stays as it is when a later one fails; a run writes all of them anew.
+    """
+    parsed = read_stage(write_stages({"01_parsed": cvs}, folder)[0], cvs)
+    steps = stages(parsed, identity, key)
+    paths = write_stages({k: v for k, v in steps.items() if k != "01_parsed"}, folder)
+    out = {"01_parsed": parsed} | {n: read_stage(p, steps[n]) for n, p in zip([k for k in steps if k != "01_parsed"], paths, strict=True)}
+    made = prepared_of(unwrapped(out["05_confirmed"].select(key, "confirmed_cv_data")), prepare, None, key)
+    return out | {"06_prepared": read_stage(write_stages({"06_prepared": made}, folder)[0], made)}
+
+
 def profile_line(statement: Column, role: Column, summary: Column) -> Column:
     """One line on a profile: its statement, else role and summary, else what there is."""
     s, r, t = T.clean_text(statement), T.clean_text(role), T.clean_text(summary)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +14,12 @@ from ..operators import candidates as C
 from ..operators import gaps as G
 from ..operators import ontology as O
 from ..operators import prepared as P
+from ..operators import profiles as D
 from ..operators import recommend as R
-from ..scratch import cut
+from ..scratch import cut, scratch_dir
 from ..sources import standins as X
 from ..sources.tables import table
+from .profile_queries import SKILLS6, THESIS, _distinct
 from .text_queries import sql_domains, sql_key, sql_terms
 
 # ---------------------------------------------------------------- aliases and prepared profiles
@@ -93,6 +97,27 @@ prepared AS (SELECT profile_id, coalesce(canonical, {sql_key('display')}) AS key
   QUALIFY row_number() OVER (PARTITION BY profile_id, coalesce(canonical, {sql_key('display')}) ORDER BY tier, ord, display) = 1)"""
 
 
+def profile_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Documents through every step of preparation, each written and read back, to skills of this version; half of them were stored before."""
+    aliases, names, edges = _aliases(spark, d), X.skill_synonyms(spark, d), X.skill_edges(spark, d)
+    prepare = lambda explicit, context: P.prepare(explicit, context, aliases, names, edges)
+    cvs = X.full_cvs(spark, d)
+    folder = f"{scratch_dir(spark)}/talentgrid/profiles-{uuid.uuid4().hex}"
+    steps = D.run_pipeline(cvs, folder, prepare)
+    version = F.when(F.expr(f"profile_id div {X.EVERY} % 2") == 0, F.col("version")).otherwise(0)
+    stored = steps["06_prepared"].withColumn("version", version)
+    docs = D.unwrapped(steps["05_confirmed"].select("profile_id", "confirmed_cv_data"))
+    return D.prepared_of(docs, prepare, stored).select("profile_id", "key", "source", F.round("confidence", 4).alias("confidence"), "version")
+
+
+ONLY_SKILLS = X.SQL["profile_skills"].split(",\nexplicit_terms")[0]
+PROFILE_PIPELINE = f"""WITH {X.SQL['profiles']}, {ONLY_SKILLS}, {X.SQL['experience']}, {X.SQL['heads']}, {X.SQL['edges']}, {SKILLS6}, {THESIS},
+ev AS (SELECT profile_id, {_distinct('e')} AS e, {_distinct('c')} AS c FROM x),
+explicit_terms AS (SELECT profile_id, unnest(e) AS term, unnest(range(len(e))) AS ord FROM ev), context_terms AS (SELECT profile_id, unnest(c) AS term, unnest(range(len(c))) AS ord FROM ev),
+{PREPARED}
+SELECT profile_id, key, ['explicit', 'context', 'ontology_implied'][tier + 1] AS source, round(confidence, 4)::DOUBLE AS confidence, 1 AS version FROM prepared WHERE key <> ''"""
+
+
 def implied_credit(spark: SparkSession, d: str) -> DataFrame:
     """Skills implied within three hops of every profile's named skills, with the least hop."""
     held = P.canonical_names(X.explicit_terms(spark, d), X.skill_synonyms(spark, d)).select("profile_id", F.col("name").alias("skill")).distinct()
@@ -693,6 +718,7 @@ SELECT profile_id, role_id, array_to_string(list_transform(m, lambda s, i: i ||
 _FILTERED = "SELECT profile_id, bucket, role_id, pos FROM"
 
 QUERIES = {
+    "profile_pipeline": (profile_pipeline, PROFILE_PIPELINE),
     "alias_map": (alias_map, ALIAS_MAP),
     "canonical_user_skills": (canonical_user_skills, CANONICAL_USER_SKILLS),
     "prepare_profile": (prepare_profile, f"WITH {X.SQL['profiles']}, {X.SQL['profile_skills']}, {X.SQL['edges']}, {PREPARED} SELECT profile_id, key, display, ['explicit', 'context', 'ontology_implied'][tier + 1] AS source, round(confidence, 4) AS confidence, coalesce(via, '') AS via FROM prepared"),

@@ -194,6 +194,35 @@ x AS (SELECT profile_id, list_concat(coalesce(s, [])[1:6], coalesce(s, [])[7:7],
 SELECT profile_id, array_to_string({_distinct('e')}, ',') AS explicit, array_to_string({_distinct('c')}, '|') AS context FROM x"""
 
 
+def thesis_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with theses: what the privacy step leaves of them, the skills and texts they add, and their comparable fields."""
+    cvs = X.full_cvs(spark, d)
+    left = D.privacy_stripped(cvs)
+    shown = F.transform("thesis", lambda t: F.concat_ws("/", *[F.coalesce(t[n], F.lit("-")) for n in ("title", "degree_type", "institution", "supervisor", "description", "grade")], F.array_join(t["technologies"], "+")))
+    titles = F.exists("education", lambda e: e["thesis_title"].isNotNull())
+    left = left.select("profile_id", F.array_join(shown, "|").alias("stripped"), titles.alias("leaks"))
+    found = D.evidence(cvs).select("profile_id", F.array_join("explicit", ",").alias("explicit"), F.array_join("context", "|").alias("context"))
+    skills = D.section_skills(cvs).select("profile_id", F.array_join("skills", ",").alias("skills"))
+    fields = D.comparable_fields(cvs).filter("field in ('thesis_titles', 'thesis_technologies', 'location', 'links')")
+    fields = fields.groupBy("profile_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("field", F.lit("="), F.array_join("values", "+")))), ";").alias("fields"))
+    return left.join(found, "profile_id").join(skills, "profile_id").join(fields, "profile_id")
+
+
+THESIS = f"""j AS (SELECT profile_id, flatten(list(skills ORDER BY ord)) AS js, flatten(list([nullif(role, ''), industry, {_tidy("resp[1]")}, resp[2]] ORDER BY ord)) AS jt FROM experience GROUP BY 1),
+b AS (SELECT *, coalesce(s, [])[1:6] AS own, CASE WHEN i % 3 <> 1 THEN list_concat(coalesce(s, [])[4:5], ['LaTeX']) ELSE [] END AS tt FROM heads LEFT JOIN sk USING (profile_id) LEFT JOIN j USING (profile_id)),
+x AS (SELECT profile_id, i, own, tt, s, js, list_concat(own, coalesce(s, [])[7:7], ['Teamwork', 'teamwork'], coalesce(js, []), coalesce(s, [])[1:3], tt) AS e,
+  list_concat([nullif(title, ''), {_tidy('summary')}, trim(level)], list_transform(interests, lambda x: trim(x)), coalesce(jt, []),
+    [nullif(degree_type, ''), nullif(field_of_study, ''), institution, CASE WHEN i % 2 = 1 THEN 'Title ' || i END, 'Databases', 'Project ' || i, NULL, 'lead', 'Shipped it'],
+    CASE WHEN i % 3 <> 1 THEN ['Thesis ' || i, 'MSc', 'Uni T', CASE WHEN i % 2 = 0 THEN 'On graphs' END] ELSE [] END) AS c FROM b)"""
+THESIS = THESIS.replace("coalesce(s, [])[4:5]", "coalesce(s, [])[1:6][4:5]")
+
+THESIS_SECTIONS = f"""{HEAD}, {SKILLS6}, {THESIS}
+SELECT profile_id, CASE WHEN i % 3 <> 1 THEN 'Thesis  ' || i || '/MSc/-/-/' || CASE WHEN i % 2 = 0 THEN 'On  graphs' ELSE '-' END || '/-/' || array_to_string(tt, '+') ELSE '' END AS stripped, false AS leaks,
+  array_to_string({_distinct('e')}, ',') AS explicit, array_to_string({_distinct('c')}, '|') AS context,
+  array_to_string({_distinct("list_concat(own, coalesce(s, [])[1:3], tt, coalesce(js, []))")}, ',') AS skills,
+  'links=http://l;location=Berlin;thesis_technologies=' || array_to_string(tt, '+') || ';thesis_titles=' || CASE WHEN i % 3 <> 1 THEN 'Thesis  ' || i ELSE '' END AS fields FROM x"""
+
+
 def _expected(spark: SparkSession, d: str) -> DataFrame:
     """Labelled fields: those of the documents, some of them changed."""
     x = D.comparable_fields(X.cvs(spark, d)).filter(F.col("field").isin("current_role", "profile_summary", "experience_roles", "experience_date_ranges", "skills", "interests", "education", "certifications"))
@@ -265,6 +294,7 @@ QUERIES = {
     "profile_validity": (profile_validity, PROFILE_VALIDITY),
     "manual_profile": (manual_profile, MANUAL_PROFILE),
     "profile_evidence": (profile_evidence, PROFILE_EVIDENCE),
+    "thesis_sections": (thesis_sections, THESIS_SECTIONS),
     "cv_field_scores": (cv_field_scores, FIELD_SCORES),
     "model_summary": (model_summary, MODEL_SUMMARY),
     "group_scores": (group_scores, GROUP_SCORES),

@@ -231,6 +231,17 @@ def cvs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def full_cvs(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with a thesis for two of three, the titles of theses in the education, and a place and links."""
+    i = F.expr(f"profile_id div {EVERY}")
+    names = F.transform("skills_extracted.technical_skills", lambda s: s["name"])
+    none = F.lit(None).cast("string")
+    thesis = F.struct(F.concat(F.lit("Thesis  "), i.cast("string")).alias("title"), F.lit("MSc").alias("degree_type"), F.lit("Uni T").alias("institution"), F.lit("Dr X").alias("supervisor"), F.when(i % 2 == 0, F.lit("On  graphs")).otherwise(none).alias("description"), F.concat(F.slice(names, 4, 2), F.array(F.lit("LaTeX"))).alias("technologies"), F.lit("1.3").alias("grade"))
+    x = cvs(spark, d).withColumn("thesis", F.filter(F.array(thesis), lambda _: i % 3 != 1))
+    x = x.withColumn("education", F.transform("education", lambda e: e.withField("thesis_title", F.when(i % 2 == 1, F.concat(F.lit("Title "), i.cast("string"))))))
+    return x.withColumn("personal_info", F.col("personal_info").withField("location", F.lit("Berlin")).withField("links", F.array(F.lit("http://l"))))
+
+
 def _sql_list(values: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
