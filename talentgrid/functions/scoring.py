@@ -63,6 +63,11 @@ def severity(score: Column) -> Column:
     return F.when(score >= 1, "matched").when(score >= 0.75, "low").when(score > 0, "medium").otherwise("high")
 
 
+def coarse_severity(score: Column) -> Column:
+    """The scale of raw coverage: half a credit is low already."""
+    return F.when(score >= 1, "matched").when(score >= 0.5, "low").when(score > 0, "medium").otherwise("high")
+
+
 def importance(weight: Column) -> Column:
     return F.when(weight.isNull(), "").when(weight >= 0.75, "essential").when(weight >= 0.40, "important").otherwise("nice_to_have")
 

@@ -11,6 +11,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import alignment as A
 from ..operators import candidates as C
+from ..operators import coverage as V
 from ..operators import gaps as G
 from ..operators import ontology as O
 from ..operators import prepared as P
@@ -143,6 +144,29 @@ own AS (SELECT profile_id, name, min(ord) AS ord FROM explicit_terms JOIN synony
 SELECT profile_id, dst AS name, CASE WHEN src = dst THEN 'have' ELSE 'implied' END AS state FROM own JOIN reach ON name = src
 QUALIFY row_number() OVER (PARTITION BY profile_id, dst ORDER BY ord, src <> dst) = 1"""
 
+def raw_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage of every role's raw skill list by every profile's raw skills; one skill of each the ontology does not know."""
+    lists = X.sort_skills(spark, d).groupBy("role_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "skill"))), lambda s: s["skill"]), ", ").alias("raw"))
+    required = lists.select("role_id", F.concat("raw", F.lit(";Juggling")).alias("raw_skills"))
+    odd = X.profiles(spark, d).filter("i % 2 = 1").select("profile_id", F.lit("juggling").alias("term"))
+    held = X.explicit_terms(spark, d).select("profile_id", "term").unionByName(odd)
+    x = V.raw_coverage(required, held, X.skill_synonyms(spark, d), O.closure(X.skill_edges(spark, d)))
+    gaps = F.transform("gaps", lambda g: F.concat_ws(":", g["required"], F.coalesce(g["closest"], F.lit("-")), g["severity"]))
+    return x.select("profile_id", "role_id", F.round("coverage", 6).alias("coverage"), F.array_join("matched", ",").alias("matched"), F.array_join(gaps, "|").alias("gaps"))
+
+
+RAW_COVERAGE = f"""WITH RECURSIVE {X.SQL['role_skills']}, {X.SQL['sort_skills']}, {X.SQL['profiles']}, {X.SQL['profile_skills']}, {X.SQL['edges']}, {REACH},
+req0 AS (SELECT role_id, skill AS raw, ord FROM sort_skills UNION ALL SELECT DISTINCT role_id, 'Juggling', 99 FROM sort_skills),
+req AS (SELECT role_id, coalesce(name, raw) AS name, min(ord) AS ord FROM req0 LEFT JOIN synonyms ON key = {sql_key('raw')} GROUP BY 1, 2),
+held AS (SELECT profile_id, term FROM explicit_terms UNION ALL SELECT profile_id, 'juggling' FROM profiles WHERE i % 2 = 1),
+own AS (SELECT DISTINCT profile_id, coalesce(name, term) AS name, name IS NOT NULL AS known FROM held LEFT JOIN synonyms ON key = {sql_key('term')}),
+eff AS (SELECT DISTINCT profile_id, dst FROM own JOIN reach ON name = src WHERE known),
+part AS (SELECT profile_id, src, min(name) AS closest FROM own JOIN reach ON name = dst AND src <> dst GROUP BY 1, 2),
+r AS (SELECT p.profile_id, q.role_id, q.name, q.ord, CASE WHEN e.dst IS NOT NULL THEN 1.0::DOUBLE WHEN t.src IS NOT NULL THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END AS score, CASE WHEN e.dst IS NULL THEN closest END AS closest
+  FROM (SELECT DISTINCT profile_id FROM held) p CROSS JOIN req q LEFT JOIN eff e ON e.profile_id = p.profile_id AND e.dst = q.name LEFT JOIN part t ON t.profile_id = p.profile_id AND t.src = q.name)
+SELECT profile_id, role_id, round(sum(score) / count(*), 6) AS coverage, coalesce(string_agg(name, ',' ORDER BY ord) FILTER (score = 1), '') AS matched,
+  coalesce(string_agg(name || ':' || coalesce(closest, '-') || ':' || CASE WHEN score > 0 THEN 'medium' ELSE 'high' END, '|' ORDER BY ord) FILTER (score < 1), '') AS gaps FROM r GROUP BY 1, 2"""
+
 # ---------------------------------------------------------------- alignment
 
 TOK = "list_distinct(list_transform(list_filter(string_split({k}, ' '), lambda x: x <> ''), lambda t: CASE WHEN length(t) > 3 AND ends_with(t, 's') THEN left(t, length(t) - 1) ELSE t END))"
@@ -718,6 +742,7 @@ SELECT profile_id, role_id, array_to_string(list_transform(m, lambda s, i: i ||
 _FILTERED = "SELECT profile_id, bucket, role_id, pos FROM"
 
 QUERIES = {
+    "raw_coverage": (raw_coverage, RAW_COVERAGE),
     "profile_pipeline": (profile_pipeline, PROFILE_PIPELINE),
     "alias_map": (alias_map, ALIAS_MAP),
     "canonical_user_skills": (canonical_user_skills, CANONICAL_USER_SKILLS),
