@@ -102,6 +102,11 @@ def lookup(x: Column, values: dict[str, float], default: float) -> Column:
     return out.otherwise(F.lit(default))
 
 
+def lookup_text(x: Column, values: dict[str, str]) -> Column:
+    """The text of a fixed table; null for other keys."""
+    return F.coalesce(*[F.when(x == k, F.lit(v)) for k, v in values.items()])
+
+
 def gap_priority(tier: Column, score: Column, domain_coverage: Column, source: Column, proof: Column, specificity: Column) -> Column:
     """Clamped weighted sum of importance, missingness, deficit, evidence, proof and specificity."""
     raw = (

@@ -684,6 +684,37 @@ SELECT profile_id, role_id, required AS skill, md5(CASE WHEN pos <= 3 AND ord %
   md5(CASE WHEN coalesce(closest, '') <> '' AND score > 0 THEN 'Use your existing ' || closest || ' evidence as a bridge and add a concrete proof point for ' || display || '.' ELSE 'Add a concrete project, lab note, or resume bullet that makes ' || display || ' visible.' END) AS fallback FROM t"""
 
 
+def gap_list(spark: SparkSession, d: str) -> DataFrame:
+    """The three gaps that every profile and role shows first."""
+    return G.gap_list(_gaps(spark, d))
+
+
+GAP_LIST = f"""{BASE}, {RANKED},
+items AS (SELECT profile_id, role_id, display, label || ' priority - ' || CASE effort WHEN 'quick_win' THEN 'low effort' WHEN 'moderate' THEN 'medium effort' ELSE 'high effort' END AS meta, true AS advised, pos AS o FROM ranked WHERE pos <= 3
+  UNION ALL SELECT profile_id, role_id, display, severity || ' priority - ' || CASE WHEN score >= 0.5 THEN 'low effort' WHEN score > 0 THEN 'medium effort' ELSE 'high effort' END, false,
+    1000 + row_number() OVER (PARTITION BY profile_id, role_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, score, importance_rank, ord) FROM ranked),
+once AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY profile_id, role_id, lower(trim(display)) ORDER BY o) = 1)
+SELECT profile_id, role_id, row_number() OVER (PARTITION BY profile_id, role_id ORDER BY o)::INT AS place, display AS title, meta, advised FROM once QUALIFY row_number() OVER (PARTITION BY profile_id, role_id ORDER BY o) <= 3"""
+
+
+def gap_milestones(spark: SparkSession, d: str) -> DataFrame:
+    """What is said of every gap, with the first step of its roadmap that names it."""
+    keys = ["profile_id", "role_id"]
+    rows = _rows(spark, d)
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "domain"))), lambda s: s["domain"])
+    gaps = G.top_gap_domains(rows).groupBy(*keys).agg(T.clean_distinct(in_order).alias("gaps"))
+    x = G.with_milestones(G.gap_rows(rows), G.draft_path(gaps, F.array().cast("array<string>")))
+    return x.select(*keys, "required", F.coalesce("milestone.title", F.lit("")).alias("milestone"), G.gap_copy(F.col("display"), F.col("closest"), F.col("score"), F.col("milestone")).alias("copy"))
+
+
+GAP_MILESTONES = f"""{BASE}, {GAP_DOMAINS},
+tg AS (SELECT profile_id, role_id, list_concat(list(domain ORDER BY pos)[1:3], ['portfolio proof', 'transition narrative', 'target-role evidence'])[1:3] AS targets FROM gtop GROUP BY 1, 2),
+h AS (SELECT *, list_filter(targets, lambda t: lower(trim(t)) = lower(trim(required)))[1] AS hit, score > 0 AND coalesce(closest, '') <> '' AS seen FROM rows JOIN tg USING (profile_id, role_id) WHERE score < 1)
+SELECT profile_id, role_id, required, coalesce('Build evidence for ' || hit, '') AS milestone,
+  display || CASE WHEN seen THEN ' is partly covered by: ' || closest || '.' ELSE ' is not visible in your profile yet.' END
+  || coalesce(chr(10) || CASE WHEN seen THEN 'Continue building' ELSE 'Build' END || ' strengths in this area by meeting the roadmap milestone: Build evidence for ' || hit || ' (4 weeks).', '') AS copy FROM h"""
+
+
 def radar_axes(spark: SparkSession, d: str) -> DataFrame:
     """Five axes of every profile and role: its weakest domains, or its skills where domains are few."""
     rows = _rows(spark, d)
@@ -742,6 +773,8 @@ SELECT profile_id, role_id, array_to_string(list_transform(m, lambda s, i: i ||
 _FILTERED = "SELECT profile_id, bucket, role_id, pos FROM"
 
 QUERIES = {
+    "gap_list": (gap_list, GAP_LIST),
+    "gap_milestones": (gap_milestones, GAP_MILESTONES),
     "raw_coverage": (raw_coverage, RAW_COVERAGE),
     "profile_pipeline": (profile_pipeline, PROFILE_PIPELINE),
     "alias_map": (alias_map, ALIAS_MAP),
