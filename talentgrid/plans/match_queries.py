@@ -19,6 +19,7 @@ from ..operators import profiles as D
 from ..operators import recommend as R
 from ..scratch import cut, scratch_dir
 from ..sources import standins as X
+from ..sources.derived import derived
 from ..sources.tables import table
 from .profile_queries import SKILLS6, THESIS, _distinct
 from .text_queries import sql_domains, sql_key, sql_terms
@@ -43,6 +44,7 @@ d1 AS (SELECT key, any_value(canonical) AS canonical FROM defaults GROUP BY 1)
 SELECT key, canonical FROM aliases UNION ALL SELECT key, canonical FROM d1 WHERE key NOT IN (SELECT key FROM aliases)"""
 
 
+@derived
 def _aliases(spark: SparkSession, d: str) -> DataFrame:
     return P.clean_aliases(X.alias_rows(spark, d))
 
@@ -130,9 +132,14 @@ def closure_fixpoint(spark: SparkSession, d: str) -> DataFrame:
     return O.closure(X.skill_edges(spark, d))
 
 
+@derived
+def _closure(spark: SparkSession, d: str) -> DataFrame:
+    return O.closure(X.skill_edges(spark, d))
+
+
 def expand_skills(spark: SparkSession, d: str) -> DataFrame:
     """What every profile has or, by the ontology, can be taken to have."""
-    return P.expand_held(X.explicit_terms(spark, d), X.skill_synonyms(spark, d), O.closure(X.skill_edges(spark, d)))
+    return P.expand_held(X.explicit_terms(spark, d), X.skill_synonyms(spark, d), _closure(spark, d))
 
 
 REACH = """reach AS (
@@ -150,7 +157,7 @@ def raw_coverage(spark: SparkSession, d: str) -> DataFrame:
     required = lists.select("role_id", F.concat("raw", F.lit(";Juggling")).alias("raw_skills"))
     odd = X.profiles(spark, d).filter("i % 2 = 1").select("profile_id", F.lit("juggling").alias("term"))
     held = X.explicit_terms(spark, d).select("profile_id", "term").unionByName(odd)
-    x = V.raw_coverage(required, held, X.skill_synonyms(spark, d), O.closure(X.skill_edges(spark, d)))
+    x = V.raw_coverage(required, held, X.skill_synonyms(spark, d), _closure(spark, d))
     gaps = F.transform("gaps", lambda g: F.concat_ws(":", g["required"], F.coalesce(g["closest"], F.lit("-")), g["severity"]))
     return x.select("profile_id", "role_id", F.round("coverage", 6).alias("coverage"), F.array_join("matched", ",").alias("matched"), F.array_join(gaps, "|").alias("gaps"))
 
@@ -223,6 +230,7 @@ ROWS = """rows AS (
 BASE = "WITH RECURSIVE " + ",\n".join((X.SQL["role_skills"], X.SQL["sort_skills"], X.SQL["profiles"], X.SQL["profile_skills"], X.SQL["edges"], REACH, PREPARED, NEEDED, ALIGNED, ROWS))
 
 
+@derived
 def _needed(spark: SparkSession, d: str) -> DataFrame:
     hints = X.skill_synonyms(spark, d).select("key", F.element_at("domains", 1).alias("hint"))
     return A.requirements(X.sort_skills(spark, d), _aliases(spark, d), hints)
@@ -230,10 +238,9 @@ def _needed(spark: SparkSession, d: str) -> DataFrame:
 
 def _aligned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The requirements of all roles, and the evidence of all profiles for them."""
-    needed, edges, aliases = cut(_needed(spark, d), "needed"), cut(X.skill_edges(spark, d), "edges"), cut(_aliases(spark, d), "aliases")
-    names = cut(X.skill_synonyms(spark, d), "names")
-    prepared = cut(P.prepare(X.explicit_terms(spark, d), X.context_terms(spark, d), aliases, names, edges), "prepared")
-    below = A.prerequisites(O.closure(edges), names, aliases)
+    needed, aliases, names = _needed(spark, d), _aliases(spark, d), X.skill_synonyms(spark, d)
+    prepared = cut(P.prepare(X.explicit_terms(spark, d), X.context_terms(spark, d), aliases, names, X.skill_edges(spark, d)), "prepared")
+    below = A.prerequisites(_closure(spark, d), names, aliases)
     return needed, A.align(needed.select("required").distinct(), prepared, below)
 
 
