@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scoring import CONTEXT, DEFAULT_WEIGHT, FULL, REVERSE, TOKEN, importance, importance_rank, severity
+from .grid import grid
 from .ontology import first_by
 from .prepared import canonical
 
@@ -135,7 +136,7 @@ def role_alignment(needed: DataFrame, profiles: DataFrame, aligned: DataFrame) -
     listed = needed.groupBy("role_id").agg(F.collect_list(F.struct(*[c for c in needed.columns if c != "role_id"])).alias("needed"))
     met = aligned.groupBy("profile_id").agg(F.map_from_entries(F.collect_list(F.struct("required", F.struct("score", "source", "closest")))).alias("met"))
     people = profiles.select("profile_id").distinct().join(met, "profile_id", "left")
-    rows = people.join(listed).select("profile_id", "role_id", "met", F.explode("needed").alias("n")).select("profile_id", "role_id", "n.*", F.col("met")[F.col("n.required")].alias("m"))
+    rows = grid(people, listed).select("profile_id", "role_id", "met", F.explode("needed").alias("n")).select("profile_id", "role_id", "n.*", F.col("met")[F.col("n.required")].alias("m"))
     score = F.coalesce("m.score", F.lit(0.0))
     tier = importance(F.col("score"))
     rows = rows.withColumns({"importance": tier, "importance_rank": importance_rank(tier)}).drop("score")

@@ -17,6 +17,7 @@ from ..operators import ontology as O
 from ..operators import prepared as P
 from ..operators import profiles as D
 from ..operators import recommend as R
+from ..operators.grid import grid
 from ..scratch import cut, scratch_dir
 from ..sources import standins as X
 from ..sources.derived import derived
@@ -319,7 +320,7 @@ def _domain_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def domain_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Share of a role's domains that a profile names, or of the role's terms that it uses."""
     people, r = _domain_sides(spark, d)
-    x = people.join(r)  # profiles are a stated query set
+    x = grid(people, r)
     ratio = C.domain_ratio(F.col("tags"), F.col("terms"), F.col("mine"), F.col("said"))
     return x.select("profile_id", "role_id", F.round(ratio, 6).alias("domain"), F.array_join(F.filter("tags", lambda t: F.array_contains("mine", t)), ",").alias("matched_domains"))
 
@@ -361,7 +362,7 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def vector_signals(spark: SparkSession, d: str) -> DataFrame:
     """Cosine similarities of every profile's three vectors to every role."""
     roles, people = _vectors(spark, d)
-    x = people.join(roles)  # profiles are a stated query set
+    x = grid(people, roles)
     sim = lambda c: F.round(S.dot(F.col(c)["v"], F.col("rv")) / (F.col(c)["n"] * F.col("rn")), 6).alias(c)
     return x.select("profile_id", "role_id", *[sim(c) for c in ("capability", "intent", "identity")])
 
@@ -382,7 +383,7 @@ def _levels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _seniority(spark: SparkSession, d: str) -> DataFrame:
     """Levels of every profile and role."""
     people, r = _levels(spark, d)
-    return people.join(r)  # profiles are a stated query set
+    return grid(people, r)
 
 
 LEVEL_RANK = "list_position(['intern','junior','mid','senior','lead','staff','principal','director'], {x})"
