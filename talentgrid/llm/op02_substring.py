@@ -201,12 +201,22 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, keep: list[str]) ->
         yield pa.RecordBatch.from_arrays(cols, names=[*keep, "_n_words", "_n_removed", "_kept"])
 
 
+def mark_lists(marks: DataFrame) -> DataFrame:
+    """(_rid, own): the marks of each text, one for each start word.
+
+    Equal rows share their ``_rid`` and give equal marks; merged before they are listed, a list is
+    no longer than its text, however many rows are equal.
+    """
+    once = marks.groupBy("_rid", "a").agg(F.bit_or("mask").alias("mask"))
+    return once.groupBy("_rid").agg(F.collect_list(F.struct("a", "mask")).alias("own"))
+
+
 def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept_text``: words in no repeated window, joined by one space.
 
     Columns of these names that ``docs`` already has are replaced.
     """
-    marks = repeated_windows(docs, doc, text, window, seed).groupBy("_rid").agg(F.collect_list(F.struct("a", "mask")).alias("own"))
+    marks = mark_lists(repeated_windows(docs, doc, text, window, seed))
     keep = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     named = {c: f"_c{i}" for i, c in enumerate(keep)}
     rows = docs.select(F.xxhash64(F.col(doc), F.col(text)).alias("_rid"), *[F.col(c).alias(n) for c, n in named.items()], F.col(text).alias("_text"))
