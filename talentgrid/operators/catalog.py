@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from ..functions import text as T
-from ..functions.scoring import clamp01, dot
+from ..functions.scoring import clamp01, dot, rounded
 from .ontology import first_by
 from .prepared import canonical
 
@@ -51,7 +51,7 @@ def ranked_skills(roles: DataFrame, vectors: DataFrame, alpha: float = ALPHA) ->
     rows = x.filter("_any and _p is not null").select("role_id", "vector", F.posexplode("_p.items").alias("ord", "i")).select("role_id", F.col("vector").alias("_v"), "ord", "i.*")
     rows = rows.join(vectors.select("skill", "vector"), "skill", "left")
     near = F.when(F.col("vector").isNotNull(), clamp01(dot(F.col("_v"), F.col("vector")))).otherwise(0.0)
-    rows = rows.withColumn("score", F.round(F.lit(alpha) * F.col("score") + F.lit(1 - alpha) * near, 4))
+    rows = rows.withColumn("score", rounded(F.lit(alpha) * F.col("score") + F.lit(1 - alpha) * near, 4))
     item = F.struct((-F.col("score")).alias("o"), "ord", "skill", "domain", "score")
     listed = rows.groupBy("role_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: F.struct(s["skill"].alias("skill"), s["domain"].alias("domain"), s["score"].alias("score"))).alias("sort_skills"))
     out = x.select("role_id", F.when(F.col("_any"), F.col("_p.title")).alias("processed_title"), (F.col("_any") & F.col("_p").isNull()).alias("failed")).join(listed, "role_id", "left")

@@ -59,3 +59,15 @@ def test_truncate(spark):
     assert one(spark, T.truncate_words(F.lit("alpha beta gamma"), 12)) == "alpha beta ..."
     assert one(spark, T.truncate_words(F.lit("  a\n b "), 12)) == "a b"
     assert one(spark, T.duration_weeks(F.lit("2 months"))) == 8
+
+
+def test_rounded_takes_the_double_not_its_text(spark):
+    value = 0.85 * (23 / 48 * 1.2)  # 0.48874999999999996, which scales to a tie
+    assert one(spark, S.rounded(F.lit(value), 4)) == 0.4888
+    assert [one(spark, S.rounded(F.lit(v), 4)) for v in (value, -value, 0.00125, 0.5)] == [round_half_up(v) for v in (value, -value, 0.00125, 0.5)]
+    assert one(spark, S.rounded(F.lit(None).cast("double"), 4)) is None
+    assert one(spark, F.isnan(S.rounded(F.lit(float("nan")), 4)))
+
+
+def round_half_up(v: float) -> float:
+    return (1 if v > 0 else -1) * int(abs(v) * 10000 + 0.5) / 10000
