@@ -9,6 +9,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import catalog as K
 from ..operators import numbering as N
+from ..operators import pairs as B
 from ..operators import prepared as P
 from ..operators import tables as M
 from ..sources import standins as X
@@ -147,23 +148,17 @@ CATALOG_COUNT = "SELECT label, count(*) AS n, max(len(embedding))::INT AS dims F
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest vectors of every vector whose id is divisible by 50, exactly.
 
-    The queries come in blocks of ``QUERY_BLOCK``: each scanned row meets a block of queries at
-    once and a task keeps its best before the final ranking, so no pairs are shuffled whole.
+    Queries and rows meet in cells; each names its own ten of every query before the final ranking, so
+    no pairs are shuffled whole.  Vectors with a null in them are near none.
     """
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    norm = F.sqrt(S.dot(F.col("embedding"), F.col("embedding")))
-    q = e.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), norm.alias("qn"))
-    blocks = q.withColumn("block", F.floor(F.col("query") / (50 * QUERY_BLOCK))).groupBy("block").agg(F.collect_list(F.struct("query", "q", "qn")).alias("qs"))
-    sims = F.transform("qs", lambda x: F.struct(x["query"].alias("query"), F.round(S.dot(F.col("embedding"), x["q"]) / (F.col("norm") * x["qn"]), 6).alias("similarity")))
-    # all rows against a stated query set, block by block
-    rows = e.withColumn("norm", norm).join(blocks).select("vec_id", F.inline(sims)).filter("similarity is not null")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("role_id"), F.col("embedding").cast("array<double>").alias("v"))
+    e = e.filter(F.col("role_id").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    near = B.nearest(e.filter(F.col("role_id") % 50 == 0).withColumnRenamed("role_id", "profile_id"), e, 10)
+    rows = near.select(F.col("profile_id").alias("query"), F.col("role_id").alias("vec_id"), "similarity")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "vec_id")
     return rows.withColumn("pos", F.row_number().over(w)).filter("pos <= 10").select("query", "vec_id", "similarity", "pos")
 
 
-#: Queries that one scanned row meets at once.
-QUERY_BLOCK = 64
-
 COSINE_TOPK = """
 WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
 r AS (SELECT query, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS similarity FROM embeddings, q)
