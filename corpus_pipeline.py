@@ -16,6 +16,8 @@ from talentgrid.llm.common import table, with_row_ids, written
 
 #: Near-duplicates: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
 SHINGLE, LEAST = 5, 0.8
+#: Packing comes last, when an executor's heap has grown with the stages before: it encodes little text at once and keeps fewer units.
+CHUNK, UNITS = 1 << 19, 100_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +70,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A null or empty text is its end id alone; repeated rows are packed each; an empty table
     gives no pieces.
     """
-    return op04_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return op04_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), chunk=CHUNK, units=UNITS)
 
 
 STAGES = [

@@ -63,6 +63,7 @@ class Encoder:
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.units: dict[str, bytes | None] = {}
+        self.most = CACHE_UNITS
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
         self.space = self.letters[0x20]
         self.marks: dict[str, bytes] = {}
@@ -127,7 +128,7 @@ class Encoder:
         cache = self.units
         missing = [u for u in names if u not in cache]
         if missing:
-            if len(cache) + len(missing) > CACHE_UNITS:
+            if len(cache) + len(missing) > self.most:
                 cache.clear()
                 missing = names
             self._learn(missing)
@@ -162,9 +163,10 @@ class Encoder:
         return ids, total[head]
 
 
-def encoder(path: str, spaced: bool, control: bool = True) -> Encoder:
-    """One encoder per worker process, file and kind."""
+def encoder(path: str, spaced: bool, control: bool = True, most: int = CACHE_UNITS) -> Encoder:
+    """One encoder per worker process, file and kind; it keeps ``most`` units from now on."""
     key = (path, spaced, control)
     if key not in _encoders:
         _encoders[key] = Encoder(*key)
+    _encoders[key].most = most
     return _encoders[key]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import ship, table, written
-from .encode import CHUNK_BYTES, encoder
+from .encode import CACHE_UNITS, CHUNK_BYTES, encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -188,14 +188,17 @@ def pack_group(sizes: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS
     return bin_, offset
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY, spaced: bool = True, with_ids: bool = False) -> DataFrame:
-    """One row per piece: _uid (unique), doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
+def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY, spaced: bool = True, with_ids: bool = False, chunk: int = CHUNK_BYTES, units: int = CACHE_UNITS) -> DataFrame:
+    """One row per piece: _uid (unique), doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
+
+    Smaller ``chunk`` (bytes of text encoded at once) and ``units`` (kept by a worker) take less memory and more time.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary, spaced)
+        enc = encoder(vocabulary, spaced, most=units)
         uid = TaskContext.get().partitionId() << 40
-        for part, raw, off in W.chunks(batches, "text", CHUNK_BYTES):
+        for part, raw, off in W.chunks(batches, "text", chunk):
             ids, bound = enc.encode(raw, off, end_id)
             ids = ids.astype("<u4")
             size = np.diff(bound)
