@@ -11,10 +11,13 @@ similar as asked.
 
 The tables are read in rounds: two tables, the other tables of two fingerprints, then those of two
 more fingerprints at a time.  Each round looks only at pairs whose texts are not linked yet, so
-that a group does not meet itself in every table, and a round holds its own tables only.  A pair
-is compared once, whatever the number of tables that name it.  A bucket emits all its candidates
-while they are few for its rows; else a minimum spanning forest of them by distance and, in later
-rounds, each row's ``NEAREST``, so a large group stays linear.  Buckets over ``HOT_BUCKET`` rows are cut into blocks and every pair of blocks is one group.
+that a group does not meet itself in every table, and a round holds its own tables only.  A bucket
+names its rows that have a candidate, as groups connected over candidates: one row for each member,
+however many pairs there are; a group of the same members is looked at once, whatever the number of
+tables that name it.  A group meets as a whole with the sets of its texts, and every pair in it that
+is not linked yet is compared in full, breadth first; it emits links only, fewer than it has members.
+No pair of a bucket is left out.  Buckets over ``HOT_BUCKET`` rows, and groups over ``HEAVY``
+shingles, are cut into blocks and every pair of blocks is one group.
 
 Defined results: repeated texts are one class; texts without words are near copies of each
 other; a text of fewer words than a shingle is one shingle; an empty table gives an empty result.
@@ -37,8 +40,9 @@ from .op05_simhash import shingle_hashes
 
 WORDS, USED, RADIUS = 12, 40, 3
 DEVIATIONS = 4
-NEAREST, FEW = 3, 8
 HOT_BUCKET = 4096
+#: Shingles of a block of a large group: two blocks are held at once.
+HEAVY = 2_000_000
 #: Byte to eight one-byte counters.
 SPREAD = np.array([sum(1 << 8 * j for j in range(8) if b >> j & 1) for b in range(256)], np.uint64)
 
@@ -49,12 +53,12 @@ def masks() -> list[int]:
     return [sum(1 << i for i in range(USED) if bin((1 + i % n) & v).count("1") & 1) for v in range(1, n + 1)]
 
 
-def rounds() -> list[tuple[list[tuple[int, int]], int]]:
-    """Tables of each round, and how many neighbours of a row a full bucket names besides its forest."""
+def rounds() -> list[list[tuple[int, int]]]:
+    """Tables of each round."""
     n = len(masks())
     first = [(0, v) for v in range(2)]
     second = [(j, v) for j in range(2) for v in range(n) if (j, v) not in first]
-    return [(first, 0), (second, 0), *[([(j + i, v) for i in range(2) for v in range(n)], NEAREST) for j in range(2, WORDS, 2)]]
+    return [first, second, *[[(j + i, v) for i in range(2) for v in range(n)] for j in range(2, WORDS, 2)]]
 
 
 def most_apart(least: float) -> int:
@@ -119,56 +123,39 @@ def signatures(docs: DataFrame, doc: str, text: str, shingle: int) -> DataFrame:
     return slim.mapInArrow(run, f"_doc {slim.schema['_doc'].dataType.simpleString()}, key long, fps array<long>")
 
 
-def _forest(fps: np.ndarray, label: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Minimum spanning forest by distance (Prim), without a matrix; rows of one label are together already."""
-    n, at, edges, never = len(fps), 0, [], 1 << 15
-    far = np.full(n, never, np.int64)
-    come = np.zeros(n, np.int64)
-    left = np.ones(n, bool)
-    for _ in range(n - 1):
-        left[at] = False
-        far[at] = never
-        d = np.where(label == label[at], 0, 1 + distances(fps[at : at + 1], fps)[0].astype(np.int64))
-        closer = left & (d < far)
-        far[closer] = d[closer]
-        come[closer] = at
-        new = int(np.argmin(far))
-        if 0 < far[new] <= most + 1:
-            edges.append((int(come[new]), new))
-        at = new
-    return edges
-
-
-def candidates(fps: np.ndarray, label: np.ndarray, nearest: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of one bucket, of different labels, worth an exact comparison."""
+def candidate_groups(fps: np.ndarray, label: np.ndarray, most: int) -> np.ndarray:
+    """A group for each row of one bucket, -1 without a candidate: rows connected over pairs of different labels worth an exact comparison."""
     n = len(fps)
-    found, near, total = [np.zeros((0, 2), np.int64)], [], 0
+    group = np.full(n, -1)
     if (label == label[0]).all():
-        return found[0][:, 0], found[0][:, 1]
-    for i in range(0, n, 512):
-        d = distances(fps[i : i + 512], fps)
-        d[label[i : i + 512, None] == label[None, :]] = most + 1
-        own = np.arange(d.shape[0])
-        a, b = np.nonzero(d <= most)
-        up = b > a + i
-        total += int(up.sum())
-        if total <= FEW * n:
-            found.append(np.column_stack([a[up] + i, b[up]]))
-        if nearest and n > nearest + 1:
-            best = np.argpartition(d, nearest, axis=1)[:, :nearest]
-            ok = np.take_along_axis(d, best, axis=1) <= most
-            near.append(np.column_stack([np.repeat(own + i, nearest), best.ravel()])[ok.ravel()])
-    if total > FEW * n:
-        found = [*near, np.array(_forest(fps, label, most), np.int64).reshape(-1, 2)]
-    pairs = np.concatenate(found)
-    return pairs[:, 0], pairs[:, 1]
+        return group
+    near = None
+    if n <= 512:
+        near = (distances(fps, fps) <= most) & (label[:, None] != label[None, :])
+        if not near.any():
+            return group
+    left = np.ones(n, bool)
+    for s in range(n) if near is None else np.flatnonzero(near.any(axis=1)).tolist():
+        if not left[s]:
+            continue
+        left[s], found, stack = False, [s], [s]
+        while stack:
+            x = stack.pop()
+            rest = np.flatnonzero(left & (label != label[x]) if near is None else left & near[x])
+            new = rest if near is not None else rest[distances(fps[x : x + 1], fps[rest])[0] <= most]
+            left[new] = False
+            found += new.tolist()
+            stack += new.tolist()
+        if len(found) > 1:
+            group[found] = s
+    return group
 
 
 ROW = ("t", "k", "key", "label", *[f"f{j}" for j in range(WORDS + 1)])
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch], hot: int, nearest: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Candidates (t = -1, keys as key and label) of buckets in order; rows of buckets over ``hot`` as they are."""
+def _bucket_groups(batches: Iterator[pa.RecordBatch], hot: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Members of groups (t = -1, k: a hash of the group's keys, key, label) of buckets in order; rows of buckets over ``hot`` as they are."""
     rest = np.zeros((0, len(ROW)), np.int64)
 
     def out(columns) -> pa.RecordBatch:
@@ -180,22 +167,25 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], hot: int, nearest: int, mos
         edge = np.flatnonzero(np.concatenate(([True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1), [True])))
         size = np.diff(edge)
         key, label, fps = rows[:, 2], rows[:, 3], np.ascontiguousarray(rows[:, 4:]).view(np.uint64)
+        mixed = W.mix(key.view(np.uint64))
         two = edge[:-1][size == 2]
         two = two[label[two] != label[two + 1]]
         two = two[np.bitwise_count(fps[two] ^ fps[two + 1]).sum(axis=1) <= most]
-        us, vs = [key[two]], [key[two + 1]]
+        at, groups = [np.column_stack([two, two + 1]).ravel()], [np.repeat(mixed[two] + mixed[two + 1], 2)]
         for s, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
             if n > hot:
                 yield out(rows[s : s + n].T)
                 continue
-            a, b = candidates(fps[s : s + n], label[s : s + n], nearest, most)
-            us.append(key[s + a])
-            vs.append(key[s + b])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        if len(u):
-            pairs = np.unique(np.column_stack([np.minimum(u, v), np.maximum(u, v)]), axis=0)
-            columns = np.zeros((len(ROW), len(pairs)), np.int64)
-            columns[0], columns[2], columns[3] = -1, pairs[:, 0], pairs[:, 1]
+            group = candidate_groups(fps[s : s + n], label[s : s + n], most)
+            for g in np.unique(group[group >= 0]).tolist():
+                own = s + np.flatnonzero(group == g)
+                at.append(own)
+                groups.append(np.full(len(own), mixed[own].sum(dtype=np.uint64)))
+        own = np.concatenate(at)
+        if len(own):
+            members = np.unique(np.column_stack([np.concatenate(groups).view(np.int64), key[own], label[own]]), axis=0)
+            columns = np.zeros((len(ROW), len(members)), np.int64)
+            columns[0], columns[1:4] = -1, members.T
             yield out(columns)
 
     for b in batches:
@@ -209,13 +199,20 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], hot: int, nearest: int, mos
     yield from runs(rest)
 
 
-def _in_buckets(rows: DataFrame, hot: int, nearest: int, most: int) -> DataFrame:
+def _in_buckets(rows: DataFrame, hot: int, most: int) -> DataFrame:
     dealt = rows.select(*ROW).repartition("t", "k").sortWithinPartitions("t", "k")
-    return dealt.mapInArrow(lambda it: _bucket_pairs(it, hot, nearest, most), ", ".join(f"{c} long" for c in ROW))
+    return dealt.mapInArrow(lambda it: _bucket_groups(it, hot, most), ", ".join(f"{c} long" for c in ROW))
 
 
-def candidate_pairs(classes: DataFrame, tables: list[tuple[int, int]], nearest: int = NEAREST, least: float = 0.8) -> DataFrame:
-    """Pairs u < v of class keys of different labels that share one of the ``tables`` and are near enough.
+def _blocked(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of groups ``by`` of ``n`` blocks, each once for every block of its group: ``by`` becomes a pair of blocks, and two rows of a group meet in one."""
+    own = rows.withColumn("b", F.pmod(F.xxhash64("key"), "n"))
+    own = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return own.withColumn(by, F.xxhash64(by, F.least("b", "o"), F.greatest("b", "o"))).drop("b", "o", "n")
+
+
+def grouped(classes: DataFrame, tables: list[tuple[int, int]], least: float = 0.8) -> DataFrame:
+    """(g, key, label): groups that hold every pair of class keys of different labels that share one of the ``tables`` and are near enough.
 
     ``classes``: key, label, fps; a table is a fingerprint's number and a mask's.
     """
@@ -225,25 +222,94 @@ def candidate_pairs(classes: DataFrame, tables: list[tuple[int, int]], nearest:
     cover = F.array(*[F.struct(F.lit(j * len(m) + v).cast("long").alias("t"), F.lit(j + 1).alias("j"), F.lit(m[v]).alias("m")) for j, v in tables])
     rows = classes.repartition(tasks, "key").select("key", "label", "fps", F.explode(cover).alias("c"))
     rows = rows.select("c.t", F.element_at("fps", F.col("c.j")).bitwiseAND(F.col("c.m")).alias("k"), "key", "label", *[F.element_at("fps", j + 1).alias(f"f{j}") for j in range(WORDS + 1)])
-    found = written(spark, _in_buckets(rows, HOT_BUCKET, nearest, most), "bucket-pairs")
-    pair = (F.col("key").alias("u"), F.col("label").alias("v"))
-    pairs = found.filter("t = -1").select(*pair)
+    found = written(spark, _in_buckets(rows, HOT_BUCKET, most), "bucket-groups")
+    member = (F.col("k").alias("g"), "key", "label")
+    members = found.filter("t = -1").select(*member)
     hot = found.filter("t >= 0")
     if not hot.isEmpty():
         blocks = hot.groupBy("t", "k").agg(F.ceil(F.count("*") / HOT_BUCKET).alias("n"))
-        own = hot.join(blocks, ["t", "k"]).withColumn("b", F.pmod(F.xxhash64("key"), "n"))
-        own = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-        own = own.withColumn("k", F.xxhash64("k", F.least("b", "o"), F.greatest("b", "o"))).select(*ROW)
-        pairs = pairs.unionByName(_in_buckets(own, 1 << 30, nearest, most).select(*pair))
-    out = written(spark, pairs.distinct(), "candidates")
+        cells = _blocked(hot.join(blocks, ["t", "k"]), "k")
+        members = members.unionByName(_in_buckets(cells, 1 << 30, most).select(*member))
+    out = written(spark, members.distinct(), "groups")
     discard(found)
     return out
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, text: str, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """The pairs whose sets of shingles have a Jaccard similarity of ``least`` or more, and the written sets they are read from."""
+def links_of(label: np.ndarray, size: np.ndarray, h: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Index pairs that link the rows of one group, breadth first over all pairs that are as similar as asked.
+
+    ``h``: the sets row by row.  Rows of one label are linked already.
+    """
+    n, found = len(label), []
+    ids = np.unique(h, return_inverse=True)[1]
+    owner, off = np.repeat(np.arange(n), size), np.concatenate(([0], np.cumsum(size)))
+    mark, left, every, held = np.zeros(len(ids) + 1, bool), np.ones(n, bool), ids, n
+    while left.any():
+        stack = np.flatnonzero(left & (label == label[np.argmax(left)])).tolist()
+        left[stack] = False
+        while stack:
+            x = stack.pop()
+            rest = np.flatnonzero(left)
+            if not len(rest):
+                return found
+            if 2 * len(rest) < held:  # only rows not reached yet are looked at
+                kept = left[owner]
+                ids, owner, held = ids[kept], owner[kept], len(rest)
+            mark[every[off[x] : off[x + 1]]] = True
+            common = np.bincount(owner[mark[ids]], minlength=n)[rest]
+            mark[every[off[x] : off[x + 1]]] = False
+            union = size[x] + size[rest] - common
+            new = rest[np.where(union > 0, common / np.maximum(union, 1), 1.0) >= least]  # no shingles at all: equal
+            if len(new):
+                found += [(x, int(y)) for y in new]
+                reached = np.flatnonzero(left & np.isin(label, label[new]))
+                left[reached] = False
+                stack += reached.tolist()
+    return found
+
+
+def _linked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of groups in order; rows: g, key, label, s."""
+
+    def links(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        if rows.num_rows < 2:
+            return
+        g, key, label = (rows.column(i).to_numpy() for i in range(3))
+        lists = rows.column(3).chunk(0)
+        off = lists.offsets.to_numpy()
+        h = lists.values.to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
+        us, vs = [], []
+        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            for i, j in links_of(label[s:e], np.diff(off[s : e + 1]), h[off[s] : off[e]], least):
+                us.append(key[s + i])
+                vs.append(key[s + j])
+        if us:
+            u, v = np.array(us, np.int64), np.array(vs, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        g = b.column(0).to_numpy()
+        if rest and rest[-1].column(0)[0].as_py() != g[0]:
+            yield from links(rest)
+            rest = []
+        last = int(np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))[-1])
+        if last:
+            yield from links([*rest, b.slice(0, last)])
+            rest = []
+        rest.append(b.slice(last))
+    if rest:
+        yield from links(rest)
+
+
+def confirmed(groups: DataFrame, docs: DataFrame, text: str, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) of pairs in groups whose sets of shingles have a Jaccard similarity of ``least`` or more, and the written sets they are read from."""
     body = F.coalesce(F.col(text), F.lit(""))
-    touched = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
+    touched = groups.select("key").distinct()
     texts = docs.select(F.xxhash64(body).alias("key"), body.alias("_text")).join(touched, "key", "left_semi").groupBy("key").agg(F.first("_text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,10 +319,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, text: str, shingle: int, least:
             yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["key", "s"])
 
     sets = written(docs.sparkSession, texts.mapInArrow(run, "key long, s array<long>"), "shingle-sets")
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    alike = F.coalesce(F.try_divide(common, F.size("a") + F.size("b") - common), F.lit(1.0))  # no shingles at all: equal
-    return both.filter(alike >= least).select("u", "v"), sets
+    heavy = groups.join(sets.select("key", F.size("s").cast("long").alias("w")), "key").groupBy("g").agg(F.ceil(F.sum("w") / HEAVY).alias("n")).filter("n > 1")
+    if not heavy.isEmpty():
+        large = groups.join(heavy, "g")
+        groups = groups.join(heavy, "g", "left_anti").unionByName(_blocked(large, "g"))
+    dealt = groups.join(sets, "key").select("g", "key", "label", "s").repartition("g").sortWithinPartitions("g")
+    return dealt.mapInArrow(lambda it: _linked(it, least), "u long, v long").distinct(), sets
 
 
 def near_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -265,25 +333,25 @@ def near_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingl
     own = written(spark, signatures(docs, doc, text, shingle), "signatures")
     classes = written(spark, own.groupBy("key").agg(F.min("_doc").alias("low"), F.first("fps").alias("fps")), "classes")
     apart, links, tested = classes.withColumn("label", F.col("key")), None, None
-    for tables, nearest in rounds():
-        pairs = candidate_pairs(apart, tables, nearest, least)
-        if tested is not None:  # each pair is compared in full once
-            named = pairs
-            pairs = written(spark, named.join(tested, ["u", "v"], "left_anti"), "new-candidates")
+    for tables in rounds():
+        groups = grouped(apart, tables, least)
+        if tested is not None:  # a group of the same members is compared once
+            named = groups
+            groups = written(spark, named.join(tested, "g", "left_anti"), "new-groups")
             discard(named)
-        if pairs.isEmpty():
-            discard(pairs)
+        if groups.isEmpty():
+            discard(groups)
             continue
-        new, sets = confirmed(pairs, docs, text, shingle, least)
-        before, old = links, tested
+        new, sets = confirmed(groups, docs, text, shingle, least)
+        before, old, seen = links, tested, groups.select("g").distinct()
         links = written(spark, new if links is None else new.unionByName(links), "links")
-        tested = written(spark, pairs if old is None else pairs.unionByName(old), "tested")
-        discard(pairs, sets, *([apart, before, old] if before is not None else []))
+        tested = written(spark, seen if old is None else seen.unionByName(old), "tested")
+        discard(groups, sets, *([apart, before, old] if before is not None else []))
         roots = components(links).select(F.col("node").alias("key"), F.col("root").alias("label"))
         apart = written(spark, classes.join(roots, "key", "left").withColumn("label", F.coalesce("label", "key")), "labels")
     if links is not None:  # else the labels are those of the classes
         discard(classes, tested, links)
-    grouped = apart.select("key", "low", F.col("label").alias("root"))
-    lowest = grouped.groupBy("root").agg(F.min("low").alias("component"))
-    labels = grouped.join(lowest, "root").select("key", "component")
+    rooted = apart.select("key", "low", F.col("label").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
+    labels = rooted.join(lowest, "root").select("key", "component")
     return own.select(F.col("_doc").alias(doc), "key").join(labels, "key").select(doc, "component")

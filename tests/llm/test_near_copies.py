@@ -55,6 +55,29 @@ def test_large_groups_and_blocks(spark, monkeypatch):
     assert {r["component"] for r in N.near_copies(docs).collect()} == {0}
 
 
+def test_no_link_of_a_full_bucket_is_left_out(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(400)]
+    texts = []
+    for i in range(70):  # all are near each other in bits, few pairs have a similarity of 0.8
+        own = list(base)
+        for p in rng.sample(range(0, 400, 5), rng.randint(5, 6)):
+            own[p] = f"x{i}p{p}"
+        texts.append(" ".join(own))
+    near, low = groups(texts, 0.8)
+    assert len(near) == 30 and len(set(low)) == 42
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(N, "masks", lambda: [0] * 15)  # one bucket
+    assert {r["doc_id"]: r["component"] for r in N.near_copies(docs).collect()} == dict(enumerate(low))
+
+
+def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
+    texts = [" ".join([f"b{j}" for j in range(100)] + [f"x{i}"]) for i in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(N, "HEAVY", 500)
+    assert {r["component"] for r in N.near_copies(docs).collect()} == {0}
+
+
 def test_edges(spark):
     rows = [(0, None), (1, ""), (2, "   "), (3, "one two"), (4, "One  two"), (5, "one two three")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
