@@ -22,3 +22,14 @@ def test_keys_of_one_pass(spark):
     k = T.bind(T.skill_key(t), T.keys_of)
     x = x.select(F.array(k["skill"], k["compact"], k["cert"], T.clean_text(t)).alias("got"), F.array(own, T.compact_key(t), T.certification_key(t), F.when(plain != "", plain)).alias("want"))
     assert all(r["got"] == r["want"] for r in x.collect())
+
+
+def test_documents_send_no_table_to_the_driver(spark, sf):
+    d = f"{sf}/../sf0.001"  # a folder of its own: the tables are derived anew
+    made = [X.profile_items.__wrapped__(spark, d), X.profile_skills.__wrapped__(spark, d), X.profile_certs.__wrapped__(spark, d), X.experience.__wrapped__(spark, d), X.cvs(spark, d)]
+    for x in made:
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan or "SortMergeJoin" in plan
+        assert "Broadcast" not in plan
+    scans = [p for x in made[1:] for p in x.inputFiles() if "lineitem" in p]
+    assert not scans  # the line items are read once, for profile_items
