@@ -33,3 +33,34 @@ def test_documents_send_no_table_to_the_driver(spark, sf):
         assert "Broadcast" not in plan
     scans = [p for x in made[1:] for p in x.inputFiles() if "lineitem" in p]
     assert not scans  # the line items are read once, for profile_items
+
+
+def test_evidence_is_read_from_one_table(spark, tmp_path):
+    from talentgrid.operators import prepared as P
+    from talentgrid.operators import profiles as D
+
+    docs = spark.createDataFrame([(50, ["red  gear", "Blue gear"], ["built the old bolt"]), (100, [], [])], "profile_id long, explicit array<string>, context array<string>")
+    docs.write.json(f"{tmp_path}/docs")
+    docs = spark.read.schema(docs.schema).json(f"{tmp_path}/docs")
+    names = spark.createDataFrame([("red gear", "red gear")], "key string, name string")
+    edges = spark.createDataFrame([("red gear", "new gear"), ("new gear", "old gear")], "src string, dst string")
+    aliases = spark.createDataFrame([], "key string, canonical string")
+    plain, D.evidence = D.evidence, lambda x, key="profile_id": x
+    try:
+        got = D.prepared_of(docs, lambda e, c: P.prepare(e, c, aliases, names, edges))
+    finally:
+        D.evidence = plain
+    assert not [f for f in got.inputFiles() if f.endswith(".json")]  # the documents are parsed once
+    assert {(r["key"], r["source"]) for r in got.collect()} == {("red gear", "explicit"), ("blue gear", "explicit"), ("built the old bolt", "context"), ("new gear", "ontology_implied"), ("old gear", "ontology_implied")}
+
+
+def test_held_skills_are_not_sent_round(spark):
+    from talentgrid.operators import ontology as O
+
+    held = spark.createDataFrame([(50 * i, "a") for i in range(10)], "profile_id long, skill string")
+    edges = spark.range(2000).select(F.concat(F.lit("s"), F.col("id")).alias("src"), F.concat(F.lit("s"), F.col("id") + 1).alias("dst")).unionByName(spark.createDataFrame([("a", "s5")], "src string, dst string"))
+    x = O.implied_with_hops(held, edges)
+    rows = {(r["profile_id"], r["skill"], r["hop"]) for r in x.collect()}
+    assert rows == {(50 * i, f"s{4 + h}", h) for i in range(10) for h in (1, 2, 3)}
+    joins = [p for p in x._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in p and "via" in p]
+    assert len(joins) == 1 and "rightHint=(strategy=broadcast)" in joins[0]  # the vocabulary, whatever the number of profiles
