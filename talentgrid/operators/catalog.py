@@ -30,13 +30,16 @@ def parsed_reply(reply: Column) -> Column:
         items = F.forall(g["skills"], lambda i: (F.coalesce(F.trim(i["skill"]), F.lit("")) != "") & i["score"].isNotNull())
         return (F.coalesce(F.trim(g["domain"]), F.lit("")) != "") & F.coalesce(items, F.lit(False))
 
+    def distinct(flat: Column, names: Column) -> Column:
+        last = lambda i: F.element_at(F.filter(flat, lambda j: j["skill"] == i["skill"]), -1)
+        return F.transform(F.filter(flat, lambda i, k: F.array_position(names, i["skill"]) == k + 1), last)
+
     def read(p: Column) -> Column:
         flat = F.flatten(F.transform(p["skill_domains"], lambda g: F.transform(g["skills"], lambda i: F.struct(F.trim(i["skill"]).alias("skill"), F.trim(g["domain"]).alias("domain"), clamp01(i["score"]).alias("score")))))
-        names = F.transform(flat, lambda i: i["skill"])
-        last = lambda i: F.element_at(F.filter(flat, lambda j: j["skill"] == i["skill"]), -1)
-        items = F.transform(F.filter(flat, lambda i, k: F.array_position(names, i["skill"]) == k + 1), last)
-        ok = F.forall(p["skill_domains"], usable) & (F.size(items) > 0)
-        return F.when(ok, F.struct(F.nullif(F.trim(p["processed_job_title"]), F.lit("")).alias("title"), items.alias("items")))
+        # bound: each is read for every item
+        items = T.bind(flat, lambda f: T.bind(F.transform(f, lambda i: i["skill"]), lambda names: distinct(f, names)))
+        ok = F.forall(p["skill_domains"], usable)
+        return F.when(ok, T.bind(items, lambda own: F.when(F.size(own) > 0, F.struct(F.nullif(F.trim(p["processed_job_title"]), F.lit("")).alias("title"), own.alias("items")))))
 
     return T.bind(x, read)
 

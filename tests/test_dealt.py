@@ -64,3 +64,21 @@ def test_held_skills_are_not_sent_round(spark):
     assert rows == {(50 * i, f"s{4 + h}", h) for i in range(10) for h in (1, 2, 3)}
     joins = [p for p in x._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in p and "via" in p]
     assert len(joins) == 1 and "rightHint=(strategy=broadcast)" in joins[0]  # the vocabulary, whatever the number of profiles
+
+
+def test_role_skills_are_grouped_by_hash(spark, sf):
+    x = X.role_skills.__wrapped__(spark, sf)
+    assert "SortAggregate" not in x._jdf.queryExecution().executedPlan().toString()
+    p, li = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("part", "lineitem"))
+    least = li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("role_id"), F.col("p_name").alias("skill")).agg(F.min("p_type").alias("least"))
+    assert x.count() == x.join(least, ["role_id", "skill"]).filter(F.col("domain") == F.col("least")).count() > 0
+
+
+def test_reply_reads_its_items_once(spark):
+    from talentgrid.operators.catalog import parsed_reply
+
+    reply = '{"processed_job_title":" T ","skill_domains":[{"domain":"d","skills":[{"skill":"x ","score":2},{"skill":"y","score":0.5}]},{"domain":"e","skills":[{"skill":"x","score":0.25}]}]}'
+    x = spark.createDataFrame([(reply,), ('{"skill_domains":[]}',), ('{"skill_domains":[null]}',), ("no",), (None,)], "r string").select(parsed_reply(F.col("r")).alias("p"))
+    assert [r["p"] and (r["p"]["title"], [tuple(i) for i in r["p"]["items"]]) for r in x.collect()] == [("T", [("x", "e", 0.25), ("y", "d", 0.5)]), None, None, None, None]
+    trims = x._jdf.queryExecution().optimizedPlan().toString().count("trim(")
+    assert trims < 12  # of skills and domains: not once for every use of the items
