@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -211,10 +212,11 @@ def _blocked(rows: DataFrame, by: str) -> DataFrame:
     return own.withColumn(by, F.xxhash64(by, F.least("b", "o"), F.greatest("b", "o"))).drop("b", "o", "n")
 
 
-def grouped(classes: DataFrame, tables: list[tuple[int, int]], least: float = 0.8) -> DataFrame:
+def grouped(classes: DataFrame, tables: list[tuple[int, int]], least: float = 0.8, tested: list[DataFrame] | None = None) -> DataFrame:
     """(g, key, label): groups that hold every pair of class keys of different labels that share one of the ``tables`` and are near enough.
 
-    ``classes``: key, label, fps; a table is a fingerprint's number and a mask's.
+    ``classes``: key, label, fps; a table is a fingerprint's number and a mask's.  A group of the same
+    members as one of ``tested`` is left out: it was compared before.
     """
     spark = classes.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -230,7 +232,10 @@ def grouped(classes: DataFrame, tables: list[tuple[int, int]], least: float = 0.
         blocks = hot.groupBy("t", "k").agg(F.ceil(F.count("*") / HOT_BUCKET).alias("n"))
         cells = _blocked(hot.join(blocks, ["t", "k"]), "k")
         members = members.unionByName(_in_buckets(cells, 1 << 30, most).select(*member))
-    out = written(spark, members.distinct(), "groups")
+    members = members.distinct()
+    if tested:
+        members = members.join(reduce(DataFrame.unionByName, tested).select("g").distinct(), "g", "left_anti")
+    out = written(spark, members, "groups")
     discard(found)
     return out
 
@@ -332,26 +337,26 @@ def near_copies(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingl
     spark = docs.sparkSession
     own = written(spark, signatures(docs, doc, text, shingle), "signatures")
     classes = written(spark, own.groupBy("key").agg(F.min("_doc").alias("low"), F.first("fps").alias("fps")), "classes")
-    apart, links, tested = classes.withColumn("label", F.col("key")), None, None
+    apart, labels, links, tested = classes.withColumn("label", F.col("key")), None, [], []
     for tables in rounds():
-        groups = grouped(apart, tables, least)
-        if tested is not None:  # a group of the same members is compared once
-            named = groups
-            groups = written(spark, named.join(tested, "g", "left_anti"), "new-groups")
-            discard(named)
+        groups = grouped(apart, tables, least, tested)
         if groups.isEmpty():
             discard(groups)
             continue
-        new, sets = confirmed(groups, docs, text, shingle, least)
-        before, old, seen = links, tested, groups.select("g").distinct()
-        links = written(spark, new if links is None else new.unionByName(links), "links")
-        tested = written(spark, seen if old is None else seen.unionByName(old), "tested")
-        discard(groups, sets, *([apart, before, old] if before is not None else []))
-        roots = components(links).select(F.col("node").alias("key"), F.col("root").alias("label"))
-        apart = written(spark, classes.join(roots, "key", "left").withColumn("label", F.coalesce("label", "key")), "labels")
-    if links is not None:  # else the labels are those of the classes
-        discard(classes, tested, links)
+        found, sets = confirmed(groups, docs, text, shingle, least)
+        new = written(spark, found, "links")
+        tested.append(groups)
+        discard(sets)
+        if new.isEmpty():  # the labels stay as they are
+            discard(new)
+            continue
+        links.append(new)
+        roots = components(reduce(DataFrame.unionByName, links)).select(F.col("node").alias("key"), F.col("root").alias("label"))
+        before, labels = labels, written(spark, classes.join(roots, "key", "left").withColumn("label", F.coalesce("label", "key")), "labels")
+        apart = labels
+        discard(*([before] if before is not None else []))
+    discard(*tested, *links, *([classes] if links else []))  # without links the labels are those of the classes
     rooted = apart.select("key", "low", F.col("label").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    labels = rooted.join(lowest, "root").select("key", "component")
-    return own.select(F.col("_doc").alias(doc), "key").join(labels, "key").select(doc, "component")
+    named = rooted.join(lowest, "root").select("key", "component")
+    return own.select(F.col("_doc").alias(doc), "key").join(named, "key").select(doc, "component")

@@ -94,3 +94,19 @@ def test_majority_over_many_hashes():
         own = h[at : at + n]
         at += n
         assert int(fp) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in own) > n)
+
+
+def test_a_round_without_links_writes_no_labels(spark, monkeypatch):
+    rng = random.Random(17)
+    word = [f"w{i}" for i in range(5000)]
+    texts = []
+    for _ in range(40):  # near enough to be compared, below 0.8
+        base = rng.choices(word, k=200)
+        texts += [" ".join(base), " ".join(base[:50] + rng.choices(word, k=21) + base[71:])]
+    assert not groups(texts, 0.8)[0]
+    tags, plain = [], N.written
+    monkeypatch.setattr(N, "written", lambda s, df, tag: tags.append(tag) or plain(s, df, tag))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert all(r["doc_id"] == r["component"] for r in N.near_copies(docs).collect())
+    assert tags.count("links") >= 2  # groups were compared in several rounds, each once
+    assert len(tags) == 2 + len(N.rounds()) * 2 + 2 * tags.count("links")
